@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprint, langid, pii, sharding
+from . import bpe, decontam, fingerprint, langid, pii, sharding
 from .common import table
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.query(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,7 +35,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontamination, op6_pii, op7_language_id, op8_fingerprints, op9_sharding)}
+    return {f.__name__: f for f in (op4_bpe, op5_decontamination, op6_pii, op7_language_id, op8_fingerprints, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
