@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fingerprint, langid, pii, sharding
+from . import bpe, decontam, fingerprint, langid, pii, sharding, warc
 from .common import table
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.query(table(spark, sf_dir, "documents"))
 
@@ -35,8 +39,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe, op5_decontamination, op6_pii, op7_language_id, op8_fingerprints, op9_sharding)}
+    return {f.__name__: f for f in (op3_warc, op4_bpe, op5_decontamination, op6_pii, op7_language_id, op8_fingerprints, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontam.SQL}
+    return {"op3_warc": warc.SQL, "op5_decontamination": decontam.SQL}
