@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fingerprint, langid, pii, sharding, warc
+from . import bpe, decontam, fingerprint, langid, neardup, pii, sharding, warc
 from .common import table
 
 
@@ -38,9 +38,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc, op4_bpe, op5_decontamination, op6_pii, op7_language_id, op8_fingerprints, op9_sharding)}
+    return {f.__name__: f for f in (op3_warc, op4_bpe, op5_decontamination, op6_pii, op7_language_id, op8_fingerprints, op9_sharding, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.SQL, "op5_decontamination": decontam.SQL}
+    return {"op3_warc": warc.SQL, "op5_decontamination": decontam.SQL, "op10_near_duplicates": neardup.SQL}
