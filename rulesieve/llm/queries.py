@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fingerprint, langid, neardup, pii, quality, sharding, warc
+from . import bpe, decontam, fingerprint, langid, licences, neardup, pii, quality, sharding, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.query(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.query(table(spark, sf_dir, "pages"))
 
@@ -47,8 +51,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_warc, op4_bpe, op5_decontamination, op6_pii, op7_language_id, op8_fingerprints, op9_sharding, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality, op2_licence_scan, op3_warc, op4_bpe, op5_decontamination, op6_pii, op7_language_id, op8_fingerprints, op9_sharding, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.SQL, "op5_decontamination": decontam.SQL, "op10_near_duplicates": neardup.SQL}
+    return {"op2_licence_scan": licences.sql(), "op3_warc": warc.SQL, "op5_decontamination": decontam.SQL, "op10_near_duplicates": neardup.SQL}
