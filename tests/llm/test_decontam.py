@@ -1,0 +1,67 @@
+import hashlib
+import random
+import re
+
+from rulesieve.llm import decontam
+
+ITEMS = "item_id bigint, text string, spans string"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def _words(text):
+    return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def _brute(docs, items):
+    out = {}
+    for doc, text, *_ in docs:
+        own, hit, found = _words(text), set(), set()
+        for item, t, *_ in items:
+            w = _words(t)
+            if item is None or not w:
+                continue
+            for win in [w[i : i + 10] for i in range(max(1, len(w) - 9))]:
+                for i in range(len(own) - len(win) + 1):
+                    if own[i : i + len(win)] == win:
+                        hit.update(range(i, i + len(win)))
+                        found.add(str(item))
+        out[doc] = (len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+    return out
+
+
+def _cases():
+    rnd = random.Random(2)
+    pool = ["a", "b", "c9", "Ünï", "É", "éé", "x"]
+    text = lambda n: " ".join(rnd.choice(pool) for _ in range(n))
+    items = [(i, text(rnd.choice([0, 1, 3, 9, 10, 11, 25])), "s") for i in range(12)] + [(3, "A-b_c9!", "s"), (None, "a b", "s"), (40, None, "s"), (41, "...", "s"), (10, "a a a a a a a a a a a a", "s")]
+    docs = [(i, rnd.choice([", ", " ", "\n"]).join(_words(text(40)))) for i in range(25)] + [(100, None), (101, ""), (102, "!!!"), (103, "A" * 5000 + " a B C9"), (104, items[5][1].upper() + "..." + items[5][1]), (105, "a " * 3000)]
+    return docs, items
+
+
+def test_same_as_brute_force(spark, docs):
+    rows, items = _cases()
+    bench = spark.createDataFrame(items, ITEMS)
+    want = _brute(rows, items)
+    for chars in (decontam.BLOCK_CHARS, 60):  # one block, and many
+        got = decontam.find(docs(rows), bench, block_chars=chars).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"])) for r in got} == {k: v[:3] for k, v in want.items()}
+    got = decontam.query(docs(rows), bench).collect()
+    assert {r["doc_id"]: tuple(r)[1:6] for r in got} == want
+
+
+def test_spans_are_offsets_in_the_original(spark, docs):
+    item = "one two three four five six seven eight nine ten"
+    text = "Ünï — " + item.replace(" ", ",\n ").upper() + "; the end"
+    r = decontam.find(docs([(1, text)]), spark.createDataFrame([(1, item, "")], ITEMS)).first()
+    (s,) = r["spans"]
+    assert _words(text[s["start"] : s["end"]]) == item.split() and text[s["start"]] == "O"
+
+
+def test_empty_tables_and_stage(spark, docs):
+    none, some = spark.createDataFrame([], ITEMS), spark.createDataFrame([(1, "alpha beta", "")], ITEMS)
+    assert decontam.query(docs([]), some).collect() == []
+    assert decontam.query(docs([(1, "a")]), none).first()["contaminated"] is False
+    rows = docs([(1, "x Alpha-beta y"), (2, "alpha gamma beta"), (3, None), (3, None)])
+    kept = decontam.stage(rows, some)
+    assert kept.columns == rows.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 3]
+    assert decontam.stage(rows, none).count() == 4
