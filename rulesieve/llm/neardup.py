@@ -8,9 +8,9 @@ SIDE^2 times.  The right side's minhashes also give an estimate, which drops pai
 
 Groups.  Texts with equal sets are one class, by a 128-bit digest, with the smallest doc_id as its node; classes are made
 by pre-aggregated counts.  In each left bucket every member is tried against the smallest one; confirmed links are joined to
-components.  Then only buckets that still hold several components are gone through: all pairs of different components
-that share a table, in blocks of BLOCK members, so that no bucket lands in one task and pairs inside a component are never
-made.  No bucket is capped and no pair is dropped but by the size ratio (exact), the tables and the estimate.
+components.  Then only buckets that still hold several components are gone through, in blocks of BLOCK members, so that no
+bucket lands in one task: members of different components that share a table are compared by their sets there and then,
+and only links come out, so that pairs are never rows.  No bucket is capped and no pair is dropped but by the size ratio (exact), the tables and the estimate.
 
 Confirmation compares the full shingle sets (64-bit hashes of all shingles).  Components come from alternating star
 contractions over stored tables.  All that is cut off from its lineage lies in the shared checkpoint folder; links and
@@ -194,53 +194,84 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).cast("bigint").alias("t")).where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b")
 
 
+class _Sets:
+    """The sets of a few rows: how many elements others have in common with one of them."""
+
+    def __init__(self, flat: np.ndarray, ends: np.ndarray):
+        found, codes = np.unique(flat, return_inverse=True)
+        self.codes, self.ends, self.mark = codes, ends, np.zeros(len(found), bool)
+
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        own = self.codes[self.ends[i] : self.ends[i + 1]]
+        self.mark[own] = True
+        sizes = self.ends[others + 1] - self.ends[others]
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        at = np.arange(sizes.sum()) + np.repeat(self.ends[others] - starts, sizes)
+        out = np.add.reduceat(self.mark[self.codes[at]].astype(np.int64), starts)
+        self.mark[own] = False
+        return out
+
+
+def _pairs(part: dict[str, np.ndarray], a: slice, percent: int) -> Iterator[np.ndarray]:
+    """Of the rows of one bucket and pair of blocks, the pairs (larger node, smaller node) that link; see _rest."""
+    node, comp, n, v, block = (part[c][a] for c in ("node", "comp", "n", "v", "block"))
+    p, q = part["p"][a.start], part["q"][a.start]
+    y = np.flatnonzero(block == q)
+    sets: _Sets | None = None
+    for i in np.flatnonzero(block == p):
+        k = y[(comp[y] != comp[i]) & ((node[y] > node[i]) | (p != q)) & sized(n[y], n[i], percent)]
+        k = k[alike(v[k], v[i])] if len(k) else k
+        if len(k):
+            if sets is None:
+                ends = part["ends"][a.start : a.stop + 1]
+                sets = _Sets(part["flat"][ends[0] : ends[-1]], ends - ends[0])
+            common = sets.common(i, k)
+            k = k[100 * common >= percent * (n[k] + n[i] - common)]
+            if len(k):
+                yield np.stack([np.maximum(node[k], node[i]), np.minimum(node[k], node[i])], 1)
+
+
 def _rest(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one bucket and different components that may link.  members: key, node, comp, n, v, size."""
+    """All links of one bucket between different components.  members: key, node, comp, n, v, size, s.
+
+    s has the set's hashes cut to 31 bits, so what is counted as common is never too little; what is found is confirmed on
+    the full sets later.  Only links leave this function, however many pairs a block compares.
+    """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = members.withColumn("blocks", blocks).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "comp", "n", "v")
-
-    def group(part: dict[str, np.ndarray], a: slice) -> list[np.ndarray]:
-        one, two = (part["block"][a] == part["p"][a.start]), (part["block"][a] == part["q"][a.start])
-        out = []
-        node, comp, n, v = (part[c][a] for c in ("node", "comp", "n", "v"))
-        x, y = np.flatnonzero(one), np.flatnonzero(two)
-        for i in x:
-            k = y[(comp[y] != comp[i]) & ((node[y] > node[i]) | (part["p"][a.start] != part["q"][a.start])) & sized(n[y], n[i], percent)]
-            if len(k):
-                k = k[alike(v[k], v[i])]
-                if len(k):
-                    out.append(np.stack([np.maximum(node[k], node[i]), np.minimum(node[k], node[i])], 1))
-        return out
+    rows = rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "comp", "n", "v", "s")
+
+    def done(table: pa.Table) -> pa.RecordBatch:
+        part = {c: table.column(c).to_numpy() for c in ("key", "p", "q", "block", "node", "comp", "n")}
+        part["v"] = np.frombuffer(b"".join(table.column("v").to_pylist()), np.uint8).reshape(-1, _HALF)
+        lists = table.column("s").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        part["flat"], part["ends"] = lists.flatten().to_numpy(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        new = np.any([np.diff(part[c]) != 0 for c in ("key", "p", "q")], axis=0)
+        starts = np.flatnonzero(np.concatenate([[True], new]))
+        out = [np.zeros((0, 2), np.int64)]
+        for s, e in zip(starts, [*starts[1:], table.num_rows], strict=True):
+            out += _pairs(part, slice(int(s), int(e)), percent)
+        found = np.concatenate(out)
+        return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def done(table: pa.Table) -> pa.RecordBatch:
-            part = {c: table.column(c).to_numpy() for c in ("key", "p", "q", "block", "node", "comp", "n")}
-            part["v"] = np.frombuffer(b"".join(table.column("v").to_pylist()), np.uint8).reshape(-1, _HALF)
-            starts = np.flatnonzero(np.concatenate([[True], (np.diff(part["key"]) != 0) | (np.diff(part["p"]) != 0) | (np.diff(part["q"]) != 0)]))
-            out = [np.zeros((0, 2), np.int64)]
-            for s, e in zip(starts, [*starts[1:], len(part["key"])], strict=True):
-                out += group(part, slice(s, e))
-            found = np.concatenate(out)
-            return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, table]) if held is not None and held.num_rows else table
-            if held.num_rows < 4096:
-                continue
-            last = [held.column(c)[-1].as_py() for c in ("key", "p", "q")]
-            whole = held.num_rows
-            while whole and [held.column(c)[whole - 1].as_py() for c in ("key", "p", "q")] == last:
-                whole -= 1
-            if whole:
-                yield done(held.slice(0, whole))
-                held = held.slice(whole)
-        if held is not None and held.num_rows:
-            yield done(held)
+            for at in range(0, batch.num_rows, 1024):
+                held.append(batch.slice(at, 1024))
+                keys = {c: held[-1].column(c).to_numpy() for c in ("key", "p", "q")}
+                same = np.all([x == x[-1] for x in keys.values()], axis=0)
+                cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+                if cut:  # what stands before the last group is whole
+                    yield done(pa.Table.from_batches([*held[:-1], held[-1].slice(0, cut)]))
+                    held = [held[-1].slice(cut)]
+                elif len(held) > 1 and any(held[-2].column(c)[-1].as_py() != x[-1] for c, x in keys.items()):
+                    yield done(pa.Table.from_batches(held[:-1]))
+                    held = held[-1:]
+        if held:
+            yield done(pa.Table.from_batches(held))
 
     dealt = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     return map_batches(dealt, work, "a bigint, b bigint")
@@ -305,9 +336,10 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
 
     placed = _with_comp(members.where("size > 2").select("key", "size", "node"), comps)
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    left = placed.join(mixed, "key", "left_semi").join(known, "node")
-    pairs = _rest(left, percent).distinct()
-    more = stored(_confirmed(pairs, sets, percent), folder, "links_1")
+    left = stored(placed.join(mixed, "key", "left_semi"), folder, "left")
+    cut = sets.join(left.select("node").distinct(), "node", "left_semi").select("node", F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("s"))
+    found = stored(_rest(left.join(known, "node").join(cut, "node"), percent).distinct(), folder, "found")
+    more = stored(_confirmed(found, sets, percent), folder, "links_1")
     comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), folder, "all")
     dropped(spark, f"{folder}/sets")
 
