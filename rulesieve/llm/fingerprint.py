@@ -40,12 +40,14 @@ def add_fingerprint(df: DataFrame, text: Column, name: str, k: int = K, window:
     """
     h, n = f"{name}_h", f"{name}_n"
     own = df.withColumn(h, F.transform(F.array_remove(F.split(F.lower(text), "[\\x00-\\x20\\x7f]+"), ""), lambda w: F.xxhash64(w).bitwiseAND(F.lit(PRIME)) % PRIME))
+    whole = F.array(F.aggregate(F.col(h), F.lit(0).cast("bigint"), lambda a, b: (a * BASE + b) % PRIME))
+    own = own.withColumn(h, F.when(F.size(h).between(1, k - 1), whole).otherwise(F.col(h)))
     width, power = 1, BASE
     while width < k:
         own = own.withColumn(n, F.size(h))
         low, high = _shifted(F.col(h), width, F.col(n))
         mult = power
-        own = own.withColumn(h, F.when(F.col(n) > width, F.zip_with(low, high, lambda a, b: (a * mult + b) % PRIME)).when(F.col(n) > 1, F.array(F.aggregate(F.col(h), F.lit(0).cast("bigint"), lambda a, b: (a * BASE + b) % PRIME))).otherwise(F.col(h)))
+        own = own.withColumn(h, F.when(F.col(n) > width, F.zip_with(low, high, lambda a, b: (a * mult + b) % PRIME)).otherwise(F.col(h)))
         power, width = power * power % PRIME, width * 2
     own = own.withColumn(h, F.transform(h, lambda x, i: x * (_POS + 1) + (_POS - i)))
     width = 1
