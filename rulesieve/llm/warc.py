@@ -38,6 +38,8 @@ _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MAGIC = b"\x1f\x8b\x08"
 _ID = "urn:page:"
 _END = b"\r\n\r\n"
+#: Bytes given to zlib at a time; what it hands back unused is copied, so this bounds it.
+_STEP = 16_384
 
 
 @dataclass(frozen=True)
@@ -127,14 +129,16 @@ def _parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 def _inflated(data: bytes, at: int) -> tuple[bytes, int]:
     """What the gzip member at `at` holds, and its end."""
-    inflate = zlib.decompressobj(31)
+    inflate, out, end = zlib.decompressobj(31), [], at
     try:
-        out = inflate.decompress(memoryview(data)[at:])
+        while end < len(data) and not inflate.eof:
+            out.append(inflate.decompress(data[end : end + _STEP]))
+            end += _STEP
     except zlib.error as e:
         raise Damaged(f"the member doesn't inflate: {str(e)[:60]}") from None
     if not inflate.eof:
         raise Damaged("the member doesn't end")
-    return out, len(data) - len(inflate.unused_data)
+    return b"".join(out), min(end, len(data)) - len(inflate.unused_data)
 
 
 def _at(data: bytes, at: int) -> tuple[list[Record], int]:
@@ -261,7 +265,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(own, schema)
 
     schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("gap", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-    spread = manifest.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("path"))
+    spread = manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return map_batches(spread, work, "path string, offset bigint, length bigint, gap string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
