@@ -1,0 +1,36 @@
+import hashlib
+import random
+
+import corpus_pipeline
+from rulesieve.llm import bpe, langid
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_stages_one_by_one_and_run(spark, tmp_path, words):
+    rnd, item = random.Random(3), "every good boy does fine and all cows eat grass today"
+    rows = [(i, " ".join(words(rnd.randint(30, 60), i)), "en") for i in range(30)]
+    rows += [(100, rows[4][1], "en"), (101, rows[5][1] + " end", "en"), (102, "so: " + item.upper() + "! " + " ".join(words(20, 99)), "en"), (103, "mail me at a.b@c.de or +1 555 123 4567 " + " ".join(words(20, 98)), "en"), (104, "1234 !!", "en"), (105, None, "en")]
+    full = [(i, t, g, "s", None if t is None else len(t)) for i, t, g in rows]
+    spark.createDataFrame(full, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, texts = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    wanted = {"language_id": set(range(30)) | {100, 101, 102, 103}, "near_duplicates": set(range(30)) | {102, 103}, "decontamination": set(range(30)) | {103}, "personal_data": set(range(30)) | {103}}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        if name in wanted:
+            assert out.columns == docs.columns
+            out.write.parquet(f"{tmp_path}/{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}")
+            texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+            assert set(texts) == wanted[name], name
+        else:
+            last = out.collect()
+    assert texts[103].startswith("mail me at [email] or [phone] ")
+    with open(bpe.vocabulary_path(), "rb") as f:
+        own = bpe.Bpe(f.read())
+    for r in last:
+        ids = own.encode(texts[r["doc_id"]])
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["decoded_sha256"] == hashlib.sha256(own.decode(ids).encode()).hexdigest()
+    assert len(last) == 31 and sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, last))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "personal_data", "tokens"] and langid.UNDETERMINED == "und"
