@@ -36,6 +36,14 @@ def _leaf_text(kind: AttrType, value: object) -> tuple[str | None, float | None]
     return (None, value) if kind is AttrType.FLOAT else (str(value), None)
 
 
+def _pairs(attr: str, kind: AttrType) -> Column:
+    """(attribute, value) of a scalar, or the array of them of a list; an undefined list has none."""
+    pair = lambda c: F.struct(F.lit(attr).alias("attr"), _text(kind, c).alias("v"))
+    if kind.is_list:
+        return F.coalesce(F.transform(named(attr), pair), F.array().cast("array<struct<attr:string,v:string>>"))
+    return pair(named(attr))
+
+
 def true_leaves(events: DataFrame, registry: Registry) -> DataFrame:
     """event_id, node of every leaf that is true."""
     spark = events.sparkSession
@@ -48,14 +56,18 @@ def true_leaves(events: DataFrame, registry: Registry) -> DataFrame:
         values = {"var": (True,), "not_var": (False,)}.get(own.kind) or (own.operand if isinstance(own.operand, tuple) else (own.operand,))
         by_value[own.attr] += [(n, *_leaf_text(registry.schema.types[own.attr], v)) for v in values]
     parts = []
-    for attr, rows in by_value.items():
-        kind = registry.schema.types[attr]
-        table = spark.createDataFrame(rows, "node bigint, t string, d double")
-        table = _sized(table.select("node", _text(kind, F.col("d") if kind is AttrType.FLOAT else F.col("t")).alias("v")), len(rows))
-        value = F.explode(named(attr)) if kind.is_list else named(attr)
-        probe = events.select("event_id", value.alias("v")).where("v IS NOT NULL").withColumn("v", _text(kind, F.col("v")))
-        found = probe.join(table, "v").select("event_id", "node")
-        parts.append(found.distinct() if kind.is_list else found)  # a list may hold several values of one leaf
+    for lists in (False, True):
+        attrs = [a for a in by_value if registry.schema.types[a].is_list == lists]
+        if not attrs:
+            continue
+        rows = [(a, *row) for a in attrs for row in by_value[a]]
+        table = spark.createDataFrame(rows, "attr string, node bigint, t string, d double")
+        table = _sized(table.select("attr", "node", F.coalesce("t", _text(AttrType.FLOAT, F.col("d"))).alias("v")), len(rows))
+        # one scan: an event's values as rows (attribute, value)
+        pairs = [_pairs(a, registry.schema.types[a]) for a in attrs]
+        probe = events.select("event_id", F.explode(F.concat(*pairs) if lists else F.array(*pairs)).alias("p")).select("event_id", "p.attr", "p.v").where("v IS NOT NULL")
+        found = probe.join(table, ["attr", "v"]).select("event_id", "node")
+        parts.append(found.distinct() if lists else found)  # a list may hold several values of one leaf
     for i in range(0, len(scanned), CHUNK):
         hits = F.array_compact(F.array(*[F.when(leaf_column(registry.schema, own), F.lit(n).cast("bigint")) for n, own in scanned[i : i + CHUNK]]))
         parts.append(events.select("event_id", F.explode(hits).alias("node")))
