@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ..plans.dag import Dag
+from ..plans.dag import INDEXED, Dag
 from ..plans.expr import Leaf
 from ..schema import AttrType, Schema
 
@@ -32,6 +32,9 @@ class Compiled:
     wakes: dict[int, list[int]]
     subs: list[tuple[int, np.ndarray]]
     always: np.ndarray
+    #: For the counters: leaves that an index finds, and by attribute how many others are tried where it is known, and everywhere.
+    indexed: frozenset[int]
+    tried: dict[str, tuple[int, int]]
 
 
 def compiled(schema: Schema, dag: Dag, dense: dict[int, int], always: list[int]) -> Compiled:
@@ -45,17 +48,23 @@ def compiled(schema: Schema, dag: Dag, dense: dict[int, int], always: list[int])
                 equal[own.attr][v].append(n)
         else:
             other[own.attr].append((n, own))
+    indexed = frozenset(n for x, n in dag.leaves.items() if dag.indexed and x.kind in INDEXED)
+    tried: dict[str, tuple[int, int]] = {}
+    for x, n in dag.leaves.items():
+        if n not in indexed:
+            known, all_ = tried.get(x.attr, (0, 0))
+            tried[x.attr] = (known, all_ + 1) if x.kind in ("is_null", "is_not_null") else (known + 1, all_)
     inner, wakes = [], defaultdict(list)
     for _, level in dag.levels():
         for n in level:
             node = dag.nodes[n]
             if node.kind != "leaf":
                 inner.append((n, node.kind == "and", tuple(sorted(node.children, key=lambda c: (c != node.access, dag.rank(c)))), node.access))
-    for k, (_, conj, children, _) in enumerate(inner):
-        for c in children[:1] if conj else children:
+    for k, (_, conj, children, access) in enumerate(inner):
+        for c in children[:1] if conj and access is not None else children:
             wakes[c].append(k)
     subs = [(n, np.array(sorted(dense[s] for s in node.subs), np.int32)) for n, node in dag.nodes.items() if node.subs]
-    return Compiled(dict(schema), {a: dict(v) for a, v in equal.items()}, dict(other), inner, dict(wakes), subs, np.array(sorted(dense[s] for s in always), np.int32))
+    return Compiled(dict(schema), {a: dict(v) for a, v in equal.items()}, dict(other), inner, dict(wakes), subs, np.array(sorted(dense[s] for s in always), np.int32), indexed, tried)
 
 
 def _merged(parts: list[np.ndarray]) -> np.ndarray:
@@ -138,8 +147,14 @@ class _Column:
         return self._not(_merged([self.holding(v) for v in values]))  # ne, not_in, none_of
 
 
-def matched(own: Compiled, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Row and dense subscription of each match, by row and then subscription.  The batch's columns: the attributes used."""
+COUNTERS = ("predicates_evaluated", "predicates_true", "nodes_visited", "and_woken", "and_true", "or_visited")
+
+
+def matched(own: Compiled, batch: pa.RecordBatch, counters: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row and dense subscription of each match, by row and then subscription.  The batch's columns: the attributes used.
+
+    counters: an array of the batch's length for each of COUNTERS, added to.
+    """
     true: dict[int, np.ndarray] = {}
     woken: set[int] = set()
     for name, kind in own.types.items():
@@ -161,13 +176,23 @@ def matched(own: Compiled, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarra
         for n, rows in parts.items():
             true[n] = _merged(rows)
             woken.update(own.wakes.get(n, ()))
+            if counters is not None:
+                counters["predicates_true"][true[n]] += 1
+                counters["predicates_evaluated"][true[n]] += n in own.indexed
+        if counters is not None:
+            known, all_ = own.tried.get(name, (0, 0))
+            counters["predicates_evaluated"] += all_ + known * column.known
     # by levels: a node wakes only nodes of higher levels, which stand behind it
     todo = sorted(woken)
     heapq.heapify(todo)
     seen = set(todo)
     while todo:
-        n, conj, children, _ = own.inner[heapq.heappop(todo)]
+        n, conj, children, access = own.inner[heapq.heappop(todo)]
         held = [true.get(c, _NONE) for c in children]
+        if counters is not None:
+            seen_by = held[0] if conj and access is not None else _merged([_NONE, *held])
+            for name in ("nodes_visited", "and_woken" if conj else "or_visited"):
+                counters[name][seen_by] += 1
         if conj:
             rows = held[0]
             for other_rows in held[1:]:
@@ -177,6 +202,8 @@ def matched(own: Compiled, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarra
                 rows = _common(rows, other_rows)
         else:
             rows = _merged([h for h in held if len(h)])
+        if counters is not None and conj:
+            counters["and_true"][rows] += 1
         if len(rows):
             true[n] = rows
             for k in own.wakes.get(n, ()):

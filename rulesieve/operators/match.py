@@ -152,6 +152,25 @@ def match_ids(events: DataFrame, registry: Registry, allow: Iterable[int], how:
     return match(events, registry.subset(allow), how, event_id)
 
 
+def match_stats(events: DataFrame, registry: Registry, event_id: str = "event_id") -> DataFrame:
+    """event_id, matches and what a search looked at: the counters of plans.dag.Found, event by event."""
+    own = _events(events, registry, event_id)
+    dense = {s: i for i, s in enumerate(sorted(registry.rules))}
+    graph = own.sparkSession.sparkContext.broadcast(kernel.compiled(registry.schema, registry.dag, dense, registry.always))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                counters = {c: np.zeros(batch.num_rows, np.int64) for c in kernel.COUNTERS}
+                rows, _ = kernel.matched(graph.value, batch, counters)
+                yield pa.record_batch([batch.column(0), pa.array(np.bincount(rows, minlength=batch.num_rows).astype(np.int64)), *map(pa.array, counters.values())], names)
+
+    schema = T.StructType([own.schema["event_id"], *[T.StructField(n, T.LongType()) for n in ("matches", *kernel.COUNTERS)]])
+    names = schema.fieldNames()
+    return own.mapInArrow(work, schema)
+
+
 def evaluate(events: DataFrame, registry: Registry, rule: str | Expr, event_id: str = "event_id") -> DataFrame:
     """event_id, value: true, false or null for undefined."""
     expr = registry.parse(rule) if isinstance(rule, str) else rule

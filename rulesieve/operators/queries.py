@@ -18,7 +18,7 @@ from ..schema import Schema
 from ..sources.events import accepted, decoded, rejected
 from ..streaming.tables import stream_to_table
 from .deliver import deliver
-from .match import evaluate, exists, match, match_ids, match_lists
+from .match import evaluate, exists, match, match_ids, match_lists, match_stats
 
 EVENTS = Schema([("user_id", "int"), ("value", "float"), ("event_type", "string"), ("k", "int"), ("hot", "bool"), ("tags", "string_list"), ("ks", "int_list")])
 #: The events with attributes of every type; some are left undefined by rule, so that three-valued logic shows.
@@ -344,6 +344,11 @@ def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_to_table(source, lambda batch: match(derived(batch), registry()))
 
 
+@query("report_stats")
+def report_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_stats(events(spark, sf_dir), registry())
+
+
 @query("dag_stats")
 def dag_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sorted(registry().stats().items()), "name string, value bigint")

@@ -9,7 +9,6 @@ only once that child is true.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -18,7 +17,7 @@ from ..functions.evaluate import holds
 from .expr import And, Expr, Leaf
 from .printer import leaf_text
 
-_INDEXED = frozenset(("var", "not_var", "lt", "le", "gt", "ge", "eq", "in", "one_of", "is_null"))
+INDEXED = frozenset(("var", "not_var", "lt", "le", "gt", "ge", "eq", "in", "one_of", "is_null"))
 _RANK = dict.fromkeys(("eq", "in", "one_of"), 0) | dict.fromkeys(("lt", "le", "gt", "ge", "all_of", "is_empty"), 1) | dict.fromkeys(("var", "not_var", "is_null"), 4)
 SHOWN = 8
 
@@ -33,6 +32,7 @@ class Node:
     parents: set[int] = field(default_factory=set)
     subs: set[int] = field(default_factory=set)
     access: int | None = None
+    anchor: int = -1  # the member by which larger nodes find this one
 
 
 @dataclass
@@ -55,6 +55,7 @@ class Dag:
         self.leaves: dict[Leaf, int] = {}
         self.inner: dict[tuple[str, frozenset[int]], int] = {}
         self.holders: dict[tuple[str, int], set[int]] = {}  # (kind, member) to nodes of that kind with the member
+        self.anchored: dict[tuple[str, int], set[int]] = {}  # each inner node once, under its member with the fewest holders
         self.reorganized = self.self_adjusted = self.next = 0
 
     # ---- building -----------------------------------------------------------------------------------------------
@@ -88,17 +89,16 @@ class Dag:
         self.inner[kind, members] = own
         for m in members:
             self.holders.setdefault((kind, m), set()).add(own)
+        self.nodes[own].anchor = min(members, key=lambda m: (len(self.holders[kind, m]), m))
+        self.anchored.setdefault((kind, self.nodes[own].anchor), set()).add(own)
         self._choose(own)
         if self.self_adjust:
             self._adjust(own)
         return own
 
-    def _sharing(self, kind: str, members: Iterable[int]) -> Counter[int]:
-        """Nodes of the kind by the number of these members that they have."""
-        return Counter(n for m in members for n in self.holders.get((kind, m), ()))
-
     def _covered(self, kind: str, members: frozenset[int]) -> set[int]:
-        parts = {n: self.nodes[n].members for n, k in self._sharing(kind, members).items() if k == len(self.nodes[n].members) < len(members)}
+        within = (n for m in members for n in self.anchored.get((kind, m), ()))
+        parts = {n: self.nodes[n].members for n in within if self.nodes[n].members < members}
         left, out = set(members), set()
         while parts:
             best = max(parts, key=lambda n: (len(parts[n] & left), -n))
@@ -111,9 +111,9 @@ class Dag:
 
     def _adjust(self, own: int) -> None:
         node = self.nodes[own]
-        for n, k in sorted(self._sharing(node.kind, node.members).items()):
+        for n in sorted(self.holders[node.kind, node.anchor]):
             other = self.nodes[n]
-            if n == own or k < len(node.members):
+            if n == own or not node.members <= other.members:
                 continue
             inside = {c for c in other.children if ({c} if c in other.members else self.nodes[c].members) <= node.members}
             covered = frozenset().union(*({c} if c in other.members else self.nodes[c].members for c in inside))
@@ -168,6 +168,7 @@ class Dag:
                 del self.leaves[own.leaf]
                 continue
             del self.inner[own.kind, own.members]
+            self.anchored[own.kind, own.anchor].discard(n)
             for m in own.members:
                 self.holders[own.kind, m].discard(n)
             for c in own.children:
@@ -180,7 +181,7 @@ class Dag:
         found, true, by_level = Found([]), set(), {}
         for own, n in self.leaves.items():
             value = holds(own, event)
-            if not (self.indexed and own.kind in _INDEXED) and (value is not None):
+            if not (self.indexed and own.kind in INDEXED) and (value is not None):
                 found.predicates_evaluated += 1
             elif value:
                 found.predicates_evaluated += 1
@@ -215,7 +216,7 @@ class Dag:
 
     def stats(self) -> dict[str, int]:
         leaves = list(self.leaves)
-        indexed = sum(x.kind in _INDEXED for x in leaves) if self.indexed else 0
+        indexed = sum(x.kind in INDEXED for x in leaves) if self.indexed else 0
         return {
             "nodes": len(self.nodes), "leaves": len(leaves), "edges": sum(len(n.children) for n in self.nodes.values()), "max_level": max((n.level for n in self.nodes.values()), default=0),
             "indexed_leaves": indexed, "scanned_leaves": len(leaves) - indexed, "reorganized": self.reorganized, "self_adjusted": self.self_adjusted,

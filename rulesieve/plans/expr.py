@@ -88,14 +88,14 @@ def _number(name: str, kind: AttrType, value: object) -> int | float:
         if isinstance(value, float):
             raise _mismatch(f"int attribute '{name}' can't be compared with a float")
         if not INT_MIN <= value <= INT_MAX:
-            raise RuleError(Status.INVALID_LITERAL, "integer literal out of range")
+            raise RuleError(Status.INVALID_LITERAL, "the integer doesn't fit 64 bits")
         return value
     if isinstance(value, int):
         if abs(value) > FLOAT_INT_MAX:
-            raise RuleError(Status.INVALID_LITERAL, "integer literal is too large for a float attribute")
+            raise RuleError(Status.INVALID_LITERAL, "the integer is too large for a float attribute")
         return float(value)
     if not math.isfinite(value):
-        raise RuleError(Status.INVALID_LITERAL, "float literal is not a finite number")
+        raise RuleError(Status.INVALID_LITERAL, "the number is not finite")
     return value
 
 
@@ -107,7 +107,7 @@ def _elements(name: str, element: AttrType, values: Iterable) -> tuple:
         if any(isinstance(v, bool) or not isinstance(v, int) for v in values):
             raise _mismatch(f"attribute '{name}' needs a list of integers")
         if not all(INT_MIN <= v <= INT_MAX for v in values):
-            raise RuleError(Status.INVALID_LITERAL, "integer literal out of range")
+            raise RuleError(Status.INVALID_LITERAL, "the integer doesn't fit 64 bits")
     elif not all(isinstance(v, str) for v in values):
         raise _mismatch(f"attribute '{name}' needs a list of strings")
     return tuple(sorted(set(values), key=lambda v: v.encode("utf-8", "surrogatepass") if isinstance(v, str) else v))

@@ -7,8 +7,9 @@ import pytest
 from rulesieve.errors import RuleError, Status
 from rulesieve.functions.evaluate import evaluate as meaning
 from rulesieve.operators import match as m
-from rulesieve.operators.match import evaluate, exists, for_each, match, match_ids, match_lists
-from rulesieve.registry import Registry
+from rulesieve.operators.kernel import COUNTERS
+from rulesieve.operators.match import evaluate, exists, for_each, match, match_ids, match_lists, match_stats
+from rulesieve.registry import Config, Registry
 from rulesieve.schema import Schema
 from rulesieve.sources.events import from_rows
 from tests.test_parser import GEN, random_event, random_rule
@@ -64,6 +65,17 @@ def test_conveniences(case):
         match(df, own, "other")
 
 
+@pytest.mark.parametrize("config", [Config(), Config(on_demand=False), Config(indexed=False), Config(reorganize=False, self_adjust=False)])
+def test_counters_are_those_of_single_searches(case, config):
+    own, events, df, _ = case
+    other = Registry(GEN, config)
+    for sub, rule in own.given.items():
+        other.insert(sub, rule)
+    for r in match_stats(df, other).collect():
+        found = other.search(events[r["event_id"]])
+        assert r["matches"] == len(found.ids) and all(r[c] == getattr(found, c) for c in COUNTERS), r
+
+
 def test_no_rules_no_events_no_attributes(spark):
     schema = Schema([("a", "int")])
     none, some = from_rows(spark, schema, []), from_rows(spark, schema, [{"a": 1}, {}])
