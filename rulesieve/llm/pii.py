@@ -33,8 +33,8 @@ PATTERNS = {
     # whole chains of digits, single blanks or hyphens between them, of 14 to 19 digits
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
 #: Words that make a kind likelier.
 CONTEXT = {
@@ -76,6 +76,8 @@ def _confirmed(kind: str, x: Column) -> Column:
         return F.length(_digits(x)).between(10, 15)
     if kind == "iban":
         return _mod97(x)
+    if kind == "ssn":  # numbers that were never given out
+        return ~(F.substring(x, 1, 3).isin("000", "666") | F.startswith(x, F.lit("9")) | (F.substring(x, 5, 2) == "00") | (F.substring(x, 8, 4) == "0000"))
     return F.lit(True)
 
 
@@ -167,3 +169,32 @@ def stage(docs: DataFrame) -> DataFrame:
     own = add_spans(docs.withColumn("__rs_text", F.coalesce("text", F.lit(""))), "__rs_text", "__rs_spans")
     text = F.when(F.size("__rs_spans") > 0, redacted(F.col("__rs_text"), F.col("__rs_spans"))).otherwise(F.col("text"))
     return own.withColumn("text", text).select(*docs.columns)
+
+
+def sql() -> str:
+    """The same rows with the plain patterns; places are running sums over rows."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": PATTERNS["iban"], "ssn": PATTERNS["ssn"],
+    }
+    found = " UNION ALL ".join(f"SELECT id, '{k}' AS kind, {i} AS rank, regexp_extract_all(x, '{p}') AS m, string_split_regex(x, '{p}') AS g FROM t" for i, (k, p) in enumerate(plain.items()))
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS x FROM documents),
+f AS ({found}),
+r AS (SELECT id, kind, rank, i, m[i] AS m, length(g[i]) AS gap FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f)),
+s AS (SELECT *, sum(gap + length(m)) OVER (PARTITION BY id, kind ORDER BY i) - length(m) AS a, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM r),
+v AS (SELECT s.*, a + length(m) AS b, lower(substr(x, CAST(greatest(a - {NEAR} + 1, 1) AS BIGINT), CAST(least(a, {NEAR}) AS BIGINT))) AS near,
+  replace(m, ' ', '') AS own FROM s JOIN t ON t.id = s.id),
+c AS (SELECT id, kind, rank, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM v WHERE CASE kind
+  WHEN 'email' THEN true
+  WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda p: coalesce(try_cast(p AS HUGEINT), 999) > 255)) = 0
+  WHEN 'card' THEN length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(d)[i] AS INT) ELSE CAST(reverse(d)[i] AS INT) * 2 - CASE WHEN CAST(reverse(d)[i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+  WHEN 'phone' THEN length(d) BETWEEN 10 AND 15
+  WHEN 'iban' THEN length(own) BETWEEN 15 AND 34 AND list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(substr(own, 5) || substr(own, 1, 4), ''), lambda q: CAST(CASE WHEN q BETWEEN '0' AND '9' THEN ascii(q) - 48 ELSE ascii(q) - 55 END AS BIGINT))), lambda y, q: CASE WHEN q < 10 THEN (y * 10 + q) % 97 ELSE (y * 100 + q) % 97 END) = 1
+  ELSE substr(m, 1, 3) NOT IN ('000', '666') AND m NOT LIKE '9%' AND substr(m, 5, 2) <> '00' AND substr(m, 8) <> '0000' AND regexp_matches(near, '{CONTEXT["ssn"]}') END),
+o AS (SELECT id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank < {len(BASE)}) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans FROM c GROUP BY id)
+SELECT doc_id, CAST(coalesce(n_email, 0) AS BIGINT) AS n_email, CAST(coalesce(n_ip, 0) AS BIGINT) AS n_ip, CAST(coalesce(n_card, 0) AS BIGINT) AS n_card, CAST(coalesce(n_phone, 0) AS BIGINT) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN o ON o.id = t.id
+"""

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from rulesieve.llm import pii
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -57,3 +59,13 @@ def test_nulls_empty_tables_and_stage(docs):
     out = pii.stage(rows)
     assert out.columns == rows.columns
     assert sorted((str(r["doc_id"]), r["text"]) for r in out.collect()) == [("1", None), ("2", "call [phone] or [email]!"), ("2", "call [phone] or [email]!"), ("3", "clean text"), ("None", "[email]")]
+
+
+def test_sql_gives_the_same(spark, docs, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = [t for t in _texts() if len(t) < 2000] + ["GB82 WEST 1234 5698 7654 32", "my SSN 123-45-6789 and ssn 000-12-3456", "DE89370400440532013000 DE89370400440532013000", None]
+    docs(list(enumerate(texts))).select("doc_id", "text").write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    got = sorted(map(tuple, pii.query(spark.read.parquet(f"{tmp_path}/d")).collect()))
+    assert got == sorted(con.execute(pii.sql()).fetchall())
