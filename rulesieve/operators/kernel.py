@@ -67,8 +67,16 @@ def compiled(schema: Schema, dag: Dag, dense: dict[int, int], always: list[int])
     return Compiled(dict(schema), {a: dict(v) for a, v in equal.items()}, dict(other), inner, dict(wakes), subs, np.array(sorted(dense[s] for s in always), np.int32), indexed, tried)
 
 
-def _merged(parts: list[np.ndarray]) -> np.ndarray:
-    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+def _merged(parts: list[np.ndarray], size: int) -> np.ndarray:
+    """The union of sorted rows of a batch of the given size."""
+    if len(parts) == 1:
+        return parts[0]
+    if sum(map(len, parts)) * 16 < size:
+        return np.unique(np.concatenate(parts))
+    mark = np.zeros(size, bool)
+    for p in parts:
+        mark[p] = True
+    return np.flatnonzero(mark).astype(np.int32)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,17 +152,18 @@ class _Column:
             for v in values[1:]:
                 rows = _common(rows, self.holding(v)) if len(rows) else rows
             return rows if k == "all_of" else self._not(rows)
-        return self._not(_merged([self.holding(v) for v in values]))  # ne, not_in, none_of
+        return self._not(_merged([self.holding(v) for v in values], self.size))  # ne, not_in, none_of
 
 
 COUNTERS = ("predicates_evaluated", "predicates_true", "nodes_visited", "and_woken", "and_true", "or_visited")
 
 
-def matched(own: Compiled, batch: pa.RecordBatch, counters: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row and dense subscription of each match, by row and then subscription.  The batch's columns: the attributes used.
+def matched(own: Compiled, batch: pa.RecordBatch, counters: dict[str, np.ndarray] | None = None, ordered: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Row and dense subscription of each match, if ordered by row and then subscription.  The batch's columns: the attributes used.
 
     counters: an array of the batch's length for each of COUNTERS, added to.
     """
+    size = batch.num_rows
     true: dict[int, np.ndarray] = {}
     woken: set[int] = set()
     for name, kind in own.types.items():
@@ -174,7 +183,7 @@ def matched(own: Compiled, batch: pa.RecordBatch, counters: dict[str, np.ndarray
             if len(rows):
                 parts[n].append(rows)
         for n, rows in parts.items():
-            true[n] = _merged(rows)
+            true[n] = _merged(rows, size)
             woken.update(own.wakes.get(n, ()))
             if counters is not None:
                 counters["predicates_true"][true[n]] += 1
@@ -190,7 +199,7 @@ def matched(own: Compiled, batch: pa.RecordBatch, counters: dict[str, np.ndarray
         n, conj, children, access = own.inner[heapq.heappop(todo)]
         held = [true.get(c, _NONE) for c in children]
         if counters is not None:
-            seen_by = held[0] if conj and access is not None else _merged([_NONE, *held])
+            seen_by = held[0] if conj and access is not None else _merged([_NONE, *held], size)
             for name in ("nodes_visited", "and_woken" if conj else "or_visited"):
                 counters[name][seen_by] += 1
         if conj:
@@ -201,7 +210,7 @@ def matched(own: Compiled, batch: pa.RecordBatch, counters: dict[str, np.ndarray
                     break
                 rows = _common(rows, other_rows)
         else:
-            rows = _merged([h for h in held if len(h)])
+            rows = _merged([h for h in held if len(h)], size)
         if counters is not None and conj:
             counters["and_true"][rows] += 1
         if len(rows):
@@ -220,5 +229,7 @@ def matched(own: Compiled, batch: pa.RecordBatch, counters: dict[str, np.ndarray
         rows_out.append(np.repeat(everything, len(own.always)))
         subs_out.append(np.tile(own.always, batch.num_rows))
     rows, subs = np.concatenate(rows_out), np.concatenate(subs_out)
-    order = np.lexsort((subs, rows))
-    return rows[order], subs[order]
+    if ordered:
+        both = np.sort(rows.astype(np.int64) << 32 | subs)
+        rows, subs = (both >> 32).astype(np.int32), (both & 0xFFFFFFFF).astype(np.int32)
+    return rows, subs

@@ -97,7 +97,7 @@ def _indexed(events: DataFrame, registry: Registry, lists: bool) -> DataFrame:
                 batch = whole.slice(at, 4096)
                 rows, subs = [], []
                 for own, ids in blocks:
-                    r, d = kernel.matched(own.value, batch)
+                    r, d = kernel.matched(own.value, batch, ordered=lists)
                     if lists:
                         rows.append(r)
                         subs.append(ids_of(d, ids.value))
@@ -163,7 +163,7 @@ def match_stats(events: DataFrame, registry: Registry, event_id: str = "event_id
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 counters = {c: np.zeros(batch.num_rows, np.int64) for c in kernel.COUNTERS}
-                rows, _ = kernel.matched(graph.value, batch, counters)
+                rows, _ = kernel.matched(graph.value, batch, counters, ordered=False)
                 yield pa.record_batch([batch.column(0), pa.array(np.bincount(rows, minlength=batch.num_rows).astype(np.int64)), *map(pa.array, counters.values())], names)
 
     schema = T.StructType([own.schema["event_id"], *[T.StructField(n, T.LongType()) for n in ("matches", *kernel.COUNTERS)]])
