@@ -9,7 +9,7 @@ what is shuffled and what reaches the driver has a fixed size (languages x DIM n
 
 Defined results: a null text, an empty one or one without a letter is `und` with score 0; rows with a null language are
 not learned from, nor are those without a letter; with nothing learned every text is `und`; repeated rows count as
-often as they occur; ties between languages go to the first in alphabetical order; other columns are ignored.
+often as they occur; a word of more than PIECE characters may be cut; ties between languages go to the first in alphabetical order; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ CLASSES = 128
 UNDETERMINED = "und"
 #: Trigram vectors that a worker keeps, in rows of DIM bytes.
 KEPT = 60_000
+#: Characters looked at at once; some arrays of that length are held.
+PIECE = 2_000_000
 _LOW = 0x3000
 _WORKER: dict = {}
 
@@ -76,6 +78,51 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return text[1:-1][inner], code
 
 
+def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """trigrams() of the texts, about PIECE characters at a time; a longer text comes in parts, cut where a word ends."""
+    held: list[str | None] = []
+    first = size = 0
+    for i, text in enumerate(texts):
+        rest = text or ""
+        if size + len(rest) > PIECE and held:
+            of, code = trigrams(held)
+            yield of + first, code
+            held, size = [], 0
+        if not held:
+            first = i
+        while len(rest) > PIECE:
+            cut = next((k for k in range(PIECE, max(PIECE - 10_000, 1), -1) if not rest[k].isalpha()), PIECE)
+            of, code = trigrams([rest[:cut]])
+            yield of + i, code
+            rest = rest[cut:]
+        held.append(rest)
+        size += len(rest)
+    if held:
+        of, code = trigrams(held)
+        yield of + first, code
+
+
+def counted(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The number of each text that has letters, its trigrams' codes and their counts."""
+    open_text, codes, counts = -1, np.zeros(0, np.int32), np.zeros(0, np.int64)
+    for of, code in pieces(texts):
+        if not len(of):
+            continue
+        pairs, n = np.unique(of.astype(np.int64) << 21 | code, return_counts=True)
+        own, text = (pairs & (CLASSES**3 - 1)).astype(np.int32), pairs >> 21
+        starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+        for a, b in zip(starts, [*starts[1:], len(text)], strict=True):
+            if text[a] == open_text:  # a further part of a long text
+                codes, at = np.unique(np.concatenate([codes, own[a:b]]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, n[a:b]])).astype(np.int64)
+                continue
+            if open_text >= 0:
+                yield open_text, codes, counts
+            open_text, codes, counts = int(text[a]), own[a:b], n[a:b]
+    if open_text >= 0:
+        yield open_text, codes, counts
+
+
 def letters() -> np.ndarray:
     if "letters" not in _WORKER:
         _WORKER["letters"] = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (CLASSES, DIM))
@@ -100,12 +147,12 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         texts, langs = texts_of(batch, "text"), np.array(texts_of(batch, "lang"), object)
-        text, code = trigrams(texts)
         names, at = np.unique(langs.astype(str), return_inverse=True)
-        which = at[text]
-        for k, name in enumerate(names):
-            own = counts.setdefault(str(name), np.zeros(CLASSES**3, np.int64))
-            own += np.bincount(code[which == k], minlength=CLASSES**3)
+        for of, code in pieces(texts):
+            which = at[of]
+            for k in np.unique(which):
+                own = counts.setdefault(str(names[k]), np.zeros(CLASSES**3, np.int64))
+                own += np.bincount(code[which == k], minlength=CLASSES**3)
     for name, own in counts.items():
         codes = np.flatnonzero(own)
         if len(codes):
@@ -149,17 +196,11 @@ class Profiles:
         langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         if not self.names:
             return langs, scores
-        text, code = trigrams(texts)
-        pairs, counts = np.unique(text.astype(np.int64) << 21 | code, return_counts=True)
-        codes, of = (pairs & (CLASSES**3 - 1)).astype(np.int32), pairs >> 21
-        ends = np.searchsorted(of, np.arange(len(texts) + 1))
-        for i in range(len(texts)):
-            a, b = ends[i], ends[i + 1]
-            if a < b:
-                v = self.vector(codes[a:b], counts[a:b])
-                cos = self.prototypes @ v / max(np.linalg.norm(v), 1e-9)
-                best = int(np.argmax(cos))
-                langs[i], scores[i] = self.names[best], min(1.0, max(0.0, float(cos[best])))
+        for i, codes, counts in counted(texts):
+            v = self.vector(codes, counts)
+            cos = self.prototypes @ v / max(np.linalg.norm(v), 1e-9)
+            best = int(np.argmax(cos))
+            langs[i], scores[i] = self.names[best], min(1.0, max(0.0, float(cos[best])))
         return langs, scores
 
 
@@ -170,12 +211,7 @@ def batch_predictor(names: list[str], prototypes: np.ndarray):
     def predict(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         if not own:
             own.append(Profiles(names, prototypes))
-        langs, scores = [], []
-        for i in range(0, len(texts), 512):
-            a, b = own[0].predict(texts[i : i + 512])
-            langs += a
-            scores.append(b)
-        return langs, np.concatenate(scores) if scores else np.zeros(0)
+        return own[0].predict(texts)
 
     return predict
 

@@ -56,3 +56,12 @@ def test_nothing_learned_empty_tables_and_stage(docs):
     rows = docs(_rows(60) + [(100, "123", "aa"), (101, None, "aa")])
     kept = langid.stage(rows)
     assert kept.columns == rows.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(60))
+
+
+def test_pieces_change_no_count(monkeypatch):
+    rnd = random.Random(6)
+    texts = [_text(rnd.choice(list(SYLLABLES)), rnd, rnd.choice([0, 1, 5, 40])) + rnd.choice(["", " 1!", "\n"]) for _ in range(60)] + [None, "", "ka lo " * 200, "x"]
+    whole = {i: dict(zip(c.tolist(), n.tolist(), strict=True)) for i, c, n in langid.counted(texts)}
+    monkeypatch.setattr(langid, "PIECE", 90)
+    parts = {i: dict(zip(c.tolist(), n.tolist(), strict=True)) for i, c, n in langid.counted(texts)}
+    assert parts == whole and sum(map(len, whole.values())) > 100
