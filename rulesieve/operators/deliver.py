@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Subscribers of every match that one delivery can have; they are broadcast.
+LISTENERS = 100_000
+
 
 def subscribed(subscribers: DataFrame) -> DataFrame:
     """Subscribing again changes nothing."""
@@ -31,6 +34,7 @@ def deliver(matches: DataFrame, events: DataFrame, subscribers: DataFrame) -> Da
     # every match goes to every such subscriber: as many rows as messages are asked for
     every = F.collect_list(F.struct("subscriber_id", "kind"))
     listeners = own.where("sub_id IS NULL").agg(F.sort_array(every).alias("who")).withColumn("k", F.lit(1))
+    listeners = listeners.where(F.assert_true(F.size("who") <= LISTENERS, F.lit("too many subscribers of every match")).isNull())
     all_ = told.withColumn("k", F.lit(1)).join(F.broadcast(listeners), "k").select("event_id", "sub_id", "payload", F.explode("who").alias("w"))
     all_ = all_.select("w.subscriber_id", "w.kind", "event_id", "sub_id", catch_all_payload(F.col("sub_id"), F.col("payload")).alias("message"))
     return one.unionByName(all_)

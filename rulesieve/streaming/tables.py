@@ -25,4 +25,8 @@ def stream_to_table(source: DataFrame, work: Callable[[DataFrame], DataFrame]) -
 
     schema = work(spark.createDataFrame([], source.schema)).schema
     source.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):  # a stream without rows has no batch
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema.add("batch", "long")).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/*").drop("batch")

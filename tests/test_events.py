@@ -119,3 +119,15 @@ def test_continuous(spark, tmp_path):
     (tmp_path / "in" / "b").write_text("age=2\n")
     run()
     assert told == ['{"age": 50}', "age=2"]
+
+
+def test_stream_to_table(spark, tmp_path):
+    from rulesieve.streaming.tables import stream_to_table
+
+    spark.createDataFrame([(1, 5), (2, 50)], "event_id bigint, age bigint").write.parquet(f"{tmp_path}/full")
+    spark.createDataFrame([], "event_id bigint, age bigint").write.parquet(f"{tmp_path}/none")
+    own = Registry(S)
+    own.insert(1, "age > 10")
+    for name, want in (("full", [(2, 1)]), ("none", [])):
+        source = spark.readStream.schema("event_id bigint, age bigint").parquet(f"{tmp_path}/{name}")
+        assert [tuple(r) for r in stream_to_table(source, lambda b: match(b, own)).collect()] == want
