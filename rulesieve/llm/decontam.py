@@ -14,7 +14,6 @@ window; items that repeat count once by id; a window that several items share co
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 

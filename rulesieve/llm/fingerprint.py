@@ -97,13 +97,12 @@ def with_next(rows: DataFrame, carried: list[str], parts: int) -> DataFrame:
         return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
     parts_down = sorted(ends, reverse=True)
     before = {p: parts_down[i - 1] for i, p in enumerate(parts_down)}  # the range whose last row p's first row follows; the highest range closes the ring
-    top = parts_down[0]
     heads = F.map_from_arrays(F.array(*[F.lit(ends[p]).cast("bigint") for p in parts_down]), F.array(*[F.lit(before[p]) for p in parts_down]))
     target = F.try_element_at(heads, F.col("__rs_key"))
-    first = target.isNotNull()
-    dealt = rows.withColumn("__rs_range", range_of(F.col("__rs_key"))).withColumn(
-        "__rs_to", F.explode(F.when(first, F.array(F.struct(F.col("__rs_range").alias("p"), F.lit(0).alias("ghost")), F.struct(target.alias("p"), F.lit(1).alias("ghost")))).otherwise(F.array(F.struct(F.col("__rs_range").alias("p"), F.lit(0).alias("ghost"))))))
-    dealt = dealt.withColumn("__rs_p", F.col("__rs_to.p")).withColumn("__rs_ghost", F.col("__rs_to.ghost")).drop("__rs_to", "__rs_range")
+    spot = lambda p, ghost: F.struct(p.alias("p"), F.lit(ghost).alias("ghost"))
+    own = range_of(F.col("__rs_key"))
+    dealt = rows.withColumn("__rs_to", F.explode(F.when(target.isNotNull(), F.array(spot(own, 0), spot(target, 1))).otherwise(F.array(spot(own, 0)))))
+    dealt = dealt.withColumn("__rs_p", F.col("__rs_to.p")).withColumn("__rs_ghost", F.col("__rs_to.ghost")).drop("__rs_to")
     # a ghost stands behind all rows of its range; of several with one id the first in order is the one that follows
     at = W.partitionBy("__rs_p").orderBy(F.col("__rs_ghost"), F.col("__rs_key").desc(), *[F.col(c) for c in carried])
     out = dealt.select("*", *[F.lead(c).over(at).alias(f"next_{c}") for c in carried])
