@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..registry import Registry
+from ..plans.printer import text
+from ..registry import Config, Registry
 from ..schema import Schema
 from .events import decoded
 
@@ -31,6 +34,20 @@ def load_rules(registry: Registry, rules: DataFrame) -> DataFrame:
     return out.union(unread)
 
 
+def save_rules(registry: Registry, spark: SparkSession, path: str) -> None:
+    """Writes the registered rules as a table (sub_id, rule) that parses to the same rules."""
+    rows = [(Decimal(s), text(r)) for s, r in sorted(registry.given.items())]
+    spark.createDataFrame(rows, "sub_id decimal(20,0), rule string").write.mode("overwrite").parquet(path)
+
+
+def restored(spark: SparkSession, path: str, schema: Schema, config: Config | None = None) -> Registry:
+    """A registry of a saved table; raises the first error, as a saved rule must be right."""
+    out = Registry(schema, config)
+    for _, _, error in out.insert_table(spark.read.parquet(path)):
+        raise error
+    return out
+
+
 def read_events(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
     """Decoded lines; event_id is unique and grows inside a file, but has gaps."""
     lines = spark.read.text(path).where(F.trim("value") != "")

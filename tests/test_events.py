@@ -88,6 +88,15 @@ def test_files(spark, tmp_path):
     assert sorted(int(r["sub_id"]) for r in match(accepted(out), own).collect()) == [1, 2, (1 << 64) - 1] and rejected(out).count() == 1
 
 
+def test_saved_rules(spark, tmp_path):
+    own = Registry(S)
+    for sub, rule in ((1, "age > 3 xor not (price between 1 and 2)"), ((1 << 64) - 1, "deals all of ['a\\n', \"'\"]"), (5, "true")):
+        own.insert(sub, rule)
+    files.save_rules(own, spark, f"{tmp_path}/rules")
+    again = files.restored(spark, f"{tmp_path}/rules", S)
+    assert again.rules == own.rules and again.given == own.given
+
+
 def test_delivery(spark):
     events = spark.createDataFrame([(1, '{"price": 12}'), (2, 'price=12;country="a"')], "event_id bigint, payload string")
     matches = spark.createDataFrame([(1, 7), (1, 8), (2, 7)], "event_id bigint, sub_id bigint")
