@@ -110,3 +110,28 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: int = KEY) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     return shard(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("row").alias("row_number"))
+
+
+def sql(shards: int = SHARDS, key: int = KEY) -> str:
+    """The same rows: CRC-32 by its table, and the network's rounds as steps of a recursion that ends inside [0, N)."""
+    keys = ", ".join(f"CAST({k} AS UBIGINT)" for k in _round_keys(key))
+    return f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS tab),
+d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda a, b: xor(a // 256, tab[xor(a, b) % 256 + 1])), 4294967295) END AS text_crc32
+  FROM (SELECT *, hex(encode(coalesce(text, ''))) AS h FROM documents), crc),
+n AS (SELECT d.*, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row_number FROM d),
+c AS (SELECT n, a, greatest(1, (n + a - 1) // a) AS b, [{keys}] AS keys FROM (SELECT count(*) AS n, greatest(1, CAST(ceil(sqrt(count(*))) AS BIGINT)) AS a FROM n)),
+w AS (
+  SELECT row_number, row_number // b AS l, row_number % b AS r, 0 AS i FROM n, c
+  UNION ALL
+  SELECT row_number, CASE WHEN i % 2 = 0 THEN (l + CAST(xor(z3, z3 >> 31) % a AS BIGINT)) % a ELSE l END, CASE WHEN i % 2 = 1 THEN (r + CAST(xor(z3, z3 >> 31) % b AS BIGINT)) % b ELSE r END, i + 1
+  FROM (SELECT *, CAST(CAST(xor(z2, z2 >> 27) AS UHUGEINT) * CAST({0x94D049BB133111EB} AS UHUGEINT) % CAST({1 << 64} AS UHUGEINT) AS UBIGINT) AS z3
+    FROM (SELECT *, CAST(CAST(xor(z1, z1 >> 30) AS UHUGEINT) * CAST({0xBF58476D1CE4E5B9} AS UHUGEINT) % CAST({1 << 64} AS UHUGEINT) AS UBIGINT) AS z2
+      FROM (SELECT w.*, a, b, CAST((CAST(CASE WHEN i % 2 = 0 THEN r ELSE l END AS UHUGEINT) + CAST(keys[i % {ROUNDS} + 1] AS UHUGEINT)) % CAST({1 << 64} AS UHUGEINT) AS UBIGINT) AS z1
+        FROM w, c WHERE NOT (i > 0 AND i % {ROUNDS} = 0 AND l * b + r < c.n))))),
+p AS (SELECT row_number, l * b + r AS p FROM w, c WHERE i > 0 AND i % {ROUNDS} = 0 AND l * b + r < c.n)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(p % {shards} AS INTEGER) AS shard, CAST(p // {shards} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(row_number AS BIGINT) AS row_number
+FROM n JOIN p USING (row_number)
+"""

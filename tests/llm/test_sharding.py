@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -47,3 +48,12 @@ def test_query(docs):
 
 def test_few_rows(docs):
     assert sorted((r["shard"], r["slot"]) for r in sharding.query(docs([(1, "a"), (2, "b")])).collect()) != []
+
+
+def test_sql_gives_the_same(spark, docs, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i * 7 - 50, f"téxt {i}" * (i % 5)) for i in range(150)] + [(3, None), (4, ""), (None, "n"), (7, "téxt 1"), (7, "téxt 1"), (9, "\x00é\U0010ffff")]
+    docs(rows).select("doc_id", "text").write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    assert sorted(map(str, map(tuple, sharding.query(spark.read.parquet(f"{tmp_path}/d")).collect()))) == sorted(map(str, con.execute(sharding.sql()).fetchall()))
