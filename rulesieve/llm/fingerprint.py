@@ -39,7 +39,7 @@ def add_fingerprint(df: DataFrame, text: Column, name: str, k: int = K, window:
     k and window are powers of 2.  Steps are columns of their own so that each array is computed once.
     """
     h, n = f"{name}_h", f"{name}_n"
-    own = df.withColumn(h, F.transform(F.array_remove(F.split(F.lower(text), "[\\x00-\\x20\\x7f]+"), ""), lambda w: F.xxhash64(w).bitwiseAND(F.lit(PRIME)) % PRIME))
+    own = df.withColumn(h, F.transform(F.array_remove(F.split(F.lower(text), "[\\x00-\\x20\\x7f]+"), ""), lambda w: F.crc32(w) % PRIME))
     whole = F.array(F.aggregate(F.col(h), F.lit(0).cast("bigint"), lambda a, b: (a * BASE + b) % PRIME))
     own = own.withColumn(h, F.when(F.size(h).between(1, k - 1), whole).otherwise(F.col(h)))
     width, power = 1, BASE
@@ -120,3 +120,34 @@ def query(docs: DataFrame) -> DataFrame:
     near = add_fingerprint(near, F.col("edited"), "efp")
     near = near.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("fp")).alias("fingerprint"), digest(F.col("efp")).alias("edited_fingerprint"), hashes(F.col("fp")).alias("a"), hashes(F.col("efp")).alias("b"), hashes(F.col("next_fp")).alias("c"))
     return near.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+
+
+def sql() -> str:
+    """The same rows with window functions over words, for K = 4 and WINDOW = 8."""
+    return rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS tab),
+d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS id FROM documents),
+n AS (SELECT d.*, e.text AS after, e.id AS after_id, length(d.text) AS n_chars FROM d JOIN d e ON e.id = CASE WHEN d.id = (SELECT max(id) FROM d) THEN 1 ELSE d.id + 1 END),
+x AS (SELECT *, substr(text, 1, n_chars - n_chars // 3) || substr(after, 1, n_chars // 3) AS edited FROM n),
+t AS (SELECT id, 0 AS k, text FROM x UNION ALL SELECT id, 1, edited FROM x),
+w AS (SELECT id, k, i - 1 AS i, w[i] AS w, len(w) AS m FROM (SELECT id, k, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT id, k, list_filter(string_split_regex(lower(text), '[\x00-\x20\x7f]+'), lambda q: q <> '') AS w FROM t))),
+h AS (SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda y: CAST('0x' || y AS BIGINT))), lambda a, b: xor(a // 256, tab[xor(a, b) % 256 + 1])), 4294967295) % {PRIME} AS h
+  FROM (SELECT DISTINCT w FROM w), crc),
+l AS (SELECT id, k, i, m, h.h AS a, lead(h.h, 1) OVER o AS b, lead(h.h, 2) OVER o AS c, lead(h.h, 3) OVER o AS e FROM w JOIN h ON h.w = w.w WINDOW o AS (PARTITION BY id, k ORDER BY i)),
+g AS (SELECT id, k, i, greatest(m - 3, 1) AS m, CASE
+    WHEN m = 1 THEN a WHEN m = 2 THEN (a * {BASE} + b) % {PRIME} WHEN m = 3 THEN ((a * {BASE} + b) % {PRIME} * {BASE} + c) % {PRIME}
+    ELSE (((a * {BASE} + b) % {PRIME} * {BASE} + c) % {PRIME} * {BASE} + e) % {PRIME} END AS g FROM l WHERE i < greatest(m - 3, 1)),
+v AS (SELECT id, k, i, m, min(g * {_POS + 1} + {_POS} - i) OVER (PARTITION BY id, k ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS v FROM g),
+f AS (SELECT DISTINCT id, k, v FROM v WHERE i <= greatest(m - 8, 0)),
+p AS (SELECT id, k, string_agg(CAST(v AS VARCHAR), ',' ORDER BY v % {_POS + 1} DESC) AS p FROM f GROUP BY ALL),
+s AS (SELECT DISTINCT id, k, v // {_POS + 1} AS h FROM f),
+z AS (SELECT id, k, count(*) AS n FROM s GROUP BY ALL),
+ea AS (SELECT a.id, count(*) AS n FROM s a JOIN s b ON a.id = b.id AND a.h = b.h WHERE a.k = 0 AND b.k = 1 GROUP BY a.id),
+na AS (SELECT x.id, count(*) AS n FROM x JOIN s a ON a.id = x.id AND a.k = 0 JOIN s b ON b.id = x.after_id AND b.k = 0 AND b.h = a.h GROUP BY x.id),
+r AS (SELECT x.*, coalesce(z0.n, 0) AS s0, coalesce(z1.n, 0) AS s1, coalesce(z2.n, 0) AS s2, coalesce(ea.n, 0) AS e, coalesce(na.n, 0) AS nx, p0.p AS p0, p1.p AS p1 FROM x
+  LEFT JOIN z z0 ON z0.id = x.id AND z0.k = 0 LEFT JOIN z z1 ON z1.id = x.id AND z1.k = 1 LEFT JOIN z z2 ON z2.id = x.after_id AND z2.k = 0
+  LEFT JOIN ea ON ea.id = x.id LEFT JOIN na ON na.id = x.id LEFT JOIN p p0 ON p0.id = x.id AND p0.k = 0 LEFT JOIN p p1 ON p1.id = x.id AND p1.k = 1)
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, sha256(coalesce(p0, '')) AS fingerprint, sha256(coalesce(p1, '')) AS edited_fingerprint,
+  CASE WHEN s0 = 0 AND s1 = 0 THEN 1.0::DOUBLE ELSE e / greatest(s0 + s1 - e, 1) END AS near_edited, CASE WHEN s0 = 0 AND s2 = 0 THEN 1.0::DOUBLE ELSE nx / greatest(s0 + s2 - nx, 1) END AS near_next
+FROM r
+"""

@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licence_scan": licences.sql(), "op3_warc": warc.SQL, "op5_decontamination": decontam.SQL, "op6_pii": pii.sql(), "op9_sharding": sharding.sql(), "op10_near_duplicates": neardup.SQL}
+    return {"op2_licence_scan": licences.sql(), "op3_warc": warc.SQL, "op5_decontamination": decontam.SQL, "op6_pii": pii.sql(), "op8_fingerprints": fingerprint.sql(), "op9_sharding": sharding.sql(), "op10_near_duplicates": neardup.SQL}

@@ -1,8 +1,9 @@
 import hashlib
 import random
 import re
+import zlib
 
-import xxhash
+import pytest
 
 from rulesieve.llm import fingerprint as fp
 
@@ -12,7 +13,7 @@ P = fp.PRIME
 def _brute(text, k=fp.K, w=fp.WINDOW):
     """(position, hash) of the chosen grams in order of choice."""
     words = [x for x in re.split(r"[\x00-\x20\x7f]+", text.lower()) if x]
-    h = [(xxhash.xxh64(x.encode(), seed=42).intdigest() & P) % P for x in words]
+    h = [zlib.crc32(x.encode()) % P for x in words]
 
     def poly(xs):
         out = 0
@@ -81,3 +82,12 @@ def test_few_empty_and_repeated_rows(docs):
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"a b c da b").hexdigest()[:64] or one["n_chars"] == 11
     rows = [(1, "x y z w v"), (1, "x y z w v"), (2, "p q"), (None, "n n n"), (None, None)]
     assert sorted(str(r["doc_id"]) for r in fp.query(docs(rows)).collect()) == ["1", "1", "2", "None", "None"]
+
+
+def test_sql_gives_the_same(spark, docs, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    docs([r for r in _rows() if r[0] != 505] + [(None, "n n n"), (6, "again")]).select("doc_id", "text").write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    got = sorted(map(str, map(tuple, fp.query(spark.read.parquet(f"{tmp_path}/d")).collect())))
+    assert got == sorted(map(str, con.execute(fp.sql()).fetchall()))
