@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Columns that an operator adds to rows it carries along start like this, so that they clash with no input column.
 OWN = "__rs_"
+#: What an Arrow batch holds at most, but for a single longer row.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -30,7 +33,6 @@ def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = Path(tempfile.gettempdir(), "rulesieve-checkpoints").as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/rulesieve-{uuid.uuid4().hex}"
@@ -49,9 +51,18 @@ def dropped(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds on an Arrow batch, which a task holds in the JVM and again in Python."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.match(r"-?[0-9]+", spark.conf.get(key))
+        if not now or not 0 < int(now[0]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow whose workers can import this package."""
     prepare(df.sparkSession)
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(work, schema)
 
 
