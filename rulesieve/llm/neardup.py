@@ -42,7 +42,7 @@ HASHES = 3
 AGREE = 31
 BLOCK = 512
 SALTS = 16
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 SEED = 20240610
 _HALF = SIDE * HASHES
 _U64 = np.uint64
@@ -309,6 +309,12 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
+def _by_key(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Members (key, node) with what is known of their buckets; a bucket's members are spread over SALTS tasks."""
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return salted.join(buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"]).drop("salt")
+
+
 def _with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
@@ -324,7 +330,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
 
     keyed = nodes.select(F.explode("u").alias("key"), "node")
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("rep")).where("size > 1")
-    members = stored(keyed.join(buckets, "key"), folder, "members")
+    members = stored(_by_key(keyed, buckets), folder, "members")
 
     involved = nodes.join(members.select("node").distinct(), "node", "left_semi")
     sets = stored(_sets(docs, involved.select("node", "d1", "d2"), shingle), folder, "sets")
@@ -336,7 +342,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
 
     placed = _with_comp(members.where("size > 2").select("key", "size", "node"), comps)
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    left = stored(placed.join(mixed, "key", "left_semi"), folder, "left")
+    left = stored(_by_key(placed, mixed), folder, "left")
     cut = sets.join(left.select("node").distinct(), "node", "left_semi").select("node", F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("s"))
     found = stored(_rest(left.join(known, "node").join(cut, "node"), percent).distinct(), folder, "found")
     more = stored(_confirmed(found, sets, percent), folder, "links_1")
