@@ -347,7 +347,8 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     found = stored(_rest(left.join(known, "node").join(cut, "node"), percent).distinct(), folder, "found")
     more = stored(_confirmed(found, sets, percent), folder, "links_1")
     comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), folder, "all")
-    dropped(spark, f"{folder}/sets")
+    for name in ("sets", "nodes", "members", "links_0", "left", "found", "links_1"):
+        dropped(spark, f"{folder}/{name}")
 
     moved = _with_comp(classes, comps).where("copies > 1 OR comp <> node").select("d1", "d2", F.col("comp").alias("component_id"))
     moved = moved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
