@@ -7,11 +7,13 @@ from bisect import bisect
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .plans.expr import Builder, Expr
 from .schema import AttrType, Schema
+from .workers import importable
 
 
 def dimension_type(d: int) -> AttrType:
@@ -70,8 +72,6 @@ class Workload:
         out = T.StructType([T.StructField("event_id", T.LongType()), *schema.struct().fields])
 
         def work(batches):
-            import pyarrow as pa
-
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 columns: dict[str, list] = {name: [None] * len(ids) for name, _ in schema}
@@ -84,4 +84,5 @@ class Workload:
                 arrow = {AttrType.STRING: pa.string(), AttrType.BOOL: pa.bool_(), AttrType.INT_LIST: pa.list_(pa.int64()), AttrType.INT: pa.int64()}
                 yield pa.record_batch([batch.column(0), *[pa.array(columns[n], arrow[k]) for n, k in schema]], ["event_id", *columns])
 
+        importable(spark)
         return spark.range(0, n, 1, parts).mapInArrow(work, out)

@@ -21,16 +21,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import RuleError, Status
-from ..functions.columns import column
+from ..functions.columns import column, sql, true_ones
 from ..plans.expr import INT_MAX, Const, Expr, Leaf
 from ..registry import Registry
 from ..sources.events import normalized
+from ..workers import importable
 from . import kernel, relational
 
 CHUNK = 100
 BLOCK = 50_000
 #: Up to this number of rules, auto compiles them.
-FEW = 64
+FEW = 32
 
 
 def attributes(expr: Expr) -> set[str]:
@@ -60,11 +61,8 @@ def _events(events: DataFrame, registry: Registry, event_id: str) -> DataFrame:
 def _compiled(events: DataFrame, registry: Registry) -> DataFrame:
     """event_id and the array of matching ids."""
     kind = _id_type(registry).simpleString()
-    value = (lambda s: F.lit(Decimal(s)).cast(kind)) if kind != "bigint" else (lambda s: F.lit(s).cast(kind))
     live = [(s, registry.given[s]) for s, r in sorted(registry.rules.items()) if not (isinstance(r, Const) and not r.value)]
-    parts = []
-    for i in range(0, len(live), CHUNK):
-        parts.append(F.array_compact(F.array(*[F.when(column(registry.schema, r), value(s)) for s, r in live[i : i + CHUNK]])))
+    parts = [true_ones([(sql(registry.schema, r), f"CAST('{s}' AS {kind})") for s, r in live[i : i + CHUNK]]) for i in range(0, len(live), CHUNK)]
     return events.select("event_id", (F.concat(*parts) if parts else F.array().cast(f"array<{kind}>")).alias("sub_ids"))
 
 
@@ -111,6 +109,7 @@ def _indexed(events: DataFrame, registry: Registry, lists: bool) -> DataFrame:
 
     id_field = events.schema["event_id"]
     schema = T.StructType([id_field, T.StructField("sub_ids", T.ArrayType(kind)) if lists else T.StructField("sub_id", kind)])
+    importable(events.sparkSession)
     return events.mapInArrow(work, schema)
 
 
@@ -127,7 +126,8 @@ def match(events: DataFrame, registry: Registry, how: str = "auto", event_id: st
         return _indexed(own, registry, lists=False)
     if way == "relational":
         return relational.match(own, registry).withColumn("sub_id", F.col("sub_id").cast(_id_type(registry)))
-    return _compiled(own, registry).select("event_id", F.explode("sub_ids").alias("sub_id"))
+    # the outer form: from the plain one a filter on the array's size is inferred, which evaluates every rule twice
+    return _compiled(own, registry).select("event_id", F.explode_outer("sub_ids").alias("sub_id")).where("sub_id IS NOT NULL")
 
 
 def match_lists(events: DataFrame, registry: Registry, how: str = "auto", event_id: str = "event_id") -> DataFrame:
@@ -168,6 +168,7 @@ def match_stats(events: DataFrame, registry: Registry, event_id: str = "event_id
 
     schema = T.StructType([own.schema["event_id"], *[T.StructField(n, T.LongType()) for n in ("matches", *kernel.COUNTERS)]])
     names = schema.fieldNames()
+    importable(own.sparkSession)
     return own.mapInArrow(work, schema)
 
 

@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import leaf_column, named
+from ..functions.columns import leaf_sql, named, true_ones
 from ..plans.expr import Leaf
 from ..registry import Registry
 from ..schema import AttrType
@@ -69,8 +69,8 @@ def true_leaves(events: DataFrame, registry: Registry) -> DataFrame:
         found = probe.join(table, ["attr", "v"]).select("event_id", "node")
         parts.append(found.distinct() if lists else found)  # a list may hold several values of one leaf
     for i in range(0, len(scanned), CHUNK):
-        hits = F.array_compact(F.array(*[F.when(leaf_column(registry.schema, own), F.lit(n).cast("bigint")) for n, own in scanned[i : i + CHUNK]]))
-        parts.append(events.select("event_id", F.explode(hits).alias("node")))
+        hits = true_ones([(leaf_sql(registry.schema, own), f"CAST('{n}' AS BIGINT)") for n, own in scanned[i : i + CHUNK]])
+        parts.append(events.select("event_id", F.explode_outer(hits).alias("node")).where("node IS NOT NULL"))
     out = parts[0] if parts else events.select("event_id", F.lit(None).cast("bigint").alias("node")).where("false")
     for p in parts[1:]:
         out = out.unionByName(p)

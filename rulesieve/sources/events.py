@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import RuleError, Status
 from ..functions.columns import named
 from ..plans.expr import INT_MAX, INT_MIN
 from ..schema import AttrType, Schema
+from ..workers import importable
 
 _WIDENED = {AttrType.INT: (T.ByteType, T.ShortType, T.IntegerType, T.LongType), AttrType.FLOAT: (T.FloatType, T.DoubleType), AttrType.STRING: (T.StringType,), AttrType.BOOL: (T.BooleanType,)}
 _ELEMENT = {AttrType.INT_LIST: AttrType.INT, AttrType.STRING_LIST: AttrType.STRING}
@@ -161,8 +163,6 @@ def decoded(df: DataFrame, schema: Schema, payload: str = "payload", event_id: s
     """event_id, payload, error (null if it decodes) and the attributes, from a column of texts; works on streams too."""
     rows = df.select(named(event_id).alias("event_id"), named(payload).cast("string").alias("payload"))
     out = T.StructType([rows.schema["event_id"], T.StructField("payload", T.StringType()), T.StructField("error", T.StringType()), *schema.struct().fields])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(out)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +180,7 @@ def decoded(df: DataFrame, schema: Schema, payload: str = "payload", event_id: s
             columns = [batch.column(0), batch.column(1), pa.array(errors, pa.string()), *[pa.array(v, arrow.field(n).type) for n, v in values.items()]]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
+    importable(df.sparkSession)
     return rows.mapInArrow(work, out)
 
 
