@@ -7,12 +7,12 @@ before it.  That test undoes the two tokens' merges from the latest on and looks
 earlier than what is undone.  Back-pointers from the whole word give its ids.  Time is linear in the word's length times
 the candidates a place, also for a text without any blank.
 
-Read from a tokenizers file: vocabulary, merges, the word-end mark, the normaliser (NFC, runs of white space to one blank,
-lower case) and the pattern that cuts words, with characters as byte symbols.  Added tokens found in the raw text are single
-ids.  decode() joins tokens as the file's library does where no decoder is set: with blanks.
+Read from a tokenizers file: vocabulary, merges, the word-end mark, the normaliser (NFC, white space, lower case) and the
+pattern that cuts words, with characters as byte symbols.  Added tokens found in the raw text are single ids.  decode()
+joins tokens as the file's library does where no decoder is set: with blanks.
 
-Workers read the file by its path, or get its bytes by broadcast where they can't; words already encoded are kept, up to
-KEPT words of KEPT_LENGTH characters at most, so memory is bounded.  Nothing is shuffled.
+Workers get the file's bytes by broadcast, a few MB, and keep what they made of it for their further tasks; words met lately
+are kept, up to twice KEPT words of KEPT_LENGTH characters at most, so memory is bounded.  Nothing is shuffled.
 
 Defined results: a null text counts as empty and has no ids; repeated rows each get their result; characters outside the
 vocabulary can't occur, as all bytes are in it; other columns are ignored.
@@ -37,11 +37,11 @@ from pyspark.sql import types as T
 
 from .common import map_batches, texts_of
 
-KEPT = 300_000
+KEPT = 150_000
 KEPT_LENGTH = 64
 #: Stands for the mark of a word's end in the automaton; no byte symbol.
 _END = "\x00"
-_SPACE = regex.compile(r"\s+")
+_LOADED: dict[str, Bpe] = {}
 
 
 def byte_symbols() -> list[str]:
@@ -52,17 +52,21 @@ def byte_symbols() -> list[str]:
 
 
 class _Words(dict):
-    """Ids of words met before; a new word is encoded."""
+    """Ids of words met lately: when full, what was not asked for since the last time goes.  A new word is encoded."""
 
     def __init__(self, bpe: Bpe):
-        self.bpe = bpe
+        self.bpe, self.old = bpe, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.bpe.encode_word(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bpe.table))
-        if len(word) <= KEPT_LENGTH:
-            if len(self) >= KEPT:
-                self.clear()
-            self[word] = ids
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.bpe.encode_word(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bpe.table))
+            if len(word) > KEPT_LENGTH:
+                return ids
+        if len(self) >= KEPT:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
 
@@ -99,18 +103,18 @@ class Bpe:
             if i in self.parts or (key[:-1] if marked else key) in units:
                 self.suffixes.add_word(key, (len(key), i))
         self.suffixes.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         self.kept = _Words(self)
         self.names = [self.tokens.get(i) for i in range(max(self.tokens) + 1)]
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the two tokens' symbols in one row leaves just these two."""
-        known = self.compatible.get((left, right))
+        known = self.compatible.get(left << 20 | right)
         if known is None:
             known = self._fits(left, right)
-            if len(self.compatible) > 4 * KEPT:
+            if len(self.compatible) >= 4 * KEPT:
                 self.compatible.clear()
-            self.compatible[left, right] = known
+            self.compatible[left << 20 | right] = known
         return known
 
     def _fits(self, left: int, right: int) -> bool:
@@ -134,11 +138,18 @@ class Bpe:
         """The ids of one word, as a string of byte symbols."""
         row = word + _END
         n = len(row)
-        last, start = [-1] * (n + 1), [-1] * (n + 1)
+        last, start, known = [-1] * (n + 1), [0] * (n + 1), self.compatible.get
         for end, (size, token) in self.suffixes.iter(row):
-            at, before = end + 1, end + 1 - size
-            if last[at] < 0 and (before == 0 or (last[before] >= 0 and self.fits(last[before], token))):
-                last[at], start[at] = token, before
+            if last[end + 1] < 0:
+                before = end + 1 - size
+                if before:
+                    left = last[before]
+                    if left < 0:
+                        continue
+                    fit = known(left << 20 | token)
+                    if not (self.fits(left, token) if fit is None else fit):
+                        continue
+                last[end + 1], start[end + 1] = token, before
         ids = []
         at = n
         while at > 0:
@@ -147,7 +158,8 @@ class Bpe:
         return tuple(reversed(ids))
 
     def _piece(self, text: str, out: list[int]) -> None:
-        text = _SPACE.sub(" ", unicodedata.normalize("NFC", text))
+        # white space only parts words, so making it single blanks first would change nothing
+        text = unicodedata.normalize("NFC", text)
         out.extend(chain.from_iterable(map(self.kept.__getitem__, self.word.findall(lowered(text)))))
 
     def encode(self, text: str | None) -> list[int]:
@@ -187,20 +199,22 @@ def ids_digest(ids: list[int]) -> str:
 
 
 class Codec:
-    """A vocabulary that a task reads on its first text."""
+    """A vocabulary that a worker reads once and keeps for its further tasks, the latest only."""
 
-    def __init__(self, spec):
-        self.spec, self.bpe = spec, None
+    def __init__(self, spec, name: str):
+        self.spec, self.name = spec, name
 
     def __call__(self) -> Bpe:
-        if self.bpe is None:
-            self.bpe = Bpe(self.spec.value)
-        return self.bpe
+        if self.name not in _LOADED:
+            _LOADED.clear()
+            _LOADED[self.name] = Bpe(self.spec.value)
+        return _LOADED[self.name]
 
 
 def codec(docs: DataFrame, path: str) -> Codec:
     with open(path, "rb") as f:  # on the driver; a vocabulary file has a few MB
-        return Codec(docs.sparkSession.sparkContext.broadcast(f.read()))
+        data = f.read()
+    return Codec(docs.sparkSession.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest())
 
 
 def encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
