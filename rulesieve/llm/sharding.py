@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_dir
+from ..workers import importable
+from .common import shared_dir
 
 ROUNDS = 6
 KEY = 0x5EED_0009
@@ -96,7 +97,7 @@ def numbered(narrow: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
 
 def shard(docs: DataFrame, shards: int = SHARDS, key: int = KEY) -> DataFrame:
     """doc_id, size, text_crc32, row, shard and slot of every document."""
-    prepare(docs.sparkSession)
+    importable(docs.sparkSession)
     narrow = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 8).alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("bigint").alias("text_crc32"))
     rows, n = numbered(narrow, ["doc_id", "text_crc32", "size"])
 
