@@ -337,7 +337,10 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     known = involved.select("node", "n", "v")
     side = lambda c: known.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("v").alias(f"v{c}"))
     stars = members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(_confirmed(_filtered(stars.join(side("a"), "a").join(side("b"), "b"), percent), sets, percent), folder, "links_0")
+    # a representative of a large group has many pairs: they are spread over SALTS tasks
+    reps = side("b").join(members.select(F.col("rep").alias("b")).distinct(), "b", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    tried = stars.join(side("a"), "a").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(reps, ["b", "salt"])
+    links = stored(_confirmed(_filtered(tried, percent), sets, percent), folder, "links_0")
     comps = components(links, folder, "first")
 
     placed = _with_comp(members.where("size > 2").select("key", "size", "node"), comps)
