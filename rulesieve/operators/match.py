@@ -29,7 +29,7 @@ from ..workers import importable
 from . import kernel, relational
 
 CHUNK = 100
-BLOCK = 50_000
+BLOCK = 100_000
 #: Up to this number of rules, auto compiles them.
 FEW = 32
 
@@ -75,13 +75,21 @@ def _blocks(registry: Registry) -> Iterator[tuple[Registry, list[int]]]:
         yield registry.subset(ids[i : i + BLOCK]), ids[i : i + BLOCK]
 
 
+def _graphs(sc, registry: Registry) -> list[tuple]:
+    """The blocks' compiled graphs and ids as broadcasts, made once for as long as the rules stay the same."""
+    key = (registry.version, BLOCK, sc.applicationId)
+    if registry.made is None or registry.made[0] != key:
+        out = []
+        for part, ids in _blocks(registry):
+            dense = {s: i for i, s in enumerate(ids)}
+            out.append((sc.broadcast(kernel.compiled(part.schema, part.dag, dense, part.always)), sc.broadcast(ids)))
+        registry.made = (key, out)
+    return registry.made[1]
+
+
 def _indexed(events: DataFrame, registry: Registry, lists: bool) -> DataFrame:
-    sc = events.sparkSession.sparkContext
     kind = _id_type(registry)
-    blocks = []
-    for part, ids in _blocks(registry):
-        dense = {s: i for i, s in enumerate(ids)}
-        blocks.append((sc.broadcast(kernel.compiled(part.schema, part.dag, dense, part.always)), sc.broadcast(ids)))
+    blocks = _graphs(events.sparkSession.sparkContext, registry)
     arrow_id = pa.decimal128(20, 0) if isinstance(kind, T.DecimalType) else pa.int64()
 
     def ids_of(dense: np.ndarray, ids: list[int]) -> pa.Array:

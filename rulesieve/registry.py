@@ -48,6 +48,8 @@ class Registry:
         self.given: dict[int, Expr] = {}  # as they came; shorter where xor is used
         self.at: dict[int, int] = {}  # of those in the graph
         self.strings: set[str] = set()
+        #: Counts changes; what matching made of the rules is kept with the count at which it was made.
+        self.version, self.made = 0, None
 
     def parse(self, text: str) -> Expr:
         return parse(self.schema, text, self.config.max_depth)
@@ -61,6 +63,7 @@ class Registry:
         if sub in self.rules:
             raise RuleError(Status.DUPLICATE_ID, "subscription id already present")
         self.rules[sub], self.given[sub] = normal, given
+        self.version += 1
         self.strings.update(_strings(normal))
         if not isinstance(normal, Const):
             self.at[sub] = self.dag.add(normal, sub)
@@ -85,6 +88,7 @@ class Registry:
         if sub not in self.rules:
             raise RuleError(Status.NOT_FOUND, "")
         del self.rules[sub], self.given[sub]
+        self.version += 1
         if sub in self.at:
             self.dag.remove(self.at.pop(sub), sub)
 
