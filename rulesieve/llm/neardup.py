@@ -38,7 +38,7 @@ SHINGLE = 5
 PERCENT = 80
 SIDE = 20
 HASHES = 3
-#: Of the right side's 60 minhashes so many must agree; at 0.8 fewer do with a chance of 1 in 3 million.
+#: Of the right side's 60 minhashes so many must agree; at 0.8 fewer do with a chance of 1 in 4 million.
 AGREE = 31
 BLOCK = 512
 SALTS = 16
