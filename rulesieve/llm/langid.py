@@ -29,9 +29,9 @@ SEED = 20240607
 CLASSES = 128
 UNDETERMINED = "und"
 #: Trigram vectors that a worker keeps, in rows of DIM bytes.
-KEPT = 60_000
+KEPT = 24_000
 #: Characters looked at at once; some arrays of that length are held.
-PIECE = 2_000_000
+PIECE = 500_000
 _LOW = 0x3000
 _WORKER: dict = {}
 
@@ -152,7 +152,8 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             which = at[of]
             for k in np.unique(which):
                 own = counts.setdefault(str(names[k]), np.zeros(CLASSES**3, np.int64))
-                own += np.bincount(code[which == k], minlength=CLASSES**3)
+                found, n = np.unique(code[which == k], return_counts=True)
+                own[found] += n
     for name, own in counts.items():
         codes = np.flatnonzero(own)
         if len(codes):

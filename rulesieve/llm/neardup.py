@@ -42,7 +42,7 @@ HASHES = 3
 AGREE = 31
 BLOCK = 512
 SALTS = 16
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 SEED = 20240610
 _HALF = SIDE * HASHES
 _U64 = np.uint64
