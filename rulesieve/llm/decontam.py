@@ -161,8 +161,7 @@ def find(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_chars: int
 
 
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:
-    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return find(docs, items).select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), spans.alias("spans"))
+    return find(docs, items).select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def stage(docs: DataFrame, items: DataFrame) -> DataFrame:
