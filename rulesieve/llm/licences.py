@@ -4,10 +4,15 @@ Every text is cut into passages at line ends and after full stops.  A passage's
 compared with each template's by cosine; idf is taken over the templates, a term that none has counts as rarest.  Terms are
 rows (passage, term, weight), so a passage is only compared with templates that share a term.
 
-Passages are looked at if they hold one of the anchor terms.  That drops nothing: the anchors are chosen so that a passage
+Besides passages the longer pieces of a text are compared: the whole text, runs of comment lines, paragraphs (parted by lines
+without a letter or digit), runs of up to RUN paragraphs that begin and end with an anchored one, and the sentences of
+paragraphs whose lines are joined.  There are two sets of templates, each with an idf of its own: TEMPLATES, the statements,
+and the headers, grants and whole texts of licences (HEADERS and the files of licence_texts).
+
+Pieces are looked at if they hold one of the anchor terms.  That drops nothing: the anchors are chosen so that a piece
 without any has a cosine below LEAST with every template (the weight of a template's other terms bounds it).
 
-A file keeps the licence of its best passage.  Licence files (by base name) also license their directory, and a file without
+A file keeps the licence of its best piece, of either set.  Licence files (by base name) also license their directory, and a file without
 a licence of its own takes that of its nearest ancestor directory.  Directories, not files, are joined with their
 ancestors, and files with their directories by a salted key, so that one directory may hold a third of all files.
 
@@ -18,14 +23,18 @@ result; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 0.75
 SALTS = 16
+#: Paragraphs that are compared as one piece, at most.
+RUN = 6
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)(?:[.-][^/]*)?$"
 
 #: Usual one-sentence statements of licences, by SPDX identifier.
@@ -45,6 +54,57 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+_GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+_LGPL = _GPL.replace("program", "library")
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights "
+    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+)
+_MIT_END = (
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+_ISC_END = (
+    "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+#: Standard headers and grants, and whole licences that are short.  Longer ones are files of licence_texts.
+HEADERS = {
+    "AGPL-3.0": [_GPL.format("Affero ", "3")],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "BSD-2-Clause": [_BSD + _BSD_END],
+    "BSD-3-Clause": [_BSD + _BSD_NAMES + _BSD_END, _BSD_NAMES],
+    "GFDL-1.2": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.2 or any later version published by the Free Software Foundation"],
+    "GFDL-1.3": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation"],
+    "GPL-1.0": [_GPL.format("", "1")],
+    "GPL-2.0": [_GPL.format("", "2")],
+    "GPL-3.0": [_GPL.format("", "3")],
+    "ISC": [_ISC, _ISC + _ISC_END],
+    "LGPL-2.0": [_LGPL.format("Library ", "2")],
+    "LGPL-2.1": [_LGPL.format("Lesser ", "2.1")],
+    "LGPL-3.0": [_LGPL.format("Lesser ", "3")],
+    "MIT": [_MIT, _MIT + _MIT_END],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+}
+#: What section 13 of the AGPL has in the place of the GPL's.
+_AGPL_13 = (
+    "Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely "
+    "through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, "
+    "through some standard or customary means of facilitating copying of software. "
+)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TERM = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 #: Words that count for nothing.
@@ -53,19 +113,30 @@ STOP = tuple("a an and any be by can for found in into is it may not of or that
 _POOR = "mit"
 
 
-def _statements() -> list[tuple[str, int, dict[str, int]]]:
-    """Licence, number of the statement and its terms' counts."""
+@functools.cache
+def long_templates() -> dict[str, list[str]]:
+    """HEADERS and the whole texts of licence_texts; that of the AGPL is made of the GPL's."""
+    out = {name: list(texts) for name, texts in HEADERS.items()}
+    whole = {p.name.removesuffix(".txt"): p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+    whole["AGPL-3.0"] = re.sub(r"(?i)gnu\s+general\s+public", "GNU Affero General Public", whole["GPL-3.0"]) + _AGPL_13
+    for name, text in whole.items():
+        out.setdefault(name, []).append(text)
+    return out
+
+
+def _statements(templates: dict[str, list[str]] | None = None) -> list[tuple[str, int, dict[str, int]]]:
+    """Licence, number of the statement and its terms' counts; of TEMPLATES, or of others."""
     out = []
-    for name, texts in sorted(TEMPLATES.items()):
+    for name, texts in sorted((templates or TEMPLATES).items()):
         for k, text in enumerate(texts):
             terms = [t for t in re.findall(_TERM, text.lower()) if t not in STOP]
             out.append((name, k, {t: terms.count(t) for t in terms}))
     return out
 
 
-def weights() -> tuple[list[tuple[str, int, str, float]], dict[str, float], float]:
+def weights(templates: dict[str, list[str]] | None = None) -> tuple[list[tuple[str, int, str, float]], dict[str, float], float]:
     """Rows (licence, statement, term, weight of a vector of length 1), idf by term, and the idf of unknown terms."""
-    own = _statements()
+    own = _statements(templates)
     n = len(own)
     idf = {t: math.log((1 + n) / (1 + sum(t in terms for _, _, terms in own))) + 1 for _, _, terms in own for t in terms}
     rows = []
@@ -75,6 +146,26 @@ def weights() -> tuple[list[tuple[str, int, str, float]], dict[str, float], floa
     return rows, idf, math.log(1 + n) + 1
 
 
+@functools.cache
+def long_anchors(least: float = LEAST) -> list[str]:
+    """As anchors(), for the long templates: the term that most of the templates still need first, long words before others."""
+    rows, _, _ = weights(long_templates())
+    left: dict[tuple[str, int], dict[str, float]] = {}
+    for name, k, t, w in rows:
+        left.setdefault((name, k), {})[t] = w * w
+    chosen: set[str] = set()
+    while left := {key: own for key, own in left.items() if sum(own.values()) >= least * least}:
+        gain: dict[str, float] = {}
+        for own in left.values():
+            for t, w in own.items():
+                gain[t] = gain.get(t, 0.0) + w
+        best = max(gain, key=lambda t: (len(t) > 5, gain[t], t))
+        chosen.add(best)
+        for own in left.values():
+            own.pop(best, None)
+    return sorted(chosen)
+
+
 def anchors(least: float = LEAST) -> list[str]:
     """Terms of which every passage that can reach the cosine holds one: a statement's other terms weigh less than least."""
     rows, _, _ = weights()
@@ -88,30 +179,58 @@ def anchors(least: float = LEAST) -> list[str]:
     return sorted(chosen)
 
 
-def _anchored() -> str:
-    return r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in anchors()) + ")(?![a-z0-9])"
+def _anchored(terms: list[str]) -> str:
+    return r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in terms) + ")(?![a-z0-9])"
 
 
 def passages(text: Column) -> Column:
     return F.split(F.regexp_replace(text, "([.!?])[ \\t\\r\\n]+", "$1\n"), "\n")
 
 
-def own_licences(rows: DataFrame) -> DataFrame:
-    """doc_id, text_key, own_licence and own_score of the texts that hold a statement; rows: doc_id, text_key, text."""
-    spark = rows.sparkSession
-    weight, idf, unknown = weights()
-    anchored = F.lit(_anchored())
-    found = rows.where(F.rlike("text", anchored)).select("doc_id", "text_key", F.posexplode(F.filter(passages(F.col("text")), lambda p: F.rlike(p, anchored))).alias("passage", "p"))
-    # a term that a hyphen or dot joins to an anchor makes another term, so what the pattern lets through is a superset
-    terms = found.select("doc_id", "text_key", "passage", F.explode(F.regexp_extract_all(F.translate("p", _UPPER, _LOWER), F.lit(_TERM), F.lit(0))).alias("term")).where(~F.col("term").isin(*STOP))
-    counts = terms.groupBy("doc_id", "text_key", "passage", "term").agg(F.count("*").alias("tf"))
+def _once(value: Column, use) -> Column:
+    """use(value), with value computed once also where use takes it in lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def pieces(text: Column, anchored: Column) -> Column:
+    """All pieces of a text that hold an anchor, passages first; each once."""
+    held = F.transform(F.split(text, r"\n[^\p{L}\p{N}]*\n"), lambda p: F.struct(p.alias("p"), F.rlike(p, anchored).alias("a")))
+    none = F.array().cast("array<string>")
+
+    def runs(own: Column) -> Column:
+        def at(s: Column, i: Column) -> Column:
+            ends = F.filter(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size(own) - i)), lambda k: F.get(own, i + k - 1)["a"])
+            return F.when(s["a"], F.transform(ends, lambda k: F.array_join(F.transform(F.slice(own, i + 1, k), lambda x: x["p"]), "\n"))).otherwise(none)
+
+        joined = F.transform(F.filter(own, lambda s: s["a"]), lambda s: passages(F.regexp_replace(s["p"], r"[ \t\r]*+\n[^\p{L}\p{N}\n]*+", " ")))
+        return F.concat(F.flatten(F.transform(own, at)), F.flatten(joined))
+
+    comments = F.split(F.regexp_replace(text, r"(?md)^(?![ \t]*+(?:/[/*]|\*|#|--|;|%|<!--|\.\.))[^\n]*+", ""), "\n\n")
+    return F.array_distinct(F.filter(F.concat(passages(text), F.array(text), comments, _once(held, runs)), lambda p: F.rlike(p, anchored)))
+
+
+def _cosines(counts: DataFrame, templates: dict[str, list[str]]) -> DataFrame:
+    """doc_id, text_key, licence and c of the pieces that reach LEAST; counts: doc_id, text_key, passage, term, tf."""
+    spark = counts.sparkSession
+    weight, idf, unknown = weights(templates)
     idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))  # a fixed table
     table = F.broadcast(spark.createDataFrame(weight, "licence string, statement int, term string, weight double"))  # a fixed table
     weighted = counts.join(idfs, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
     key = ["doc_id", "text_key", "passage"]
     length = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.collect_list(F.struct("term", "w")).alias("terms"))
     near = length.select(*key, "length", F.explode("terms").alias("t")).select(*key, "length", F.col("t.term").alias("term"), F.col("t.w").alias("w")).join(table, "term")
-    cosine = near.groupBy(*key, "licence", "statement").agg((F.sum(F.col("w") * F.col("weight")) / F.first("length")).alias("c")).where(F.col("c") >= LEAST)
+    cosine = near.groupBy(*key, "licence", "statement").agg((F.sum(F.col("w") * F.col("weight")) / F.first("length")).alias("c"))
+    return cosine.where(F.col("c") >= LEAST).select("doc_id", "text_key", "licence", "c")
+
+
+def own_licences(rows: DataFrame) -> DataFrame:
+    """doc_id, text_key, own_licence and own_score of the texts that hold a statement, a header or a licence; rows: doc_id, text_key, text."""
+    anchored = F.lit(_anchored(sorted({*anchors(), *long_anchors()})))
+    found = rows.where(F.rlike("text", anchored)).select("doc_id", "text_key", F.posexplode(pieces(F.col("text"), anchored)).alias("passage", "p"))
+    # a term that a hyphen or dot joins to an anchor makes another term, so what the pattern lets through is a superset
+    terms = found.select("doc_id", "text_key", "passage", F.explode(F.regexp_extract_all(F.translate("p", _UPPER, _LOWER), F.lit(_TERM), F.lit(0))).alias("term")).where(~F.col("term").isin(*STOP))
+    counts = terms.groupBy("doc_id", "text_key", "passage", "term").agg(F.count("*").alias("tf"))
+    cosine = _cosines(counts, TEMPLATES).unionAll(_cosines(counts, long_templates()))
     best = cosine.groupBy("doc_id", "text_key").agg(F.max(F.round("c", 6)).alias("own_score"), F.min(F.struct((-F.round("c", 6)).alias("c"), "licence")).alias("b"))
     return best.select("doc_id", "text_key", F.col("b.licence").alias("own_licence"), "own_score")
 

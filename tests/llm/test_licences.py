@@ -1,5 +1,6 @@
 import math
 import re
+from pathlib import Path
 
 from rulesieve.llm import licences
 
@@ -55,3 +56,49 @@ def test_query_of_documents(docs):
     rows = [(1, "Released under the MIT License."), (2, "w " * 300), (3, None), (2, "w " * 300), (5000, "w " * 300)]
     got = licences.query(docs(rows)).collect()
     assert sorted((r["doc_id"], r["origin"]) for r in got if r["doc_id"] == 1) == [(1, "own")] and len(got) == 5
+
+
+GPL3 = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version.", "", "This program is distributed in the hope that it will be useful,", "but WITHOUT ANY WARRANTY; without even the implied warranty of", "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the", "GNU General Public License for more details."]
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+
+
+def test_wrapped_headers(spark):
+    code = "\nint main(void) { return 0; }\n"
+    apache = ["Copyright 2020 The Authors", "", 'Licensed under the Apache License, Version 2.0 (the "License");', "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at", "", "    http://www.apache.org/licenses/LICENSE-2.0"]
+    rows = {
+        1: ("GPL-3.0", "".join(f"# {x}\n" for x in ["Copyright (C) 2020 A. Body", "", *GPL3]) + "import os\n"),
+        2: ("GPL-3.0", "/*\n" + "".join(f" * {x}\n" for x in GPL3) + " */" + code),
+        3: ("GPL-2.0", "/*\r\n" + "".join(f"   {x}\r\n" for x in GPL3).replace("version 3", "version 2") + "*/" + code),
+        4: ("LGPL-2.1", "".join(f"// {x}\n" for x in GPL3).replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1") + code),
+        5: ("Apache-2.0", "".join(f"// {x}\n" for x in apache) + "package main\n"),
+        6: ("MIT", MIT),
+        7: ("MIT", "-- " + MIT.replace("Software is", "Software\n-- is").replace("rights to", "rights\n-- to")),
+        8: ("GPL-3.0", "This work is licensed under the GNU\nGeneral Public License,\nversion 3.\n" + code),
+        9: (None, "The general public may read this document without charge.\n" + code),
+    }
+    got = _scan(spark, [(i, f"p/{i}.c", t) for i, (_, t) in rows.items()])
+    assert {i: r["own_licence"] for i, r in got.items()} == {i: x for i, (x, _) in rows.items()}
+
+
+def test_whole_licence_files(spark):
+    texts = {p.name.removesuffix(".txt"): p.read_text() for p in (Path(licences.__file__).parent / "licence_texts").glob("*.txt")}
+    mit = "The MIT License (MIT)\n\nCopyright (c) 2015 A. Body\n\n" + licences._MIT.replace(" rights ", " rights\n") + "\n\n" + licences._MIT_END.replace("Software. THE", "Software.\n\nTHE")
+    texts |= {"MIT": mit, "ISC": "ISC License\n\nCopyright (c) 2020, A. Body\n\n" + licences._ISC + "\n\n" + licences._ISC_END, "BSD-2-Clause": "Copyright (c) 2020, A. Body\nAll rights reserved.\n\n" + licences._BSD.replace(" 1. ", "\n\n1. ") + "\n\n" + licences._BSD_END}
+    names = sorted(texts)
+    rows = [(i, f"{n}/LICENSE", texts[n]) for i, n in enumerate(names)] + [(100 + i, f"{n}/src/x.c", "code") for i, n in enumerate(names)]
+    rows += [(200 + i, f"{n}/y.c", "".join(f" * {x}\n" for x in ["Copyright 2021 Somebody Else", "", *texts[n].splitlines()])) for i, n in enumerate(names)]
+    got = _scan(spark, rows)
+    for i, n in enumerate(names):
+        assert [(got[k + i]["licence"], got[k + i]["origin"]) for k in (0, 100, 200)] == [(n, "own"), (n, "inherited"), (n, "own")], (n, got[i], got[200 + i])
+
+
+def test_long_anchors_drop_nothing():
+    rows, _, _ = licences.weights(licences.long_templates())
+    own = set(licences.long_anchors())
+    for key in {(r[0], r[1]) for r in rows}:
+        assert math.sqrt(sum(r[3] ** 2 for r in rows if (r[0], r[1]) == key and r[2] not in own)) < licences.LEAST
+
+
+def test_long_texts_take_linear_time(spark):
+    texts = ["\n" * 200_000 + "license", "# license\n\n" * 10_000, "/* " * 50_000 + "license", "* * *\n" * 50_000]
+    assert {r["own_licence"] for r in _scan(spark, [(i, f"{i}", t) for i, t in enumerate(texts)]).values()} == {None}
