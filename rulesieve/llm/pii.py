@@ -4,6 +4,9 @@ Base kinds (email, ip, card, phone) are reported whenever they pass their rule.
 (three, two and four digits), are reported if their score reaches LEAST: 0.4 for the form, 0.5 more for a checksum that
 holds, 0.3 more for a word of the kind within NEAR characters before the span.  Base spans carry a score too.
 
+IBANs are proposed twice: at every place by the fixed length of their country, so that what follows one is not taken into it,
+and by the form alone, as SQL does; of the latter those count that overlap none of the former.
+
 Offsets: split() on a pattern gives what stands between the matches that regexp_extract_all() gives, so running sums of
 their lengths are the matches' places in code points.  The sums are taken in two levels, over chunks of a fixed size, to
 stay close to linear in the number of matches.  Patterns use possessive repeats and look behind, so that a long run of one
@@ -36,6 +39,21 @@ PATTERNS = {
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
 }
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SN SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _of_length(n: int, countries: str) -> str:
+    groups, rest = divmod(n - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{groups}}}" + (rf"\x20?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: Group 1 is the IBAN; only its country is consumed, so another may begin within a wrong one.
+_FIXED = r"\b(?=[A-Z]{2}[0-9]{2})(?=((?:" + "|".join(_of_length(n, c) for n, c in IBAN_LENGTHS.items()) + r")\b))[A-Z]{2}"
 #: Words that make a kind likelier.
 CONTEXT = {
     "email": r"e-?mail|contact|write to|courriel|correo",
@@ -81,12 +99,12 @@ def _confirmed(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def _placed(text: Column, kind: str) -> Column:
-    """array of (start, end, match) of the kind's pattern; offsets in code points."""
-    pattern = F.lit(PATTERNS[kind])
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, PATTERNS[kind], -1)
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap"), (F.length(g) + F.length(m)).alias("len")))
+def _placed(text: Column, pattern: str, group: int = 0, consumed: int | None = None) -> Column:
+    """array of (start, end, match) of the pattern, or of its group; offsets in code points.  consumed: of a match, if not all of it."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    between = F.split(text, pattern, -1)
+    taken = lambda m: F.length(m) if consumed is None else F.lit(consumed)
+    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("gap"), (F.length(g) + taken(m)).alias("len")))
     chunks = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / _CHUNK).cast("int")), lambda c: F.slice(z, c * _CHUNK + 1, F.lit(_CHUNK)))
     length = lambda z: F.aggregate(z, F.lit(0), lambda a, e: a + e["len"])
     empty = F.lit(None).cast("array<struct<start:int,end:int,m:string>>")
@@ -109,6 +127,22 @@ def _placed(text: Column, kind: str) -> Column:
 _GUARD = {"email": lambda t: F.contains(t, F.lit("@")), "phone": lambda t: F.contains(t, F.lit("+"))}
 
 
+def _ibans(form: Column, fixed: Column) -> Column:
+    """The IBANs that hold: those of their country's length, and those of the form that overlap none of them."""
+    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
+    held = lambda c, is_form: F.transform(F.filter(F.coalesce(c, none), lambda e: _mod97(e["m"])), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["m"].alias("m"), F.lit(is_form).alias("form")))
+    both = F.array_sort(F.concat(held(fixed, False), held(form, True)))
+
+    def apart(own: Column) -> Column:
+        def stays(e: Column, i: Column) -> Column:  # spans have 42 characters at most and begin 4 apart at least
+            near = F.slice(own, F.greatest(i - 11, F.lit(1)), F.lit(24))
+            return ~e["form"] | ~F.exists(near, lambda k: ~k["form"] & (k["start"] < e["end"]) & (e["start"] < k["end"]))
+
+        return F.transform(F.filter(own, stays), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["m"].alias("m")))
+
+    return F.element_at(F.transform(F.array(both), apart), 1)
+
+
 def _scored(text: str, kind: str) -> Column:
     """The kind's spans that its rule confirms, with their scores."""
     checked = 0.5 if kind in ("card", "iban") else 0.3 if kind in ("email", "ip", "phone") else 0.0
@@ -129,7 +163,10 @@ def add_spans(df: DataFrame, text: str, name: str = "spans") -> DataFrame:
         guard = F.rlike(F.col(text), F.lit(PATTERNS[kind]))
         if kind in _GUARD:
             guard = _GUARD[kind](F.col(text)) & guard
-        out = out.withColumn(f"__rs_{kind}", F.when(guard, _placed(F.col(text), kind)))
+        found = _placed(F.col(text), PATTERNS[kind])
+        if kind == "iban":  # the form is wider: what has a country's length has it too
+            found = _ibans(found, _placed(F.col(text), _FIXED, 1, 2))
+        out = out.withColumn(f"__rs_{kind}", F.when(guard, found))
     parts = [_scored(text, kind) for kind in KINDS]
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,score:double>>")
     return out.withColumn(name, F.array_sort(F.concat(*[F.coalesce(p, none) for p in parts]))).drop(*[f"__rs_{k}" for k in KINDS])

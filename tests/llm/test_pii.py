@@ -69,3 +69,20 @@ def test_sql_gives_the_same(spark, docs, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
     got = sorted(map(tuple, pii.query(spark.read.parquet(f"{tmp_path}/d")).collect()))
     assert got == sorted(con.execute(pii.sql()).fetchall())
+
+
+def test_what_follows_an_iban_is_not_taken_into_it(docs):
+    rows = [
+        ("IBAN: BE68 5390 0754 7034 BIC KREDBEBB", "iban:6:25"),
+        ("ES9121000418450200051332 EUR 500", "iban:0:24"),
+        ("AT61 1904 3002 3457 3201 SWIFT", "iban:0:24"),
+        ("é🙂 PL61109010140000071219812874 BANK", "iban:3:31"),
+        ("ES91 2100 0418 4502 0005 1332 ES91 2100 0418 4502 0005 1332 AND BE68 5390 0754 7034 1234", "iban:0:29,iban:30:59,iban:64:83"),
+        ("AT12 3456 7890 ES91 2100 0418 4502 0005 1332 EUR", "iban:15:44"),
+        ("BE68 5390 0754 7035 BIC KREDBEBB", ""),
+        ("GB82 WEST 1234 5698 7654 32 OK DE89370400440532013000", "iban:0:27,iban:31:53"),
+    ]
+    got = {r["doc_id"]: r["spans"] for r in pii.query(docs([(i, t) for i, (t, _) in enumerate(rows)])).collect()}
+    assert [got[i] for i in range(len(rows))] == [x for _, x in rows]
+    out = {r["doc_id"]: r["text"] for r in pii.stage(docs([(1, rows[0][0])])).collect()}
+    assert out == {1: "IBAN: [iban] BIC KREDBEBB"}
