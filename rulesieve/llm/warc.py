@@ -6,9 +6,12 @@ join that brings it back is salted, so that one payload of a third of all pages
 archives of about ARCHIVE_BYTES to the shared folder under names of its own and returns them as a manifest; only archives in
 the stored manifest are read, so a task that runs again, or twice, leaves at most files that nobody reads.
 
-Reading: salvage() takes one archive, gzip members or plain records.  A record counts if its member inflates, its version
-line and headers parse, its length ends at a record end and its payload has the digest it names.  Otherwise the reader
-searches for the next place from which a whole record can be read, and logs the bytes between as a gap with its reason.
+Reading: salvage() takes one archive, gzip members or plain records.  A record counts if its version line and headers parse,
+its length ends at a record end and its payload has the digest it names.  Otherwise the reader searches for the next place
+from which a whole record can be read, in the archive or in what a member holds, and logs the bytes between as a gap with its
+reason.  Records and gaps within a member have the member's offset and length.  Of a member that doesn't inflate to its end,
+those records count that were inflated before and whose digest holds (it says nothing of their headers); what comes after the
+last of them is a gap.
 
 Defined results: a null payload is an empty one; a null url leaves the target out; a null page_id is read back as null and is
 a revisit of any page with its payload; rows that repeat the largest page_id are all responses; an empty table gives no rows.
@@ -127,31 +130,82 @@ def _parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, block, end + len(_END)
 
 
-def _inflated(data: bytes, at: int) -> tuple[bytes, int]:
-    """What the gzip member at `at` holds, and its end."""
-    inflate, out, end = zlib.decompressobj(31), [], at
-    try:
-        while end < len(data) and not inflate.eof:
-            out.append(inflate.decompress(data[end : end + _STEP]))
-            end += _STEP
-    except zlib.error as e:
-        raise Damaged(f"the member doesn't inflate: {str(e)[:60]}") from None
-    if not inflate.eof:
-        raise Damaged("the member doesn't end")
-    return b"".join(out), min(end, len(data)) - len(inflate.unused_data)
+def _digested(headers: dict[str, str]) -> bool:
+    """Whether _parsed() held the record against a digest."""
+    return any(headers.get(k, "").startswith("sha1:") for k in ("warc-block-digest", *["warc-payload-digest"] * (headers["warc-type"] == "response")))
 
 
-def _at(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the member, or the one plain record, at `at`, and where it ends."""
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at `at` holds, its end, and why it ends too early, if so."""
+    inflate, out, end = zlib.decompressobj(31), [], at
+    while end < len(data) and not inflate.eof:
+        before = inflate.copy()
+        try:
+            out.append(inflate.decompress(data[end : end + _STEP]))
+        except zlib.error as e:
+            try:  # what comes before the error
+                for k in range(end, len(data)):
+                    out.append(before.decompress(data[k : k + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), end, f"the member doesn't inflate: {str(e)[:60]}"
+        end += _STEP
+    return b"".join(out), min(end, len(data)) - len(inflate.unused_data), "" if inflate.eof else "the member doesn't end"
+
+
+def _place(data: bytes, at: int, n: int) -> int:
+    """The place by which the member at `at` has given n bytes."""
+    inflate, done, end = zlib.decompressobj(31), 0, at
+    while True:
+        before = inflate.copy()
+        try:
+            size = len(inflate.decompress(data[end : end + _STEP]))
+        except zlib.error:
+            break
+        if done + size >= n:
+            break
+        done, end = done + size, end + _STEP
+    while done < n:
+        done, end = done + len(before.decompress(data[end : end + 1])), end + 1
+    return end
+
+
+def _within(plain: bytes, broken: str) -> tuple[list[tuple[dict[str, str], bytes] | str], int]:
+    """The records of what a member holds, a reason for each gap between them, and the end of the last."""
+    found: list[tuple[dict[str, str], bytes] | str] = []
+    at = last = 0
+    gap: tuple[int, str] | None = None
+    while at < len(plain):
+        try:
+            headers, block, end = _parsed(plain, at)
+            if broken and not _digested(headers):
+                raise Damaged("the member is broken and the record has no digest")
+        except Damaged as e:
+            gap = gap or (at, str(e))
+            version = _VERSION.search(plain, at + 1)
+            at = version.start() if version else len(plain)
+            continue
+        if gap:
+            found.append(f"bytes {gap[0]} to {at} of the member: {gap[1]}")
+        found.append((headers, block))
+        at, last, gap = end, end, None
+    if gap and not broken:
+        found.append(f"bytes {gap[0]} to {at} of the member: {gap[1]}")
+    return found, last
+
+
+def _at(data: bytes, at: int) -> tuple[list[Record | Gap], int, str]:
+    """The records and gaps of the member, or the one plain record, at `at`, where it ends, and what is wrong from there on."""
     if data.startswith(_MAGIC, at):
-        plain, end = _inflated(data, at)
-        records, own = [], 0
-        while own < len(plain):
-            headers, block, own = _parsed(plain, own)
-            records.append(Record(at, end - at, headers, block))
-        return records, end
+        plain, end, broken = _inflated(data, at)
+        found, last = _within(plain, broken)
+        if (plain or broken) and not last:
+            raise Damaged(broken or str(found[0]))
+        if broken:
+            end = _place(data, at, last)
+        return [Gap(at, end - at, x) if isinstance(x, str) else Record(at, end - at, *x) for x in found], end, broken
     headers, block, end = _parsed(data, at)
-    return [Record(at, end - at, headers, block)], end
+    return [Record(at, end - at, headers, block)], end, ""
 
 
 def _candidates(data: bytes, at: int) -> Iterator[int]:
@@ -171,18 +225,20 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
     at = 0
     while at < len(data):
         try:
-            records, end = _at(data, at)
+            found, end, reason = _at(data, at)
         except Damaged as e:
-            reason, end, records = str(e), len(data), []
-            for place in _candidates(data, at + 1):
+            found, end, reason = [], at, str(e)
+        yield from found
+        if reason:
+            start, end = end, len(data)
+            for place in _candidates(data, max(start, at + 1)):
                 try:
                     _at(data, place)
                 except Damaged:
                     continue
                 end = place
                 break
-            yield Gap(at, end - at, reason)
-        yield from records
+            yield Gap(start, end - start, reason)
         at = end
 
 

@@ -87,3 +87,37 @@ def test_gaps_are_logged(spark, tmp_path):
     got = warc.read(manifest.where(f"path = '{path}'"), folder)
     kept, gaps = got.where("gap IS NULL").count(), got.where("gap IS NOT NULL").collect()
     assert gaps and gaps[0]["length"] > 0 and 0 < kept < manifest.where(f"path = '{path}'").first()["n_records"]
+
+
+def _numbers(data):
+    found = list(salvage(data))
+    return [warc._number(x.headers["warc-record-id"]) for x in found if isinstance(x, Record)], [x for x in found if isinstance(x, Gap)]
+
+
+def test_damage_within_a_member_costs_only_its_record():
+    _, plain = _parts(False)
+    bad = [*plain[:4], plain[4][:-40] + b"?" + plain[4][-39:], *plain[5:]]
+    ids, gaps = _numbers(member(b"".join(bad)) + member(plain[0]))
+    assert ids == [0, 1, 2, 3, 5, 6, 7, 8, 9, 0] and len(gaps) == 1 and "digest" in gaps[0].reason
+    ids, gaps = _numbers(member(b"junk" + b"".join(plain[:3]) + b"tail"))
+    assert ids == [0, 1, 2] and len(gaps) == 2
+
+
+def test_a_broken_stream_keeps_what_came_before():
+    rnd = random.Random(8)
+    payloads = [bytes(rnd.randrange(256) for _ in range(3000)) for _ in range(30)]
+    plain = [record(i, None, p, hashlib.sha1(p).hexdigest(), None) for i, p in enumerate(payloads)]
+    whole, after = member(b"".join(plain)), member(plain[0])
+    for at in range(100, len(whole) - 8, 4001):  # cut short, then another member
+        ids, gaps = _numbers(whole[:at] + after)
+        n = len(ids) - 1
+        assert ids == [*range(n), 0] and n >= at // 3400 - 1 and gaps, at
+        ids, _ = _numbers(whole[:at])
+        assert ids == list(range(n)), at
+        ids, gaps = _numbers(whole[:at] + bytes([whole[at] ^ 255]) + whole[at + 1 :] + after)
+        assert set(range(n)) <= set(ids) and ids[-1] == 0 and gaps, at
+    ids, gaps = _numbers(whole[:-6] + b"?" + whole[-5:] + after)
+    assert ids == [*range(30), 0] and len(gaps) == 1
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
+    ids, _ = _numbers((stored.compress(b"".join(plain[:5])) + stored.flush())[:-5])
+    assert ids == list(range(5))
