@@ -242,12 +242,21 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows, all columns, whose language could be told; a score below least counts as not told."""
-    fn = batch_predictor(*learn(training_rows(docs)))
+    """The rows, all columns, whose language could be told; a score below least counts as not told.
+
+    Where no language could be learned (no labels, or none in the rows learned from), the rows whose text has a letter.
+    """
+    names, prototypes = learn(training_rows(docs))
+    fn = batch_predictor(names, prototypes)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = fn(texts_of(batch, "text"))
+            texts = texts_of(batch, "text")
+            if not names:
+                told = {i for i, _, _ in counted(texts)}
+                yield batch.filter(pa.array([i in told for i in range(len(texts))], pa.bool_()))
+                continue
+            langs, scores = fn(texts)
             yield batch.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     return map_batches(docs, work, docs.schema)

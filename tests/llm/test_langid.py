@@ -58,6 +58,13 @@ def test_nothing_learned_empty_tables_and_stage(docs):
     assert kept.columns == rows.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(60))
 
 
+def test_stage_keeps_texts_where_nothing_could_be_learned(docs):
+    rows = [(1, "abc", None), (2, "123", None), (3, None, None), (4, "", None), (None, "some é text", None), (5, "é", None)]
+    kept = langid.stage(docs(rows))
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "5", "None"]
+    assert langid.stage(docs(rows), least=0.5).count() == 3 and langid.stage(docs([])).collect() == []
+
+
 def test_pieces_change_no_count(monkeypatch):
     rnd = random.Random(6)
     texts = [_text(rnd.choice(list(SYLLABLES)), rnd, rnd.choice([0, 1, 5, 40])) + rnd.choice(["", " 1!", "\n"]) for _ in range(60)] + [None, "", "ka lo " * 200, "x"]
