@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,13 +27,27 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name below the checkpoint folder that the session names; a temporary one only where none is set."""
+    """A fresh folder name below the checkpoint folder that the session names, removed when the driver ends.
+
+    Where none is named, a temporary one if all runs on this machine; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = Path(tempfile.gettempdir(), "rulesieve-checkpoints").as_uri()
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/rulesieve-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/rulesieve-{uuid.uuid4().hex}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    atexit.register(_removed, jvm, conf, folder)
+    return folder
+
+
+def _removed(jvm, conf, path: str) -> None:
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    with suppress(Py4JError, OSError):  # the JVM may have gone before
+        at.getFileSystem(conf).delete(at, True)
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -39,11 +56,26 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+def numbered(narrow: DataFrame, order: list) -> tuple[DataFrame, int]:
+    """The rows with __rs_row, gapless from 0 in the given order, and their count."""
+    spark = narrow.sparkSession
+    shared_dir(spark)
+    sorted_rows = narrow.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+    at = sorted_rows.withColumn("__rs_at", F.monotonically_increasing_id())
+    part = F.shiftright("__rs_at", 33)
+    counts = {r[0]: r[1] for r in at.groupBy(part.alias("p")).count().collect()}  # one row a partition
+    firsts, total = [], 0
+    for p in sorted(counts):
+        firsts.append((int(p), total))
+        total += counts[p]
+    starts = F.broadcast(spark.createDataFrame(firsts, "__rs_p bigint, __rs_first bigint"))  # one row a partition
+    out = at.join(starts, part == F.col("__rs_p"), "left").withColumn("__rs_row", F.col("__rs_first") + F.col("__rs_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    return out.drop("__rs_at", "__rs_p", "__rs_first"), total
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Removes a table in the shared folder that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _removed(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
 
 
 def bounded_batches(spark: SparkSession) -> None:

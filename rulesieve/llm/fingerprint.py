@@ -1,28 +1,36 @@
 """Document fingerprints by winnowing, in DataFrame operations only.
 
-A text's lower-cased words (cut at white space and control characters) are hashed; the hash of K consecutive words is a
-polynomial over their hashes modulo a prime, built for all places at once by doubling (from 1 word to 2 to 4), which is the
-rolling hash without its loop.  Of any WINDOW consecutive gram hashes the smallest is chosen, of equal ones the rightmost,
-again by doubling; the chosen hashes with their word positions are the fingerprint.  Any WINDOW + K - 1 words that two
-texts share therefore give a common hash.  A text of fewer than K words, but not none, is one gram; one of fewer grams than
-a window is one window.
-
-Neighbours in doc_id order: rows are dealt once, by ranges of ids whose bounds are a bounded number of quantiles; the first
-row of a range is also sent to the range before it, so that lead() finds every neighbour without one task seeing all rows.
+A text's lower-cased words are hashed: runs of up to LONGEST characters other than white space and control characters, and
+each character of a script that sets no blanks on its own.  The hash of K consecutive words is a polynomial over their hashes
+modulo a prime, built for all places at once by doubling (from 1 word to 2 to 4), which is the rolling hash without its
+loop.  Of any WINDOW consecutive gram hashes the smallest is chosen, of equal ones the rightmost, again by doubling; the
+chosen hashes with their word positions are the fingerprint.  Any WINDOW + K - 1 words that two texts share therefore give a
+common hash.  A text of fewer than K words, but not none, is one gram; one of fewer grams than a window is one window.
+
+Neighbours in doc_id order: a narrow table of ids and digests of texts is numbered, and number n is joined with n + 1, which
+tells each row whose neighbour it is and how much of its text that one needs.  Texts are dealt once, by id and digest; what
+moves further is the part of a text, and the hashes, that its neighbour needs.  Equal rows are one row with a count until
+the end.  Only the count of rows in each partition of the narrow table reaches the driver.
 
 Defined results: a null text counts as empty; an empty text has an empty fingerprint, like only to another empty one; rows
-that repeat an id follow each other in order of text; with one row, the next document is the row itself; an empty table
-gives no rows.
+that repeat an id follow each other in order of their text's MD5, null ids come last; with one row, the next document is the
+row itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import numbered
+
 K = 4
 WINDOW = 8
+#: A longer run without a blank is cut into words of this length.
+LONGEST = 32
+#: Thai to Khmer and Chinese, Japanese characters: each is a word.
+_ALONE = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}"
+_WORDS = rf"[{_ALONE}]|[^\x00-\x20\x7f{_ALONE}]{{1,{LONGEST}}}"
 PRIME = 2147483647
 BASE = 1000003
 _POS = 2147483647
@@ -39,7 +47,7 @@ def add_fingerprint(df: DataFrame, text: Column, name: str, k: int = K, window:
     k and window are powers of 2.  Steps are columns of their own so that each array is computed once.
     """
     h, n = f"{name}_h", f"{name}_n"
-    own = df.withColumn(h, F.transform(F.array_remove(F.split(F.lower(text), "[\\x00-\\x20\\x7f]+"), ""), lambda w: F.crc32(w) % PRIME))
+    own = df.withColumn(h, F.transform(F.regexp_extract_all(F.lower(text), F.lit(_WORDS), F.lit(0)), lambda w: F.crc32(w) % PRIME))
     whole = F.array(F.aggregate(F.col(h), F.lit(0).cast("bigint"), lambda a, b: (a * BASE + b) % PRIME))
     own = own.withColumn(h, F.when(F.size(h).between(1, k - 1), whole).otherwise(F.col(h)))
     width, power = 1, BASE
@@ -83,54 +91,55 @@ def winnow(docs: DataFrame, text: str = "text") -> DataFrame:
     return add_fingerprint(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("__rs_text")), F.col("__rs_text"), "__rs_fp").select("doc_id", positions(F.col("__rs_fp")).alias("fingerprint"))
 
 
-def with_next(rows: DataFrame, carried: list[str], parts: int) -> DataFrame:
-    """Adds next_<c> for each carried column: its value in the row that follows in descending doc_id, after the last the first.
+def followed(narrow: DataFrame) -> tuple[DataFrame, int]:
+    """For each row key, tag whose neighbour it is: to_key, to_tag and what that one needs of it; and the most copies of a row.
 
-    rows: __rs_key (bigint, not null) and further columns; the order is that of __rs_key.  Bounds: at most `parts` quantiles and as many first ids reach the driver.
+    narrow: key, tag, need, copies; the order is key descending, then tag.  After the last row the first follows.
     """
-    bounds = rows.agg(F.percentile_approx("__rs_key", [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    limits = F.array(*[F.lit(b).cast("bigint") for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    range_of = lambda c: F.size(F.filter(limits, lambda b: b < c))
-    ends = {r[0]: r[1] for r in rows.select(range_of(F.col("__rs_key")).alias("p"), "__rs_key").groupBy("p").agg(F.max("__rs_key")).collect()}  # at most parts rows
-    if not ends:
-        return rows.select("*", *[F.col(c).alias(f"next_{c}") for c in carried])
-    parts_down = sorted(ends, reverse=True)
-    before = {p: parts_down[i - 1] for i, p in enumerate(parts_down)}  # the range whose last row p's first row follows; the highest range closes the ring
-    heads = F.map_from_arrays(F.array(*[F.lit(ends[p]).cast("bigint") for p in parts_down]), F.array(*[F.lit(before[p]) for p in parts_down]))
-    target = F.try_element_at(heads, F.col("__rs_key"))
-    spot = lambda p, ghost: F.struct(p.alias("p"), F.lit(ghost).alias("ghost"))
-    own = range_of(F.col("__rs_key"))
-    dealt = rows.withColumn("__rs_to", F.explode(F.when(target.isNotNull(), F.array(spot(own, 0), spot(target, 1))).otherwise(F.array(spot(own, 0)))))
-    dealt = dealt.withColumn("__rs_p", F.col("__rs_to.p")).withColumn("__rs_ghost", F.col("__rs_to.ghost")).drop("__rs_to")
-    # a ghost stands behind all rows of its range; of several with one id the first in order is the one that follows
-    at = W.partitionBy("__rs_p").orderBy(F.col("__rs_ghost"), F.col("__rs_key").desc(), *[F.col(c) for c in carried])
-    out = dealt.select("*", *[F.lead(c).over(at).alias(f"next_{c}") for c in carried])
-    return out.where("__rs_ghost = 0").drop("__rs_p", "__rs_ghost")
+    rows, total = numbered(narrow, [F.col("key").desc(), F.col("tag")])
+    most = rows.agg(F.max("copies")).first()[0] or 1
+    own = rows.select(F.col("__rs_row").alias("row"), "key", "tag")
+    before = rows.select(((F.col("__rs_row") + 1) % max(total, 1)).alias("row"), F.col("key").alias("to_key"), F.col("tag").alias("to_tag"), "need")
+    return own.join(before, "row").drop("row"), most
 
 
 def query(docs: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("__rs_key"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = add_fingerprint(rows, F.col("text"), "fp")
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = with_next(rows, ["text", "fp"], parts).withColumn("n_chars", F.length("text").cast("bigint"))
-    third = F.floor(F.col("n_chars") / 3).cast("int")
-    near = near.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring(F.col("next_text"), F.lit(1), third)))
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.concat(F.when(F.col("doc_id").isNull(), "~").otherwise(""), F.md5(text.cast("binary"))).alias("tag"))
+    own = own.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    third = F.floor(F.length("text") / 3).cast("int")
+    narrow = own.groupBy("key", "tag").agg(F.count("*").alias("copies"), F.min(third).alias("need"))
+    links, most = followed(narrow)
+    if most > 1:  # only then, as it sorts all texts once more
+        own = own.groupBy("key", "tag").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
+    else:
+        own = own.withColumn("copies", F.lit(1).cast("bigint"))
+    rows = add_fingerprint(own, F.col("text"), "fp").select("key", "tag", "doc_id", "text", "copies", digest(F.col("fp")).alias("fingerprint"), hashes(F.col("fp")).alias("a"))
+    heads = rows.join(links, ["key", "tag"]).select(F.col("to_key").alias("key"), F.col("to_tag").alias("tag"), F.expr("substring(text, 1, need)").alias("head"), F.col("a").alias("c"))
+    near = rows.join(heads, ["key", "tag"])
+    # of equal rows all but the last are followed by themselves
+    after = F.struct(F.col("head"), F.col("c"), F.lit(1).cast("bigint").alias("copies"))
+    itself = F.struct(F.expr("substring(text, 1, cast(floor(length(text) / 3) as int))").alias("head"), F.col("a").alias("c"), (F.col("copies") - 1).alias("copies"))
+    near = near.withColumn("after", F.explode(F.when(F.col("copies") > 1, F.array(after, itself)).otherwise(F.array(after)))) if most > 1 else near.withColumn("after", after)
+    near = near.withColumn("n_chars", F.length("text").cast("bigint"))
+    near = near.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 3) as int)), after.head)"))
     near = add_fingerprint(near, F.col("edited"), "efp")
-    near = near.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("fp")).alias("fingerprint"), digest(F.col("efp")).alias("edited_fingerprint"), hashes(F.col("fp")).alias("a"), hashes(F.col("efp")).alias("b"), hashes(F.col("next_fp")).alias("c"))
-    return near.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+    out = near.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", digest(F.col("efp")).alias("edited_fingerprint"),
+        likeness(F.col("a"), hashes(F.col("efp"))).alias("near_edited"), likeness(F.col("a"), F.col("after.c")).alias("near_next"), F.col("after.copies").alias("copies"),
+    )
+    return (out.withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))) if most > 1 else out).drop("copies")
 
 
 def sql() -> str:
     """The same rows with window functions over words, for K = 4 and WINDOW = 8."""
     return rf"""
 WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS tab),
-d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS id FROM documents),
+d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(coalesce(text, ''))) AS id FROM documents),
 n AS (SELECT d.*, e.text AS after, e.id AS after_id, length(d.text) AS n_chars FROM d JOIN d e ON e.id = CASE WHEN d.id = (SELECT max(id) FROM d) THEN 1 ELSE d.id + 1 END),
 x AS (SELECT *, substr(text, 1, n_chars - n_chars // 3) || substr(after, 1, n_chars // 3) AS edited FROM n),
 t AS (SELECT id, 0 AS k, text FROM x UNION ALL SELECT id, 1, edited FROM x),
-w AS (SELECT id, k, i - 1 AS i, w[i] AS w, len(w) AS m FROM (SELECT id, k, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT id, k, list_filter(string_split_regex(lower(text), '[\x00-\x20\x7f]+'), lambda q: q <> '') AS w FROM t))),
+w AS (SELECT id, k, i - 1 AS i, w[i] AS w, len(w) AS m FROM (SELECT id, k, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT id, k, regexp_extract_all(lower(text), '{_WORDS}') AS w FROM t))),
 h AS (SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda y: CAST('0x' || y AS BIGINT))), lambda a, b: xor(a // 256, tab[xor(a, b) % 256 + 1])), 4294967295) % {PRIME} AS h
   FROM (SELECT DISTINCT w FROM w), crc),
 l AS (SELECT id, k, i, m, h.h AS a, lead(h.h, 1) OVER o AS b, lead(h.h, 2) OVER o AS c, lead(h.h, 3) OVER o AS e FROM w JOIN h ON h.w = w.w WINDOW o AS (PARTITION BY id, k ORDER BY i)),

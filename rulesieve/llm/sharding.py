@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..workers import importable
-from .common import shared_dir
+from .common import numbered
 
 ROUNDS = 6
 KEY = 0x5EED_0009
@@ -78,23 +78,6 @@ def row_at(shard: int, slot: int, n: int, shards: int = SHARDS, key: int = KEY)
     return int(permuted(np.array([slot * shards + shard]), n, key, back=True)[0])
 
 
-def numbered(narrow: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
-    """The rows with __rs_row, gapless from 0 in the given order, and their count."""
-    spark = narrow.sparkSession
-    shared_dir(spark)
-    sorted_rows = narrow.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
-    at = sorted_rows.withColumn("__rs_at", F.monotonically_increasing_id())
-    part = F.shiftright("__rs_at", 33)
-    counts = {r[0]: r[1] for r in at.groupBy(part.alias("p")).count().collect()}  # one row a partition
-    firsts, total = [], 0
-    for p in sorted(counts):
-        firsts.append((int(p), total))
-        total += counts[p]
-    starts = F.broadcast(spark.createDataFrame(firsts, "__rs_p bigint, __rs_first bigint"))  # one row a partition
-    out = at.join(starts, part == F.col("__rs_p"), "left").withColumn("__rs_row", F.col("__rs_first") + F.col("__rs_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    return out.drop("__rs_at", "__rs_p", "__rs_first"), total
-
-
 def shard(docs: DataFrame, shards: int = SHARDS, key: int = KEY) -> DataFrame:
     """doc_id, size, text_crc32, row, shard and slot of every document."""
     importable(docs.sparkSession)

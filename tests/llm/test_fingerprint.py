@@ -12,7 +12,8 @@ P = fp.PRIME
 
 def _brute(text, k=fp.K, w=fp.WINDOW):
     """(position, hash) of the chosen grams in order of choice."""
-    words = [x for x in re.split(r"[\x00-\x20\x7f]+", text.lower()) if x]
+    alone = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+    words = re.findall(rf"[{alone}]|[^\x00-\x20\x7f{alone}]{{1,32}}", text.lower())
     h = [zlib.crc32(x.encode()) % P for x in words]
 
     def poly(xs):
@@ -79,11 +80,38 @@ def test_match_guarantee():
 def test_few_empty_and_repeated_rows(docs):
     assert fp.query(docs([])).collect() == []
     (one,) = fp.query(docs([(1, "a b c d e f")])).collect()
-    assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"a b c da b").hexdigest()[:64] or one["n_chars"] == 11
+    assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"a b c d a b").hexdigest() and one["n_chars"] == 11
     rows = [(1, "x y z w v"), (1, "x y z w v"), (2, "p q"), (None, "n n n"), (None, None)]
     assert sorted(str(r["doc_id"]) for r in fp.query(docs(rows)).collect()) == ["1", "1", "2", "None", "None"]
 
 
+def _query_brute(rows):
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5((r[1] or "").encode()).hexdigest()))
+    out = []
+    for (doc, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        text, after = text or "", after or ""
+        edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        a, b, c = _brute(text), _brute(edited), _brute(after)
+        out.append((str(doc), len(text), hashlib.sha256(edited.encode()).hexdigest(), round(_likeness(a, b), 9), round(_likeness(a, c), 9)))
+    return sorted(out)
+
+
+def test_one_id_for_a_third_of_the_rows_and_equal_rows(docs, words):
+    rows = [(None if i % 3 == 0 else i, " ".join(words(20 + i % 7, i % 11))) for i in range(90)] + [(7, "q r s t u v")] * 40 + [(None, None)] * 5 + [(-(1 << 63), "q r s t u v"), (-(1 << 63), None)]
+    got = [(str(r["doc_id"]), r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fp.query(docs(rows)).collect()]
+    assert sorted(got) == _query_brute(rows)
+
+
+def test_long_texts_of_distinct_words_and_without_blanks(docs):
+    rnd = random.Random(5)
+    chinese = "".join(chr(rnd.randrange(0x4E00, 0x9FA0)) for _ in range(3000))
+    unbroken = "".join(rnd.choice("abcdefgh") for _ in range(30_000))
+    rows = [(1, " ".join(f"w{rnd.random()}" for _ in range(60_000))), (2, chinese), (3, "一" + chinese), (4, unbroken)]
+    out = {r["doc_id"]: r for r in fp.query(docs(rows)).collect()}
+    assert _query_brute(rows) == sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in out.values())
+    assert out[3]["near_next"] > 0.9 and all(r["near_edited"] > 0.1 for r in out.values())
+
+
 def test_sql_gives_the_same(spark, docs, tmp_path):
     duckdb = pytest.importorskip("duckdb")
     docs([r for r in _rows() if r[0] != 505] + [(None, "n n n"), (6, "again")]).select("doc_id", "text").write.parquet(f"{tmp_path}/d")
