@@ -13,6 +13,7 @@ from contextlib import suppress
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.fs
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,11 @@ def dropped(spark: SparkSession, path: str) -> None:
     _removed(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
 
 
+def opened(folder: str):
+    """pyarrow's file system for a folder, and the folder's path in it."""
+    return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's bounds on an Arrow batch, which a task holds in the JVM and again in Python."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):

@@ -1,12 +1,14 @@
-"""Benchmark decontamination with one Aho-Corasick automaton a block of patterns.
+"""Benchmark decontamination with Aho-Corasick automata.
 
 Texts are normalised by lower-casing A-Z and keeping words of digits, a to z and characters beyond ASCII.  An item's
 windows are its runs of ten consecutive words; an item of fewer words, but not none, is one window.  A window becomes the
-pattern " w1 ... wn ", a text the string " w1 ... wm ", so that a match covers whole words.  Each text is scanned once a
-block, and the place of a match is turned into word numbers and, for the spans, offsets in the original text.
+pattern " w1 ... wn ", a text the string " w1 ... wm ", so that a match covers whole words.  Each text is scanned once, and
+the place of a match is turned into word numbers and offsets in the original text.
 
-The patterns are cut into blocks of BLOCK_CHARS characters, which bounds what is broadcast and what an automaton takes in
-a worker, whatever the benchmark's size; a text passes all blocks in turn inside one task, so nothing is shuffled.
+The patterns are a table in the shared folder.  One automaton takes BLOCK_CHARS characters of them; where there are more,
+they are dealt to blocks by hash, and a worker goes through the blocks one after another, one automaton alive at a time, for
+PASS_BYTES of texts at a time.  So neither a worker's nor the driver's memory grows with the benchmark, and texts aren't
+shuffled.
 
 Defined results: a null or empty text has no words and no hit; items without words, or with a null id or text, have no
 window; items that repeat count once by id; a window that several items share counts for each; other columns are ignored.
@@ -17,16 +19,23 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts_of
+from .common import dropped, map_batches, opened, shared_dir, stored, texts_of
 
 WINDOW = 10
 #: Characters of patterns in one automaton; a node is made for each at most.
 BLOCK_CHARS = 1_000_000
+#: Texts that a worker holds while it goes through several blocks.
+PASS_BYTES = 64 << 20
+_NO_SPANS = np.zeros((0, 2), np.int64)
+_HELD: dict = {}
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
 
@@ -44,29 +53,86 @@ def _padded(own: list[bytes]) -> str:
     return (b" " + b" ".join(own) + b" ").decode("latin-1")
 
 
-def blocks(items: DataFrame, size: int = WINDOW, block_chars: int = BLOCK_CHARS) -> Iterator[dict[str, tuple[int, list[str]]]]:
-    """Patterns with their number of words and the ids of their items, at most block_chars characters at a time."""
-    block: dict[str, tuple[int, list[str]]] = {}
-    chars = 0
-    for row in items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").toLocalIterator():
-        for w in windows(words(row["text"]), size):
-            key = _padded(w)
-            if key not in block:
-                if chars and chars + len(key) > block_chars:
-                    yield block
-                    block, chars = {}, 0
-                block[key] = (len(w), [])
-                chars += len(key)
-            ids = block[key][1]
-            if str(row["item_id"]) not in ids[-1:]:
-                ids.append(str(row["item_id"]))
-    if block:
-        yield block
+def patterns(items: DataFrame, size: int = WINDOW, block_chars: int = BLOCK_CHARS) -> Patterns:
+    """Writes the items' windows to the shared folder, in blocks of about block_chars characters; only their total reaches the driver."""
+    folder = shared_dir(items.sparkSession)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(texts_of(batch, "item_id"), texts_of(batch, "text"), strict=True):
+                own = windows(words(text), size)
+                for i in range(0, len(own), 4096):
+                    part = own[i : i + 4096]
+                    yield pa.record_batch([pa.array([_padded(w) for w in part]), pa.array([len(w) for w in part], pa.int32()), pa.array([item] * len(part))], ["pattern", "n", "item_id"])
+
+    named = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    rows = stored(map_batches(named, work, "pattern string, n int, item_id string").distinct(), folder, "windows")
+    chars = rows.select("pattern").distinct().agg(F.sum(F.length("pattern"))).first()[0] or 0
+    count = -(-chars // block_chars)
+    if count:
+        blocked = rows.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(count)).cast("int"))
+        blocked.repartition(int(count), "block").write.partitionBy("block").parquet(f"{folder}/blocks")
+    dropped(items.sparkSession, f"{folder}/windows")
+    return Patterns(folder, int(count))
+
+
+class Patterns:
+    """Blocks of patterns in the shared folder; a worker holds the automaton of one of them at a time."""
+
+    def __init__(self, folder: str, count: int):
+        self.folder, self.count = folder, count
+
+    def automaton(self, k: int):
+        """The automaton of block k, or None if it has no pattern; the latest is kept for the worker's further batches and tasks."""
+        if _HELD.get("key") != (self.folder, k):
+            _HELD.clear()
+            _HELD.update(key=(self.folder, k), found=automaton(self._read(k)))
+        return _HELD["found"]
+
+    def _read(self, k: int) -> dict[str, tuple[int, list[str]]]:
+        files, base = opened(f"{self.folder}/blocks/block={k}")
+        block: dict[str, tuple[int, list[str]]] = {}
+        for info in files.get_file_info(pyarrow.fs.FileSelector(base, allow_not_found=True)):
+            if info.path.endswith(".parquet"):
+                with files.open_input_file(info.path) as f:
+                    for part in pq.ParquetFile(f).iter_batches(columns=["pattern", "n", "item_id"]):
+                        for key, n, item in zip(*(texts_of(part, c) for c in ("pattern", "n", "item_id")), strict=True):
+                            block.setdefault(key, (n, []))[1].append(item)
+        return block
+
+    def scan(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+        """The number of words of each text, the merged word spans that windows cover, and the items, sorted."""
+        counts, spans, names = [len(words(t)) for t in texts], [_NO_SPANS] * len(texts), [set() for _ in texts]
+        for k in sorted(range(self.count), key=lambda k: (self.folder, k) != _HELD.get("key")):  # the one at hand first
+            found = self.automaton(k)
+            for i, text in enumerate(texts):
+                if found is not None and counts[i]:
+                    own, ids = scan(words(text), found)
+                    if len(own):
+                        spans[i] = merged(np.concatenate([spans[i], own]))
+                        names[i] |= ids
+        yield from zip(counts, spans, map(sorted, names), strict=True)
+
+    def groups(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches to be scanned at once: with several blocks about PASS_BYTES of them, as each block is built anew for each."""
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if self.count < 2 or size >= PASS_BYTES:
+                yield from held if len(held) == 1 else [joined(held)]
+                held, size = [], 0
+        if held:
+            yield joined(held)
+
+
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in batches]) for i in range(batches[0].num_columns)], schema=batches[0].schema)
 
-def automaton(block: dict[str, tuple[int, list[str]]]):
-    import ahocorasick
 
+def automaton(block: dict[str, tuple[int, list[str]]]):
+    if not block:
+        return None
     found = ahocorasick.Automaton()
     for key, value in block.items():
         found.add_word(key, value)
@@ -89,7 +155,7 @@ def scan(own: list[bytes], found) -> tuple[np.ndarray, set[str]]:
     text = _padded(own)
     hits = list(found.iter(text)) if own else []
     if not hits:
-        return np.zeros((0, 2), np.int64), set()
+        return _NO_SPANS, set()
     gaps = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
     end = np.searchsorted(gaps, np.array([h[0] for h in hits]))
     spans = np.stack([end - np.array([h[1][0] for h in hits]), end], 1)
@@ -102,78 +168,40 @@ def original(text: str, spans: np.ndarray) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in spans.tolist()]
 
 
-class Scanner:
-    """Scans texts with a broadcast block; the automaton is built once a task."""
-
-    def __init__(self, block):
-        self.block, self.found = block, None
-
-    def __call__(self, own: list[bytes]) -> tuple[np.ndarray, set[str]]:
-        if self.found is None:
-            self.found = automaton(self.block.value)
-        return scan(own, self.found)
-
-
-def _scanners(docs: DataFrame, items: DataFrame, size: int, block_chars: int) -> list[Scanner]:
-    sc = docs.sparkSession.sparkContext
-    return [Scanner(sc.broadcast(b)) for b in blocks(items, size, block_chars)]
-
-
-def _pass(rows: DataFrame, scanner: Scanner | None) -> DataFrame:
-    """Adds one block's word spans (flat: first, end, first, ...) and items to what earlier blocks found."""
+def find(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """doc_id, n_words, n_hit (words inside windows), spans in the original text, items found (sorted)."""
+    own = patterns(items, size, block_chars)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, items = texts_of(batch, "spans"), texts_of(batch, "items")
-            counts, new_spans, new_items = [], [], []
-            for text, old, ids in zip(texts_of(batch, "text"), spans, items, strict=True):
-                own = words(text)
-                span, names = scanner(own) if scanner else (np.zeros((0, 2), np.int64), set())
-                if old:
-                    span = merged(np.concatenate([np.array(old, np.int64).reshape(-1, 2), span]))
-                counts.append(len(own))
-                new_spans.append(span.ravel().tolist())
-                new_items.append(sorted(names | set(ids)))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(new_spans, pa.list_(pa.int64())), pa.array(new_items, pa.list_(pa.string()))], ["doc_id", "text", "n_words", "spans", "items"])
-
-    return map_batches(rows, work, "doc_id bigint, text string, n_words bigint, spans array<bigint>, items array<string>")
-
-
-def _finish(rows: DataFrame) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit, chars = [], []
-            for text, flat in zip(texts_of(batch, "text"), texts_of(batch, "spans"), strict=True):
-                span = np.array(flat, np.int64).reshape(-1, 2)
+        for batch in own.groups(batches):
+            texts = texts_of(batch, "text")
+            counts, hit, chars, ids = [], [], [], []
+            for text, (n, span, names) in zip(texts, own.scan(texts), strict=True):
+                counts.append(n)
                 hit.append(int((span[:, 1] - span[:, 0]).sum()))
                 chars.append([{"start": a, "end": b} for a, b in original(text, span)] if len(span) else [])
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(hit, pa.int64()), pa.array(chars, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), batch.column(4)], ["doc_id", "n_words", "n_hit", "spans", "items"])
+                ids.append(names)
+            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(chars, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(ids, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "spans", "items"])
 
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return map_batches(rows, work, "doc_id bigint, n_words bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>")
 
 
-def find(docs: DataFrame, items: DataFrame, size: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside windows), spans in the original text, items found (sorted)."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for scanner in _scanners(docs, items, size, block_chars) or [None]:
-        rows = _pass(rows, scanner)
-    return _finish(rows)
-
-
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:
-    return find(docs, items).select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    """The contract's columns, and spans: start:end of the covered passages in the original text, comma-joined."""
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return find(docs, items).select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), spans.alias("spans"))
 
 
 def stage(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows, all columns, in which no window of an item occurs."""
-    for scanner in _scanners(docs, items, WINDOW, BLOCK_CHARS):
+    own = patterns(items)
 
-        def work(batches: Iterator[pa.RecordBatch], scanner: Scanner = scanner) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array([not scanner(words(t))[1] for t in texts_of(batch, "text")], pa.bool_()))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in own.groups(batches):
+            yield batch.filter(pa.array([not len(span) for _, span, _ in own.scan(texts_of(batch, "text"))], pa.bool_()))
 
-        docs = map_batches(docs, work, docs.schema)
-    return docs
+    return map_batches(docs, work, docs.schema)
 
 
 #: The same rows by joins of unnested windows.
@@ -182,8 +210,8 @@ WITH items AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
 docs AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM documents),
+  SELECT doc_id, lowered, regexp_extract_all(lowered, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM documents)),
 windows AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS s
   FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM items WHERE len(w) > 0)),
@@ -191,9 +219,15 @@ places AS (
   SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
 hits AS (SELECT p.doc_id, p.n, p.i, x.item_id FROM places p JOIN windows x ON p.n = x.n AND p.s = x.s),
-covered AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
+words AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM hits),
+covered AS (SELECT doc_id, count(*) AS n_hit FROM words GROUP BY doc_id),
+runs AS (SELECT doc_id, min(k) AS a, max(k) AS b FROM (SELECT doc_id, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS r FROM words) GROUP BY doc_id, r),
+spots AS (
+  SELECT doc_id, k, sum(length(g[k]) + length(w[k])) OVER (PARTITION BY doc_id ORDER BY k) AS stop, length(w[k]) AS n
+  FROM (SELECT doc_id, w, string_split_regex(lowered, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS g, unnest(range(1, len(w) + 1)) AS k FROM docs WHERE doc_id IN (SELECT doc_id FROM runs))),
+spans AS (SELECT r.doc_id, string_agg((p.stop - p.n) || ':' || q.stop, ',' ORDER BY r.a) AS spans FROM runs r JOIN spots p ON p.doc_id = r.doc_id AND p.k = r.a JOIN spots q ON q.doc_id = r.doc_id AND q.k = r.b GROUP BY r.doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
-FROM docs d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id
+  sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated, coalesce(p.spans, '') AS spans
+FROM docs d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id LEFT JOIN spans p ON p.doc_id = d.doc_id
 """

@@ -27,11 +27,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, shared_dir, stored, texts_of
+from .common import map_batches, opened, shared_dir, stored, texts_of
 
 LEAST = 1000
 ARCHIVE_BYTES = 32_000_000
@@ -242,11 +241,6 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         at = end
 
 
-def _opened(folder: str):
-    """pyarrow's file system for a folder, and the folder's path in it."""
-    return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-
-
 def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes archives to the folder; the manifest, read back from it: path, n_records, n_bytes."""
     html = F.coalesce(F.col("html"), F.lit(""))
@@ -259,7 +253,7 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
     near = near.select("page_id", "url", "html", "digest", F.when(own, F.col("last")).alias("refers_to"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = _opened(f"{folder}/archives")
+        files, base = opened(f"{folder}/archives")
         files.create_dir(base, recursive=True)
         done: list[tuple[str, int, int]] = []
         out, count, size, name = None, 0, 0, ""
@@ -306,7 +300,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
             }
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = _opened(f"{folder}/archives")
+        files, base = opened(f"{folder}/archives")
         for batch in batches:
             for path in texts_of(batch, "path"):
                 with files.open_input_file(f"{base}/{path}") as f:

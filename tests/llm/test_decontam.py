@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from rulesieve.llm import decontam
 
 ITEMS = "item_id bigint, text string, spans string"
@@ -49,6 +51,35 @@ def test_same_as_brute_force(spark, docs):
     assert {r["doc_id"]: tuple(r)[1:6] for r in got} == want
 
 
+def test_many_blocks_are_one_pass_with_one_automaton(spark, docs):
+    rows, items = _cases()
+    items += [(500 + i, " ".join(f"q{i}x{j}" for j in range(14)), "s") for i in range(60)]
+    rows += [(900, " ".join(f"q{i}x{j}" for i in range(60) for j in range(14)) + " é" * 300_000)]
+    bench = spark.createDataFrame(items, ITEMS)
+    own = decontam.patterns(bench, block_chars=400)
+    assert own.count >= 50
+    got = decontam.find(docs(rows), bench, block_chars=400)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = _brute([r for r in rows if r[0] != 900], items)
+    found = {r["doc_id"]: r for r in got.collect()}
+    assert {k: (found[k]["n_words"], found[k]["n_hit"], len(found[k]["items"])) for k in want} == {k: v[:3] for k, v in want.items()}
+    assert found[900]["n_hit"] == 840 and len(found[900]["items"]) == 60 and len(found[900]["spans"]) == 1
+    list(own.scan(["a b c"]))
+    assert len(decontam._HELD) == 2  # a key and one automaton
+
+
+def test_sql_gives_the_same(spark, docs, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows, items = _cases()
+    docs(rows).select("doc_id", "text").write.parquet(f"{tmp_path}/d")
+    spark.createDataFrame(items, ITEMS).write.parquet(f"{tmp_path}/b")
+    con = duckdb.connect()
+    for view, name in (("documents", "d"), ("benchmark", "b")):
+        con.execute(f"CREATE VIEW {view} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    got = sorted(map(tuple, decontam.query(spark.read.parquet(f"{tmp_path}/d"), spark.read.parquet(f"{tmp_path}/b")).collect()))
+    assert got == sorted(con.execute(decontam.SQL).fetchall())
+
+
 def test_spans_are_offsets_in_the_original(spark, docs):
     item = "one two three four five six seven eight nine ten"
     text = "Ünï — " + item.replace(" ", ",\n ").upper() + "; the end"

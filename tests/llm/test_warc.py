@@ -4,6 +4,7 @@ import random
 import zlib
 
 from rulesieve.llm import warc
+from rulesieve.llm.common import opened
 from rulesieve.llm.common import shared_dir
 from rulesieve.llm.warc import Gap, Record, member, record, salvage
 
@@ -78,7 +79,7 @@ def test_gaps_are_logged(spark, tmp_path):
     rows = [(i, "u", f"{i}" * 50, "d", 1, 2) for i in range(20)]
     manifest = warc.write(spark.createDataFrame(rows, PAGES).coalesce(1), folder, archive_bytes=10**9)
     path = manifest.first()["path"]
-    files, base = warc._opened(f"{folder}/archives")
+    files, base = opened(f"{folder}/archives")
     with files.open_input_file(f"{base}/{path}") as f:
         data = bytearray(f.read())
     data[len(data) // 2] ^= 255
