@@ -23,6 +23,8 @@ from ..workers import importable
 
 #: Columns that an operator adds to rows it carries along start like this, so that they clash with no input column.
 OWN = "__rs_"
+#: Tasks that may share the rows of one key in a join; as many as a bigint has bits.
+SALTS, SALT = 64, f"{OWN}salt"
 #: What an Arrow batch holds at most, but for a single longer row.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
@@ -84,6 +86,31 @@ def opened(folder: str):
     return pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
+def salted(rows: DataFrame, by: str) -> DataFrame:
+    """Adds a number from 0 to SALTS - 1 that spreads the rows of one key."""
+    return rows.withColumn(SALT, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def salts_met() -> F.Column:
+    """An aggregate: the salts of a group's rows, as bits."""
+    return F.bit_or(F.expr(f"shiftleft(1L, {SALT})"))
+
+
+def unfolded(salts: str) -> F.Column:
+    """A row for each salt that the bits name."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(F.col(salts), i) == 1))
+
+
+def looked_up(rows: DataFrame, told: DataFrame, key: list[str], by: str, how: str = "inner") -> DataFrame:
+    """rows joined with told, which has one row a key at most, where a key may hold any share of rows.
+
+    The rows of one key are spread by `by` over up to SALTS tasks, and what is told of a key is sent only to those it meets.
+    """
+    spread = salted(rows, by)
+    asked = spread.groupBy(*key).agg(salts_met().alias(f"{SALT}s")).join(told, key)
+    return spread.join(asked.withColumn(SALT, unfolded(f"{SALT}s")).drop(f"{SALT}s"), [*key, SALT], how).drop(SALT)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's bounds on an Arrow batch, which a task holds in the JVM and again in Python."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):

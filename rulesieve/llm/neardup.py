@@ -8,9 +8,13 @@ SIDE^2 times.  The right side's minhashes also give an estimate, which drops pai
 
 Groups.  Texts with equal sets are one class, by a 128-bit digest, with the smallest doc_id as its node; classes are made
 by pre-aggregated counts.  In each left bucket every member is tried against the smallest one; confirmed links are joined to
-components.  Then only buckets that still hold several components are gone through, in blocks of BLOCK members, so that no
-bucket lands in one task: members of different components that share a table are compared by their sets there and then,
-and only links come out, so that pairs are never rows.  No bucket is capped and no pair is dropped but by the size ratio (exact), the tables and the estimate.
+components.  Then only buckets that still hold several components are gone through.  Those of more than BLOCK members are
+cut by the right keys first, so that only members that share a table meet, and each of these is tried against its table's
+smallest.  What still holds several components is gone through in blocks of BLOCK members, so that no bucket lands in one
+task: members of different components that share a table are compared by their sets there and then, and only links come out,
+so that pairs are never rows.  No bucket is capped and no pair is dropped but by the size ratio (exact), the tables and the
+estimate.  What many rows of one key must be told (of their bucket, component or representative) goes once to each of the
+tasks that the key's rows are spread over.
 
 Confirmation compares the full shingle sets (64-bit hashes of all shingles).  Components come from alternating star
 contractions over stored tables.  All that is cut off from its lineage lies in the shared checkpoint folder; links and
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, map_batches, shared_dir, stored, texts_of
+from .common import OWN, SALT, dropped, looked_up, map_batches, numbered, salted, salts_met, shared_dir, stored, texts_of, unfolded
 
 SHINGLE = 5
 PERCENT = 80
@@ -41,7 +45,6 @@ HASHES = 3
 #: Of the right side's 60 minhashes so many must agree; at 0.8 fewer do with a chance of 1 in 4 million.
 AGREE = 31
 BLOCK = 512
-SALTS = 16
 KEPT_WORDS = 100_000
 SEED = 20240610
 _HALF = SIDE * HASHES
@@ -120,10 +123,10 @@ def right_bytes(hashes: np.ndarray) -> np.ndarray:
     return (hashes[:, _HALF:] & np.uint32(255)).astype(np.uint8)
 
 
-def alike(right_a: np.ndarray, right_b: np.ndarray) -> np.ndarray:
+def alike(right_a: np.ndarray, right_b: np.ndarray, agree: int = AGREE) -> np.ndarray:
     """Whether two texts share a right key and their estimate allows a link; rows of right_bytes, broadcast."""
     same = right_a == right_b
-    return same.reshape(*same.shape[:-1], SIDE, HASHES).all(-1).any(-1) & (same.sum(-1, dtype=np.int16) >= AGREE)
+    return same.reshape(*same.shape[:-1], SIDE, HASHES).all(-1).any(-1) & (same.sum(-1, dtype=np.int16) >= agree)
 
 
 def sized(a, b, percent: int):
@@ -173,14 +176,14 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return map_batches(rows, work, "node bigint, shingles array<bigint>")
 
 
-def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
+def _filtered(pairs: DataFrame, percent: int, agree: int) -> DataFrame:
     """Of pairs a, b with sizes and right bytes those that may link."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 va, vb = (np.frombuffer(b"".join(texts_of(batch, c)), np.uint8).reshape(-1, _HALF) for c in ("va", "vb"))
-                yield batch.select(["a", "b"]).filter(pa.array(alike(va, vb)))
+                yield batch.select(["a", "b"]).filter(pa.array(alike(va, vb, agree)))
 
     sides = pairs.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
     return map_batches(sides.select("a", "b", "va", "vb"), work, "a bigint, b bigint")
@@ -189,7 +192,8 @@ def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs a, b those whose full sets reach the similarity."""
     left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b")
+    # a representative of many has one set, which goes once to each task that its pairs are spread over
+    both = looked_up(pairs, right, ["b"], "a").join(left, "a")
     common = F.size(F.array_intersect("sa", "sb")).cast("bigint")
     return both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).cast("bigint").alias("t")).where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b")
 
@@ -212,7 +216,7 @@ class _Sets:
         return out
 
 
-def _pairs(part: dict[str, np.ndarray], a: slice, percent: int) -> Iterator[np.ndarray]:
+def _pairs(part: dict[str, np.ndarray], a: slice, percent: int, agree: int) -> Iterator[np.ndarray]:
     """Of the rows of one bucket and pair of blocks, the pairs (larger node, smaller node) that link; see _rest."""
     node, comp, n, v, block = (part[c][a] for c in ("node", "comp", "n", "v", "block"))
     p, q = part["p"][a.start], part["q"][a.start]
@@ -220,7 +224,7 @@ def _pairs(part: dict[str, np.ndarray], a: slice, percent: int) -> Iterator[np.n
     sets: _Sets | None = None
     for i in np.flatnonzero(block == p):
         k = y[(comp[y] != comp[i]) & ((node[y] > node[i]) | (p != q)) & sized(n[y], n[i], percent)]
-        k = k[alike(v[k], v[i])] if len(k) else k
+        k = k[alike(v[k], v[i], agree)] if len(k) else k
         if len(k):
             if sets is None:
                 ends = part["ends"][a.start : a.stop + 1]
@@ -231,7 +235,7 @@ def _pairs(part: dict[str, np.ndarray], a: slice, percent: int) -> Iterator[np.n
                 yield np.stack([np.maximum(node[k], node[i]), np.minimum(node[k], node[i])], 1)
 
 
-def _rest(members: DataFrame, percent: int) -> DataFrame:
+def _rest(members: DataFrame, percent: int, agree: int) -> DataFrame:
     """All links of one bucket between different components.  members: key, node, comp, n, v, size, s.
 
     s has the set's hashes cut to 31 bits, so what is counted as common is never too little; what is found is confirmed on
@@ -252,7 +256,7 @@ def _rest(members: DataFrame, percent: int) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], new]))
         out = [np.zeros((0, 2), np.int64)]
         for s, e in zip(starts, [*starts[1:], table.num_rows], strict=True):
-            out += _pairs(part, slice(int(s), int(e)), percent)
+            out += _pairs(part, slice(int(s), int(e)), percent, agree)
         found = np.concatenate(out)
         return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
@@ -293,8 +297,10 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
         ends = df.select("a", "b")
         if large:
             ends = ends.union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = ends.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        near = ends.join(low, "a")
+        ends = salted(ends, "b")  # the smallest node of a component has a link to all others in the end
+        low = ends.groupBy("a").agg(F.min("b").alias("m"), salts_met().alias("salts")).select("a", F.least("a", "m").alias("m"), "salts")
+        near = ends.join(low.withColumn(SALT, unfolded("salts")), ["a", SALT])
+        low = low.select("a", "m")
         moved = near.where("b > a" if large else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return (moved if large else moved.union(low)).where("a <> b").distinct()
 
@@ -309,18 +315,38 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def _by_key(members: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Members (key, node) with what is known of their buckets; a bucket's members are spread over SALTS tasks."""
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    return salted.join(buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "salt"]).drop("salt")
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """key, node, size and rep (the smallest node) of buckets with several nodes; a bucket's nodes are spread over tasks."""
+    spread = salted(keyed, "node")
+    found = spread.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("rep"), salts_met().alias("salts")).where("size > 1")
+    return spread.join(found.withColumn(SALT, unfolded("salts")).drop("salts"), ["key", SALT]).drop(SALT)
 
 
 def _with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return rows.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def _unjoined(members: DataFrame) -> DataFrame:
+    """The members (key, node, comp, ...) of buckets that hold several components."""
+    spread = salted(members, "node")
+    found = spread.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), salts_met().alias("salts")).where("x <> y")
+    return spread.join(found.select("key", unfolded("salts").alias(SALT)), ["key", SALT]).drop(SALT)
+
+
+def _split(large: DataFrame, known: DataFrame) -> DataFrame:
+    """Left buckets cut by the right keys: key, node, comp, once for each table that the node is in."""
+    table = F.expr(f"transform(sequence(0, {SIDE - 1}), j -> xxhash64(key, j, substring(v, {HASHES} * j + 1, {HASHES})))")
+    return large.join(known.select("node", "v"), "node").select(F.explode(table).alias("key"), "node", "comp")
+
+
+def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, agree: int = AGREE) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document.
+
+    agree: of the estimate's 60 minhashes so many must be equal in a pair; 0 turns the estimate off.  The keys are made for
+    similarities of 0.8 and more, so a smaller percent is refused.
+    """
+    if percent < PERCENT:
+        raise ValueError(f"the tables are made for {PERCENT} percent and more")
     spark = docs.sparkSession
     folder = shared_dir(spark)
     rows = stored(_signed(docs, shingle), folder, "rows")
@@ -328,35 +354,41 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     nodes = rows.join(classes.select("d1", "d2", F.col("node").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").where("n > 0")
     nodes = stored(nodes.dropDuplicates(["d1", "d2", "doc_id"]).select(F.col("doc_id").alias("node"), "d1", "d2", "n", "u", "v"), folder, "nodes")
 
-    keyed = nodes.select(F.explode("u").alias("key"), "node")
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("rep")).where("size > 1")
-    members = stored(_by_key(keyed, buckets), folder, "members")
-
+    members = stored(_buckets(nodes.select(F.explode("u").alias("key"), "node")), folder, "members")
     involved = nodes.join(members.select("node").distinct(), "node", "left_semi")
     sets = stored(_sets(docs, involved.select("node", "d1", "d2"), shingle), folder, "sets")
     known = involved.select("node", "n", "v")
-    side = lambda c: known.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("v").alias(f"v{c}"))
-    stars = members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
-    # a representative of a large group has many pairs: they are spread over SALTS tasks
-    reps = side("b").join(members.select(F.col("rep").alias("b")).distinct(), "b", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    tried = stars.join(side("a"), "a").withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(reps, ["b", "salt"])
-    links = stored(_confirmed(_filtered(tried, percent), sets, percent), folder, "links_0")
-    comps = components(links, folder, "first")
 
-    placed = _with_comp(members.where("size > 2").select("key", "size", "node"), comps)
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    left = stored(_by_key(placed, mixed), folder, "left")
-    cut = sets.join(left.select("node").distinct(), "node", "left_semi").select("node", F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("s"))
-    found = stored(_rest(left.join(known, "node").join(cut, "node"), percent).distinct(), folder, "found")
-    more = stored(_confirmed(found, sets, percent), folder, "links_1")
-    comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more), folder, "all")
-    for name in ("sets", "nodes", "members", "links_0", "left", "found", "links_1"):
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The links among pairs a, b."""
+        side = lambda c: known.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("v").alias(f"v{c}"))
+        tried = looked_up(pairs.distinct().join(side("a"), "a"), side("b"), ["b"], "a")
+        return stored(_confirmed(_filtered(tried, percent, agree), sets, percent), folder, name)
+
+    links = linked(members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")), "links_0")
+    comps = components(links, folder, "first")
+    more = lambda found: comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found)
+
+    left = stored(_unjoined(_with_comp(members.where("size > 2").select("key", "size", "node"), comps)), folder, "left")
+    small, large = left.where(F.col("size") <= BLOCK), left.where(F.col("size") > BLOCK)
+    parts = [small]
+    if not large.isEmpty():
+        # nodes of a large bucket meet only in tables: those that share a right key too; each is tried against a table's smallest first
+        split = _buckets(_split(large, known).drop("comp"))
+        split = stored(_unjoined(_with_comp(split, comps)), folder, "split")
+        links = linked(split.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")), "links_1")
+        comps = components(more(links), folder, "second")
+        parts = [_unjoined(_with_comp(x, comps)).select("key", "node", "comp", "size") for x in (small, split.select("key", "size", "node"))]
+    cut = sets.select("node", F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("s"))
+    rest = [x.select("key", "node", "comp", "size").join(known, "node").join(cut, "node") for x in parts]
+    found = stored(_rest(rest[0] if len(rest) == 1 else rest[0].union(rest[1]), percent, agree).distinct(), folder, "found")
+    comps = components(more(stored(_confirmed(found, sets, percent), folder, "links_2")), folder, "all")
+    for name in ("sets", "nodes", "members", "links_0", "links_1", "left", "split", "found", "links_2"):
         dropped(spark, f"{folder}/{name}")
 
     moved = _with_comp(classes, comps).where("copies > 1 OR comp <> node").select("d1", "d2", F.col("comp").alias("component_id"))
-    moved = moved.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.where("n > 0").select("doc_id", "n", "d1", "d2").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    found = salted.join(moved, ["d1", "d2", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = looked_up(rows.where("n > 0").select("doc_id", "n", "d1", "d2"), moved, ["d1", "d2"], "doc_id", "left")
+    found = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return found.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
@@ -366,9 +398,23 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The rows, all columns, but those that link to a smaller doc_id; rows with a null id stay."""
-    gone = groups(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__rs_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__rs_gone"), "left_anti")
+    """The rows, all columns, but for one of each component those that link to it: the smallest doc_id stays.
+
+    A null id counts as the largest; rows that repeat an id are told apart by their texts, and of equal rows with words one stays.
+    """
+    repeated = docs.select(F.col("doc_id").cast("bigint").alias("id")).groupBy("id").count().where("id IS NULL OR count > 1")
+    gone = lambda found: found.where("doc_id <> component_id").select(F.col("doc_id").alias(f"{OWN}gone")).distinct()
+    if repeated.isEmpty():
+        return docs.join(gone(groups(docs)), docs["doc_id"] == F.col(f"{OWN}gone"), "left_anti")
+    # ids don't tell the rows apart: numbers of (id, text) do
+    own = docs.withColumn(f"{OWN}id", F.col("doc_id").cast("bigint")).withColumn(f"{OWN}tag", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    order = [F.col(f"{OWN}id").asc_nulls_last(), F.col(f"{OWN}tag")]
+    rows = numbered(own.select(f"{OWN}id", f"{OWN}tag").distinct(), order)[0].withColumnsRenamed({f"{OWN}id": f"{OWN}i", f"{OWN}tag": f"{OWN}t"})
+    own = own.join(rows, F.col(f"{OWN}id").eqNullSafe(F.col(f"{OWN}i")) & (F.col(f"{OWN}tag") == F.col(f"{OWN}t")))
+    own = stored(own, shared_dir(docs.sparkSession), "numbered")
+    kept = own.join(gone(groups(own.select(F.col(f"{OWN}row").alias("doc_id"), "text"))), own[f"{OWN}row"] == F.col(f"{OWN}gone"), "left_anti")
+    worded = F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    return kept.where(worded).dropDuplicates([f"{OWN}row"]).union(kept.where(~worded)).select(*docs.columns)
 
 
 SQL = r"""

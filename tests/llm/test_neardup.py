@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -70,7 +71,42 @@ def test_stage_keeps_one_of_each_group(docs, words):
     a, b = " ".join(words(60, 1)), " ".join(words(60, 2))
     rows = docs([(4, a), (2, a + " more"), (7, b), (8, None), (9, None), (None, b)])
     kept = neardup.stage(rows)
-    assert kept.columns == rows.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "7", "8", "9", "None"]
+    assert kept.columns == rows.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "7", "8", "9"]
+
+
+def test_stage_with_null_and_repeated_ids(docs, words):
+    a, b, c = (" ".join(words(60, n)) for n in (1, 2, 3))
+    rows = docs([(None, a), (None, a), (None, a + " more"), (3, b), (3, c), (2, c), (5, b), (5, b), (7, None), (7, None), (None, ""), (3, b)])
+    kept = neardup.stage(rows)
+    assert kept.columns == rows.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted([("2", c), ("3", b), ("7", ""), ("7", ""), ("None", "")] + [("None", r) for r in {a, a + " more"} if sorted([a, a + " more"], key=lambda t: hashlib.md5(t.encode()).hexdigest())[0] == r])
+    assert neardup.stage(docs([])).collect() == []
+
+
+def test_exactly_at_the_threshold(docs):
+    """Pairs at 0.8 and just below: 400 pairs of one similarity each, with the estimate and without."""
+    rows, rnd = [], random.Random(6)
+    for i in range(200):
+        pool = [f"p{i}x{j}" for j in range(60)]
+        rnd.shuffle(pool)
+        # two-word shingles of texts that share a prefix: n of n + 2 k are common
+        rows += [(4 * i, " ".join(pool[:41])), (4 * i + 1, " ".join(pool[:37] + [f"y{i}{j}" for j in range(4)])), (4 * i + 2, f"z{i} " * 3 + " ".join(pool[:41][::-1]))]
+    sets = {d: _sets(t, 2) for d, t in rows}
+    near = [100 * len(sets[4 * i] & sets[4 * i + 1]) / len(sets[4 * i] | sets[4 * i + 1]) for i in range(200)]
+    assert all(80 <= x < 82 for x in near)
+    want = _brute(rows, 2)
+    for agree in (neardup.AGREE, 0):
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.groups(docs(rows), 2, agree=agree).collect()) == want
+
+
+def test_a_bucket_beyond_the_real_block_and_a_long_text(docs, words):
+    """700 texts of one half, of which many link, and a text of 120,000 distinct shingles with its copy."""
+    half, rnd = words(300, 1), random.Random(2)
+    rows = [(i, " ".join(half + words(rnd.choice([20, 40, 300]), 50 + i % 60) + [f"x{i % 3}"])) for i in range(700)]
+    long = [f"n{i}" for i in range(120_000)]
+    rows += [(2000, " ".join(long)), (2001, " ".join(long[:-9] + ["end"]))]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.groups(docs(rows), 2).collect())
+    assert got == _brute(rows, 2)
 
 
 def test_components_of_chains(spark, tmp_path):
