@@ -1,8 +1,8 @@
 """WARC archives: a writer of gzip members, one a record, and a salvage reader.
 
 Writing: of records with equal payloads of LEAST bytes or more that with the largest page_id is the response and the others
-are revisits of it.  Payloads meet by digest and size; the group's largest id comes from a pre-aggregated count, and the
-join that brings it back is salted, so that one payload of a third of all pages is spread over SALTS tasks.  A task writes
+are revisits of it.  Ids meet by payload digest and size; the group's largest id comes from a pre-aggregated count, and the
+rows of a payload of a third of all pages are spread over tasks; payloads themselves only move once, by page.  A task writes
 archives of about ARCHIVE_BYTES to the shared folder under names of its own and returns them as a manifest; only archives in
 the stored manifest are read, so a task that runs again, or twice, leaves at most files that nobody reads.
 
@@ -30,11 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, opened, shared_dir, stored, texts_of
+from .common import looked_up, map_batches, opened, shared_dir, stored, texts_of
 
 LEAST = 1000
 ARCHIVE_BYTES = 32_000_000
-SALTS = 16
 DATE = "2000-01-01T00:00:00Z"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MAGIC = b"\x1f\x8b\x08"
@@ -245,12 +244,12 @@ def write(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) ->
     """Writes archives to the folder; the manifest, read back from it: path, n_records, n_bytes."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"))
-    groups = rows.where(F.col("size") >= LEAST).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
-    groups = groups.select(F.col("digest").alias("g_digest"), F.col("size").alias("g_size"), "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("g_salt"))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    near = rows.withColumn("salt", salt).join(groups, (F.col("digest") == F.col("g_digest")) & (F.col("size") == F.col("g_size")) & (F.col("salt") == F.col("g_salt")), "left")
-    own = F.col("last").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("last")))
-    near = near.select("page_id", "url", "html", "digest", F.when(own, F.col("last")).alias("refers_to"))
+    ids = rows.where(F.col("size") >= LEAST).select("page_id", "digest", "size")
+    last = ids.groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # only ids meet by payload; payloads move once, by page and digest
+    told = looked_up(ids, last, ["digest", "size"], "page_id").where("page_id IS NULL AND last IS NOT NULL OR page_id < last")
+    told = told.select(F.col("page_id").alias("t_page"), F.col("digest").alias("t_digest"), F.col("last").alias("refers_to")).distinct()
+    near = rows.join(told, F.col("page_id").eqNullSafe(F.col("t_page")) & (F.col("digest") == F.col("t_digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = opened(f"{folder}/archives")
@@ -284,13 +283,15 @@ def _number(text: str) -> int | None:
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """A row for each record and each gap of the archives that the manifest names."""
+    """A row for each record and each gap of the archives that the manifest names; also where one has fewer records than were written."""
 
-    def rows(data: bytes, path: str) -> Iterator[dict]:
+    def rows(data: bytes, path: str, written: int) -> Iterator[dict]:
+        count = 0
         for x in salvage(data):
             if isinstance(x, Gap):
                 yield {"path": path, "offset": x.offset, "length": x.length, "gap": x.reason}
                 continue
+            count += 1
             http, payload = x.http
             told = x.headers.get("warc-payload-digest", "")[5:]
             full = x.kind == "response"
@@ -298,15 +299,17 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 "path": path, "offset": x.offset, "length": x.length, "gap": None, "page_id": _number(x.headers["warc-record-id"]), "payload_bytes": len(payload) if full else int(http.get("content-length", 0)),
                 "payload_digest": hashlib.sha1(payload).hexdigest() if full else told, "record_type": x.kind, "refers_to": _number(x.headers.get("warc-refers-to", "")),
             }
+        if count != written:
+            yield {"path": path, "offset": len(data), "length": 0, "gap": f"{count} records of {written}"}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = opened(f"{folder}/archives")
         for batch in batches:
-            for path in texts_of(batch, "path"):
+            for path, written in zip(texts_of(batch, "path"), texts_of(batch, "n_records"), strict=True):
                 with files.open_input_file(f"{base}/{path}") as f:
                     data = f.read()
                 own = []
-                for row in rows(data, path):
+                for row in rows(data, path, written):
                     own.append(row)
                     if len(own) >= 4096:
                         yield pa.RecordBatch.from_pylist(own, schema)
@@ -320,9 +323,11 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def query(pages: DataFrame) -> DataFrame:
+    """All records that were written; a gap, or a record less, makes the job fail."""
     folder = shared_dir(pages.sparkSession)
     found = read(write(pages, folder), folder)
-    return found.where("gap IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    lost = F.raise_error(F.concat(F.lit("gap in "), F.col("path"), F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), F.col("gap")))
+    return found.where(F.when(F.col("gap").isNotNull(), lost.cast("boolean")).otherwise(F.lit(True))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
