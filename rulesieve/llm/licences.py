@@ -31,8 +31,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import looked_up
+
 LEAST = 0.75
-SALTS = 16
 #: Paragraphs that are compared as one piece, at most.
 RUN = 6
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)(?:[.-][^/]*)?$"
@@ -54,6 +55,14 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+#: Identifiers in SPDX lines, where they aren't the licence's name.
+_SPDX = {n: [f"{n}-only", f"{n}-or-later"] for n in ("AGPL-3.0", "GFDL-1.2", "GFDL-1.3", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0")}
+for _name in sorted({*TEMPLATES, *_SPDX}):
+    TEMPLATES[_name] = [*TEMPLATES.get(_name, ()), *[f"SPDX-License-Identifier: {x}" for x in (_name, *_SPDX.get(_name, ()))]]
+#: An SPDX line's tag and identifier make one term.
+_TAG, _TAGGED = r"spdx-license-identifier:[ \t]*", "spdx-license-identifier."
+#: A passage that says so of a licence isn't its statement.
+NEGATED = r"(?i)(?:(?:^|[^A-Za-z])(?:not|never|no longer)|n['’]t)[ \t]+(?:[A-Za-z]+[ \t]+){0,2}(?:licen[sc]ed|released|dedicated|governed|covered|subject)(?:[^A-Za-z]|$)"
 _GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
 _LGPL = _GPL.replace("program", "library")
 _BSD = (
@@ -84,7 +93,7 @@ _ISC_END = (
 #: Standard headers and grants, and whole licences that are short.  Longer ones are files of licence_texts.
 HEADERS = {
     "AGPL-3.0": [_GPL.format("Affero ", "3")],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
+    "Apache-2.0": ["Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
     "BSD-2-Clause": [_BSD + _BSD_END],
     "BSD-3-Clause": [_BSD + _BSD_NAMES + _BSD_END, _BSD_NAMES],
     "GFDL-1.2": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.2 or any later version published by the Free Software Foundation"],
@@ -129,7 +138,7 @@ def _statements(templates: dict[str, list[str]] | None = None) -> list[tuple[str
     out = []
     for name, texts in sorted((templates or TEMPLATES).items()):
         for k, text in enumerate(texts):
-            terms = [t for t in re.findall(_TERM, text.lower()) if t not in STOP]
+            terms = [t for t in re.findall(_TERM, re.sub(_TAG, _TAGGED, text.lower())) if t not in STOP]
             out.append((name, k, {t: terms.count(t) for t in terms}))
     return out
 
@@ -180,7 +189,7 @@ def anchors(least: float = LEAST) -> list[str]:
 
 
 def _anchored(terms: list[str]) -> str:
-    return r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in terms) + ")(?![a-z0-9])"
+    return r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t).replace(re.escape(_TAGGED), _TAG) for t in terms) + ")(?![a-z0-9])"
 
 
 def passages(text: Column) -> Column:
@@ -227,10 +236,11 @@ def own_licences(rows: DataFrame) -> DataFrame:
     """doc_id, text_key, own_licence and own_score of the texts that hold a statement, a header or a licence; rows: doc_id, text_key, text."""
     anchored = F.lit(_anchored(sorted({*anchors(), *long_anchors()})))
     found = rows.where(F.rlike("text", anchored)).select("doc_id", "text_key", F.posexplode(pieces(F.col("text"), anchored)).alias("passage", "p"))
+    found = found.withColumn("negated", F.rlike("p", F.lit(NEGATED)))
     # a term that a hyphen or dot joins to an anchor makes another term, so what the pattern lets through is a superset
-    terms = found.select("doc_id", "text_key", "passage", F.explode(F.regexp_extract_all(F.translate("p", _UPPER, _LOWER), F.lit(_TERM), F.lit(0))).alias("term")).where(~F.col("term").isin(*STOP))
-    counts = terms.groupBy("doc_id", "text_key", "passage", "term").agg(F.count("*").alias("tf"))
-    cosine = _cosines(counts, TEMPLATES).unionAll(_cosines(counts, long_templates()))
+    terms = found.select("doc_id", "text_key", "passage", "negated", F.explode(F.regexp_extract_all(F.regexp_replace(F.translate("p", _UPPER, _LOWER), _TAG, _TAGGED), F.lit(_TERM), F.lit(0))).alias("term")).where(~F.col("term").isin(*STOP))
+    counts = terms.groupBy("doc_id", "text_key", "passage", "negated", "term").agg(F.count("*").alias("tf"))
+    cosine = _cosines(counts.where(~F.col("negated")), TEMPLATES).unionAll(_cosines(counts, long_templates()))
     best = cosine.groupBy("doc_id", "text_key").agg(F.max(F.round("c", 6)).alias("own_score"), F.min(F.struct((-F.round("c", 6)).alias("c"), "licence")).alias("b"))
     return best.select("doc_id", "text_key", F.col("b.licence").alias("own_licence"), "own_score")
 
@@ -250,9 +260,10 @@ def inherited(files: DataFrame, is_licence_file: Column) -> DataFrame:
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     chain = dirs.select("__rs_dir", F.posexplode(F.array_distinct(ancestors)).alias("depth", "__rs_up"))
     nearest = chain.join(licensed, "__rs_up").groupBy("__rs_dir").agg(F.max(F.struct("depth", F.col("licence").alias("l"), F.col("__rs_up").alias("u"))).alias("b"))
-    nearest = nearest.select(F.col("__rs_dir").alias("__rs_d"), F.col("b.l").alias("__rs_l"), F.col("b.u").alias("__rs_u"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__rs_s"))
-    salt = F.when(F.col("own_licence").isNull(), F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
-    out = placed.withColumn("__rs_salt", salt).join(nearest, (F.col("__rs_dir") == F.col("__rs_d")) & (F.col("__rs_salt") == F.col("__rs_s")), "left")
+    nearest = nearest.select(F.col("__rs_dir").alias("__rs_for"), F.col("b.l").alias("__rs_l"), F.col("b.u").alias("__rs_u"))
+    placed = placed.withColumn("__rs_for", F.when(F.col("own_licence").isNull(), F.coalesce("__rs_dir", F.lit("")))).withColumn("__rs_by", F.xxhash64("path"))
+    out = looked_up(placed.where("__rs_for IS NOT NULL"), nearest, ["__rs_for"], "__rs_by", "left")
+    out = out.select(*files.columns, "__rs_l", "__rs_u").union(placed.where("__rs_for IS NULL").select(*files.columns, F.lit(None).cast("string"), F.lit(None).cast("string")))
     origin = F.when(F.col("own_licence").isNotNull(), "own").when(F.col("__rs_l").isNotNull(), "inherited").otherwise("none")
     return out.select(*files.columns, F.coalesce("own_licence", "__rs_l").alias("licence"), origin.alias("origin"), F.col("__rs_u").alias("licensed_by"))
 
@@ -267,14 +278,16 @@ def scan(files: DataFrame, licence_file: str = LICENCE_FILE) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """Documents as files: a directory for each source and thousand ids; a short text is its directory's LICENSE file."""
-    short = F.length(F.coalesce("text", F.lit(""))) <= 400
-    name = F.when(short, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    path = F.concat_ws("/", "source", F.expr("doc_id div 1000").cast("string"), name)
+    """Documents as files of a tree: source/thousand/last digit; of ids that 10 divides, the licence files of its thousands, of those that 100 divides, of its sources."""
+    at = lambda name, *up: F.concat_ws("/", "source", *up, name)
+    doc, thousand = F.col("doc_id").cast("string"), F.expr("doc_id div 1000").cast("string")
+    licence = F.concat(F.lit("LICENSE."), doc)
+    path = F.when(F.col("doc_id") % 100 == 0, at(licence)).when(F.col("doc_id") % 10 == 0, at(licence, thousand)).otherwise(at(F.concat(doc, F.lit(".txt")), thousand, (F.col("doc_id") % 10).cast("string")))
     return scan(docs.select("doc_id", path.alias("path"), "text"))
 
 
 def sql() -> str:
+    """The same rows from single passages and statements; the nearest of all ancestors that have a licence."""
     weight, idf, unknown = weights()
     rows = ",\n".join(f"('{a}', {b}, '{c}', {d!r})" for a, b, c, d in weight)
     idfs = ",\n".join(f"('{a}', {b!r})" for a, b in sorted(idf.items()))
@@ -282,19 +295,20 @@ def sql() -> str:
 WITH weight(licence, statement, term, weight) AS (VALUES {rows}),
 idf(term, idf) AS (VALUES {idfs}),
 f AS (
-  SELECT doc_id, concat_ws('/', source, CAST(doc_id // 1000 AS VARCHAR), CASE WHEN length(coalesce(text, '')) <= 400 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END) AS path,
-    length(coalesce(text, '')) <= 400 AS short, coalesce(text, '') AS text FROM documents),
+  SELECT doc_id, concat_ws('/', source, CASE WHEN doc_id % 100 = 0 THEN 'LICENSE.' || doc_id WHEN doc_id % 10 = 0 THEN (doc_id // 1000) || '/LICENSE.' || doc_id ELSE (doc_id // 1000) || '/' || (doc_id % 10) || '/' || doc_id || '.txt' END) AS path,
+    doc_id % 10 = 0 AS is_licence_file, coalesce(text, '') AS text FROM documents),
 p AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \t\r\n]+', '\1' || chr(10), 'g'), chr(10))) AS p FROM f WHERE text ILIKE '%licens%' OR text ILIKE '%public%' OR text ILIKE '%permission%' OR text ILIKE '%unencumbered%' OR text ILIKE '%governed%'),
-k AS (SELECT doc_id, row_number() OVER () AS k, p FROM p WHERE p ILIKE '%licens%' OR p ILIKE '%public%' OR p ILIKE '%permission%' OR p ILIKE '%unencumbered%' OR p ILIKE '%governed%'),
-t AS (SELECT * FROM (SELECT doc_id, k, unnest(regexp_extract_all(translate(p, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM k) WHERE term NOT IN {STOP!r}),
+k AS (SELECT doc_id, row_number() OVER () AS k, p FROM p WHERE (p ILIKE '%licens%' OR p ILIKE '%public%' OR p ILIKE '%permission%' OR p ILIKE '%unencumbered%' OR p ILIKE '%governed%') AND NOT regexp_matches(p, '{NEGATED.replace("'", "''")}')),
+t AS (SELECT * FROM (SELECT doc_id, k, unnest(regexp_extract_all(regexp_replace(translate(p, '{_UPPER}', '{_LOWER}'), '{_TAG}', '{_TAGGED}', 'g'), '{_TERM}')) AS term FROM k) WHERE term NOT IN {STOP!r}),
 w AS (SELECT doc_id, k, t.term, count(*) * coalesce(any_value(idf.idf), {unknown!r}) AS w FROM t LEFT JOIN idf ON idf.term = t.term GROUP BY ALL),
 l AS (SELECT doc_id, k, sqrt(sum(w * w)) AS length FROM w GROUP BY ALL),
 c AS (SELECT w.doc_id, licence, round(sum(w * weight) / any_value(length), 6) AS c, sum(w * weight) / any_value(length) AS raw FROM w JOIN weight ON weight.term = w.term JOIN l ON l.doc_id = w.doc_id AND l.k = w.k GROUP BY w.doc_id, w.k, licence, statement),
 o AS (SELECT doc_id, max(c) AS own_score, first(licence ORDER BY c DESC, licence) AS own_licence FROM c WHERE raw >= {LEAST} GROUP BY doc_id),
-g AS (SELECT f.doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, source_dir, short, own_licence, own_score FROM (SELECT *, regexp_replace(path, '/[^/]*/[^/]*$', '') AS source_dir FROM f) f LEFT JOIN o ON o.doc_id = f.doc_id),
-d AS (SELECT dir, first(own_licence ORDER BY own_score DESC, path) AS licence FROM g WHERE short AND own_licence IS NOT NULL GROUP BY dir)
-SELECT g.doc_id, g.path, g.own_licence, g.own_score, coalesce(g.own_licence, d.licence) AS licence,
-  CASE WHEN g.own_licence IS NOT NULL THEN 'own' WHEN d.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
-  CASE WHEN g.own_licence IS NULL THEN d.dir END AS licensed_by
-FROM g LEFT JOIN d ON d.dir = g.dir
+g AS (SELECT f.doc_id, path, regexp_replace(path, '/[^/]*$', '') AS dir, is_licence_file, own_licence, own_score FROM f LEFT JOIN o ON o.doc_id = f.doc_id),
+d AS (SELECT dir, first(own_licence ORDER BY own_score DESC, path) AS licence FROM g WHERE is_licence_file AND own_licence IS NOT NULL GROUP BY dir),
+n AS (SELECT x.dir, arg_max(d.licence, length(d.dir)) AS licence, arg_max(d.dir, length(d.dir)) AS up FROM (SELECT DISTINCT dir FROM g) x JOIN d ON x.dir = d.dir OR starts_with(x.dir, d.dir || '/') GROUP BY x.dir)
+SELECT g.doc_id, g.path, g.own_licence, g.own_score, coalesce(g.own_licence, n.licence) AS licence,
+  CASE WHEN g.own_licence IS NOT NULL THEN 'own' WHEN n.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN g.own_licence IS NULL THEN n.up END AS licensed_by
+FROM g LEFT JOIN n ON n.dir = g.dir
 """

@@ -2,6 +2,8 @@ import math
 import re
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from rulesieve.llm import licences
 
 FILES = "doc_id bigint, path string, text string, licence string, own_score double"
@@ -15,7 +17,9 @@ def _brute(text):
     rows, idf, unknown = licences.weights()
     best = (0.0, None)
     for passage in re.sub(r"([.!?])[ \t\r\n]+", r"\1\n", text).split("\n"):
-        terms = [t for t in re.findall(licences._TERM, passage.lower()) if t not in licences.STOP]
+        if re.search(licences.NEGATED, passage):
+            continue
+        terms = [t for t in re.findall(licences._TERM, passage.lower().replace("spdx-license-identifier: ", "spdx-license-identifier.")) if t not in licences.STOP]
         w = {t: terms.count(t) * idf.get(t, unknown) for t in terms}
         length = math.sqrt(sum(x * x for x in w.values()))
         for name, k in {(r[0], r[1]) for r in rows}:
@@ -53,9 +57,35 @@ def test_inheritance(spark):
 
 
 def test_query_of_documents(docs):
-    rows = [(1, "Released under the MIT License."), (2, "w " * 300), (3, None), (2, "w " * 300), (5000, "w " * 300)]
-    got = licences.query(docs(rows)).collect()
-    assert sorted((r["doc_id"], r["origin"]) for r in got if r["doc_id"] == 1) == [(1, "own")] and len(got) == 5
+    mit, gpl, long = "Released under the MIT License.", "SPDX-License-Identifier: GPL-3.0-or-later", "w " * 300
+    rows = [(1000, mit), (1010, long), (1011, gpl), (1012, long), (2100, None), (2110, gpl + "\n" + long), (2113, long), (2113, long), (3, None), (None, mit), (2120, long)]
+    tree = docs(rows).withColumn("source", F.lit("s"))
+    got = sorted((str(r["doc_id"]), r["path"], r["licence"], r["origin"], r["licensed_by"]) for r in licences.query(tree).collect())
+    inherited = [("1010", "s/1/LICENSE.1010", "MIT", "inherited", "s"), ("1012", "s/1/2/1012.txt", "MIT", "inherited", "s"), ("2100", "s/LICENSE.2100", "MIT", "inherited", "s"), ("2113", "s/2/3/2113.txt", "GPL-3.0", "inherited", "s/2"), ("2113", "s/2/3/2113.txt", "GPL-3.0", "inherited", "s/2")]
+    inherited += [("2120", "s/2/LICENSE.2120", "GPL-3.0", "inherited", "s/2"), ("3", "s/0/3/3.txt", "MIT", "inherited", "s")]
+    own = [("1000", "s/LICENSE.1000", "MIT", "own", None), ("1011", "s/1/1/1011.txt", "GPL-3.0", "own", None), ("2110", "s/2/LICENSE.2110", "GPL-3.0", "own", None)]
+    assert [r for r in got if r[0] != "None"] == sorted(inherited + own) and len(got) == len(rows)
+
+
+def test_notices_are_told_rightly(spark):
+    rows = {
+        1: ("GPL-3.0", " ".join(GPL3[:4])),
+        2: ("GPL-3.0", "\n".join(GPL3[:4])),
+        3: ("MIT", "// SPDX-License-Identifier: MIT\ncode"),
+        4: ("LGPL-2.1", "# SPDX-License-Identifier: LGPL-2.1-or-later"),
+        5: ("ISC", licences._ISC),
+        6: ("BSD-2-Clause", licences._BSD + licences._BSD_END),
+        7: ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n"),
+        8: (None, "This software is not released under the MIT License."),
+        9: (None, "It isn't licensed under the Apache License, Version 2.0."),
+        10: ("MIT", "It is not covered by the ISC License. Released under the MIT License."),
+        13: (None, "Mit!! ENBE!! MIT!! Mit. mit"),
+        14: ("MIT", "/* spdx-license-identifier:mit */"),
+        11: ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."),
+        12: (None, "license " + "word" * 300_000 + " other" * 50_000),
+    }
+    got = _scan(spark, [(i, f"p/{i}.c", t) for i, (_, t) in rows.items()])
+    assert {i: r["own_licence"] for i, r in got.items()} == {i: x for i, (x, _) in rows.items()}
 
 
 GPL3 = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version.", "", "This program is distributed in the hope that it will be useful,", "but WITHOUT ANY WARRANTY; without even the implied warranty of", "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the", "GNU General Public License for more details."]
