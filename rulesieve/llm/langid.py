@@ -4,12 +4,14 @@ A letter has a fixed random vector of +1 and -1.  The vector of a letter trigram
 vectors, the first rotated twice and the second once, so that order counts.  A text bundles (adds) the vectors of its
 trigrams, a language those of its texts, and a text gets the language whose prototype has the largest cosine with it.
 
-Learning reads every labelled row: a task adds up its rows' trigrams by language and emits one vector a language, so
-what is shuffled and what reaches the driver has a fixed size (languages x DIM numbers), however large the corpus is.
+Learning reads every labelled row: a task adds up its rows' trigrams by language, at most HELD different ones at a time, and
+emits one vector a language, so what is shuffled and what reaches the driver has a fixed size (languages x DIM numbers),
+however large the corpus is.
 
 Defined results: a null text, an empty one or one without a letter is `und` with score 0; rows with a null language are
 not learned from, nor are those without a letter; with nothing learned every text is `und`; repeated rows count as
-often as they occur; a word of more than PIECE characters may be cut; ties between languages go to the first in alphabetical order; other columns are ignored.
+often as they occur; a long text is gone through in parts, with the same trigrams as in one; ties between languages go to
+the first in alphabetical order; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +30,14 @@ SEED = 20240607
 #: Letter classes: 0 is a gap, 1 to 26 are a to z, the other letters share the rest.
 CLASSES = 128
 UNDETERMINED = "und"
+#: Cosines of unrelated vectors have a standard deviation of DIM ** -0.5; the stage takes three of them for no likeness.
+LEAST = 3 * DIM**-0.5
 #: Trigram vectors that a worker keeps, in rows of DIM bytes.
 KEPT = 24_000
 #: Characters looked at at once; some arrays of that length are held.
 PIECE = 500_000
+#: Trigrams, over all languages, that a learning task counts before it adds their vectors up.
+HELD = 1_000_000
 _LOW = 0x3000
 _WORKER: dict = {}
 
@@ -62,41 +68,68 @@ def classes_of(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def lowered(text: str) -> str:
+    """Lower case, character by character: without the rule for a sigma at a word's end."""
+    return text.replace("Σ", "σ").lower()
+
+
+def _codes_of(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a row's inner places hold a letter, and the codes of the trigrams around these."""
+    cls = cls.astype(np.int32)
+    inner = cls[1:-1] != 0
+    return inner, (cls[:-2] << 14 | cls[1:-1] << 7 | cls[2:])[inner]
+
+
+def _gaps_joined(cls: np.ndarray) -> np.ndarray:
+    """Which classes stay when several gaps in a row are one."""
+    keep = np.ones(len(cls), bool)
+    keep[1:] = (cls[1:] != 0) | (cls[:-1] != 0)
+    return keep
+
+
 def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """For all letter trigrams of the texts, words set off by one gap: the text's number and the trigram's code."""
-    joined = "\n".join(["", *("" if t is None else t.replace("\n", " ").lower() for t in texts), ""])
+    joined = "\n".join(["", *("" if t is None else lowered(t.replace("\n", " ")) for t in texts), ""])
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     text = np.cumsum(codes == 10, dtype=np.int32) - 1
     cls = classes_of(codes)
-    keep = np.ones(len(cls), bool)
-    keep[1:] = (cls[1:] != 0) | (cls[:-1] != 0)
-    cls, text = cls[keep].astype(np.int32), text[keep]
+    keep = _gaps_joined(cls)
+    cls, text = cls[keep], text[keep]
     if len(cls) < 3:
         return np.zeros(0, np.int32), np.zeros(0, np.int32)
-    inner = cls[1:-1] != 0
-    code = (cls[:-2] << 14 | cls[1:-1] << 7 | cls[2:])[inner]
+    inner, code = _codes_of(cls)
     return text[1:-1][inner], code
 
 
+def _long(text: str) -> Iterator[np.ndarray]:
+    """The trigrams' codes of one long text, PIECE characters at a time; the last two classes go over to the next part."""
+    tail = np.zeros(1, np.uint8)
+    for at in range(0, len(text), PIECE):
+        cls = classes_of(np.frombuffer(lowered(text[at : at + PIECE]).encode("utf-32-le", "surrogatepass"), np.uint32))
+        row = np.concatenate([tail, cls, np.zeros(int(at + PIECE >= len(text)), np.uint8)])
+        row = row[_gaps_joined(row)]
+        tail = row[-2:]
+        if len(row) > 2:
+            yield _codes_of(row)[1]
+
+
 def pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """trigrams() of the texts, about PIECE characters at a time; a longer text comes in parts, cut where a word ends."""
+    """trigrams() of the texts, about PIECE characters at a time; those of a longer text come in parts."""
     held: list[str | None] = []
     first = size = 0
     for i, text in enumerate(texts):
-        rest = text or ""
-        if size + len(rest) > PIECE and held:
+        if held and size + len(text or "") > PIECE:
             of, code = trigrams(held)
             yield of + first, code
             held, size = [], 0
+        if text is not None and len(text) > PIECE:
+            for code in _long(text):
+                yield np.full(len(code), i, np.int32), code
+            continue
         if not held:
             first = i
-        while len(rest) > PIECE:
-            cut = next((k for k in range(PIECE, max(PIECE - 10_000, 1), -1) if not rest[k].isalpha()), PIECE)
-            of, code = trigrams([rest[:cut]])
-            yield of + i, code
-            rest = rest[cut:]
-        held.append(rest)
-        size += len(rest)
+        held.append(text)
+        size += len(text or "")
     if held:
         of, code = trigrams(held)
         yield of + first, code
@@ -143,22 +176,35 @@ def bundled(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total
 
 
+def _added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted lists of codes with their counts as one."""
+    codes, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([a[1], b[1]])).astype(np.int64)
+
+
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, np.ndarray] = {}
+    counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    totals: dict[str, np.ndarray] = {}
+
+    def bundle() -> None:
+        for name, own in counts.items():
+            totals[name] = totals.get(name, 0) + bundled(*own)
+        counts.clear()
+
     for batch in batches:
         texts, langs = texts_of(batch, "text"), np.array(texts_of(batch, "lang"), object)
         names, at = np.unique(langs.astype(str), return_inverse=True)
         for of, code in pieces(texts):
-            which = at[of]
+            pairs, n = np.unique(at[of].astype(np.int64) << 21 | code, return_counts=True)
+            which, own = pairs >> 21, (pairs & (CLASSES**3 - 1)).astype(np.int32)
             for k in np.unique(which):
-                own = counts.setdefault(str(names[k]), np.zeros(CLASSES**3, np.int64))
-                found, n = np.unique(code[which == k], return_counts=True)
-                own[found] += n
-    for name, own in counts.items():
-        codes = np.flatnonzero(own)
-        if len(codes):
-            total = bundled(codes, own[codes])
-            yield pa.record_batch({"lang": pa.array([name] * DIM), "dim": pa.array(np.arange(DIM, dtype=np.int32)), "value": pa.array(total)})
+                new = own[which == k], n[which == k]
+                counts[str(names[k])] = _added(counts[str(names[k])], new) if str(names[k]) in counts else new
+            if sum(len(c) for c, _ in counts.values()) > HELD:
+                bundle()
+    bundle()
+    for name, total in totals.items():
+        yield pa.record_batch({"lang": pa.array([name] * DIM), "dim": pa.array(np.arange(DIM, dtype=np.int32)), "value": pa.array(total)})
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -241,10 +287,11 @@ def query(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def stage(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows, all columns, whose language could be told; a score below least counts as not told.
+def stage(docs: DataFrame, least: float = LEAST, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows, all columns, in a language that was learned: whose nearest prototype has a cosine of at least `least`.
 
-    Where no language could be learned (no labels, or none in the rows learned from), the rows whose text has a letter.
+    wanted: only these languages.  Where no language could be learned (no labels, or none in the rows learned from), the rows
+    whose text has a letter.
     """
     names, prototypes = learn(training_rows(docs))
     fn = batch_predictor(names, prototypes)
@@ -257,6 +304,6 @@ def stage(docs: DataFrame, least: float = 0.0) -> DataFrame:
                 yield batch.filter(pa.array([i in told for i in range(len(texts))], pa.bool_()))
                 continue
             langs, scores = fn(texts)
-            yield batch.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array([x != UNDETERMINED and s >= least and (wanted is None or x in wanted) for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     return map_batches(docs, work, docs.schema)

@@ -65,9 +65,79 @@ def test_stage_keeps_texts_where_nothing_could_be_learned(docs):
     assert langid.stage(docs(rows), least=0.5).count() == 3 and langid.stage(docs([])).collect() == []
 
 
+def test_stage_goes_by_the_prototypes(docs):
+    rnd = random.Random(5)
+    rows = _rows(120)
+    strange = [(500 + i, " ".join("".join(rnd.choice("wxyzjqvåßþðæ") for _ in range(9)) for _ in range(40)), "aa") for i in range(5)]
+    labelled = docs(rows + [(i, t, None) for i, t, _ in strange])
+    assert sorted(r["doc_id"] for r in langid.stage(labelled).collect()) == list(range(120))
+    only = langid.stage(labelled, wanted=("bb",)).collect()
+    assert sorted(r["doc_id"] for r in only) == [i for i, _, lang in rows if lang == "bb"]
+
+
+def _naive(rows, texts):
+    """Prototypes and predictions by loops over letters."""
+    own = langid.letters().astype(int)
+
+    def vector(text):
+        total, row = np.zeros(langid.DIM, int), [0]
+        for char in (text or "").lower():
+            c = langid.letter_class(ord(char))
+            if c or row[-1]:
+                row.append(c)
+        row += [0] if row[-1] else []
+        for a, b, c in zip(row, row[1:], row[2:]):
+            if b:
+                for k in range(langid.DIM):
+                    total[k] += own[a][k - 2] * own[b][k - 1] * own[c][k]
+        return total
+
+    sums = {}
+    for doc, text, lang in rows:
+        if doc is not None and lang is not None and text is not None and zlib.crc32(str(doc).encode()) % 5:
+            sums[lang] = sums.get(lang, 0) + vector(text)
+    out = []
+    for text in texts:
+        v = vector(text)
+        if not v.any():
+            out.append(("und", 0.0))
+            continue
+        cos = {n: float(s @ v) / (np.linalg.norm(s) * np.linalg.norm(v)) for n, s in sums.items()}
+        best = max(sorted(cos), key=lambda n: cos[n])
+        out.append((best, max(0.0, cos[best])))
+    return out
+
+
+def test_query_is_that_of_loops_over_letters(docs, monkeypatch):
+    rows = [(i, t[:60], lang) for i, t, lang in _rows(24)] + [(100, None, "aa"), (101, "12", "bb"), (102, "É ñ; Ka lo-ka", None), (103, "ka\n\nlo", "aa")]
+    want = _naive(rows, [t for _, t, _ in rows])
+    monkeypatch.setattr(langid, "HELD", 50)
+    got = {r["doc_id"]: r for r in langid.query(docs(rows)).collect()}
+    for (doc, _, _), (lang, score) in zip(rows, want, strict=True):
+        assert got[doc]["lang_pred"] == lang and abs(got[doc]["score"] - score) < 1e-5, doc
+
+
+def test_a_word_beyond_the_cut(docs):
+    text = "ka lo " * 80_000 + "kalomitu" * 5000
+    whole = {i: dict(zip(c.tolist(), n.tolist(), strict=True)) for i, c, n in langid.counted([text])}
+    (of, code), found = langid.trigrams([text]), {}
+    for x in code.tolist():
+        found[x] = found.get(x, 0) + 1
+    assert len(text) > langid.PIECE and whole == {0: found} and set(of.tolist()) == {0}
+
+
+def test_learning_holds_a_bounded_number_of_trigrams(docs, monkeypatch):
+    rows = docs(_rows(90))
+    one = langid.learn(rows.coalesce(1))
+    monkeypatch.setattr(langid, "HELD", 10)
+    monkeypatch.setattr(langid, "PIECE", 50)
+    parts = list(langid._learn(iter(rows.select("text", "lang").toArrow().to_batches(max_chunksize=7))))
+    assert np.array_equal(one[1], np.array([p.column(2).to_numpy() / np.linalg.norm(p.column(2).to_numpy()) for p in sorted(parts, key=lambda p: p.column(0)[0].as_py())], np.float32))
+
+
 def test_pieces_change_no_count(monkeypatch):
     rnd = random.Random(6)
-    texts = [_text(rnd.choice(list(SYLLABLES)), rnd, rnd.choice([0, 1, 5, 40])) + rnd.choice(["", " 1!", "\n"]) for _ in range(60)] + [None, "", "ka lo " * 200, "x"]
+    texts = [_text(rnd.choice(list(SYLLABLES)), rnd, rnd.choice([0, 1, 5, 40])) + rnd.choice(["", " 1!", "\n"]) for _ in range(60)] + [None, "", "ka lo " * 200, "x", "kalo" * 100, "ΑΣ ΣΑΣ" * 60, "1" * 500 + "é", "é" + "1" * 89 + "ñ"]
     whole = {i: dict(zip(c.tolist(), n.tolist(), strict=True)) for i, c, n in langid.counted(texts)}
     monkeypatch.setattr(langid, "PIECE", 90)
     parts = {i: dict(zip(c.tolist(), n.tolist(), strict=True)) for i, c, n in langid.counted(texts)}
