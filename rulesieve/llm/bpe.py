@@ -78,11 +78,13 @@ class Bpe:
         cut = file["pre_tokenizer"]["pretokenizers"][0]
         if steps != ["NFC", "Replace", "Lowercase"] or cut["behavior"] != "Removed" or not cut["invert"] or file["decoder"] is not None or file["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"]:
             raise ValueError("this kind of tokenizer file isn't known")
+        if any(x.get(flag) for x in file["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens are only known where they stand for themselves in the raw text")
         self.suffix = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
         self.tokens = {i: t for t, i in self.vocab.items()} | {x["id"]: x["content"] for x in file["added_tokens"]}
         self.added = {x["content"]: x["id"] for x in file["added_tokens"]}
-        self.added_at = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.added_at = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")")
         self.word = regex.compile(cut["pattern"]["Regex"])
         #: (left, right) to (rank, joined); joined to its parts and rank, the earliest if several merges make it
         self.joined: dict[tuple[int, int], tuple[int, int]] = {}
@@ -166,7 +168,7 @@ class Bpe:
         out: list[int] = []
         if not text:
             return out
-        if self.added_at is None or "<|" not in text:
+        if not any(x in text for x in self.added):
             self._piece(text, out)
             return out
         for i, piece in enumerate(self.added_at.split(text)):

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -33,6 +34,22 @@ def test_same_ids_and_texts_as_the_library(both):
     assert own.decode([1, 10**6]) == theirs.decode([1], skip_special_tokens=False)
 
 
+def test_added_tokens_of_another_file(both):
+    own, _ = both
+    with open(bpe.vocabulary_path(), "rb") as f:
+        file = json.load(f)
+    file["added_tokens"] = [{**file["added_tokens"][0], "content": "[PAD]"}, {**file["added_tokens"][0], "content": "[PAD]x", "id": 49407}]
+    theirs = tokenizers.Tokenizer.from_str(json.dumps(file))
+    theirs.no_truncation()
+    theirs.no_padding()
+    other = bpe.Bpe(json.dumps(file).encode())
+    for text in ("a [PAD]b[PAD]x c", "[PAD]", "<|endoftext|>"):
+        assert other.encode(text) == theirs.encode(text, add_special_tokens=False).ids
+    file["added_tokens"][0]["lstrip"] = True
+    with pytest.raises(ValueError):
+        bpe.Bpe(json.dumps(file).encode())
+
+
 def test_a_prefix_has_one_last_token(both):
     own, _ = both
     word = "thereforetheintheretic"
