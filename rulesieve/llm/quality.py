@@ -5,15 +5,16 @@ that they cover the whole document.  Each byte has a learned vector; learned fil
 max-pooled inside a chunk.  Over the chunks the strongest and the mean response of each filter are combined linearly into
 one probability.
 
-Fitting: at most SAMPLE labelled rows a class, those with the smallest hash of their ids, and of a text at most PIECES chunks
-spread evenly over it, cut on the executors; these documented bounds are all that reaches the driver.  The classes' weights
-restore their shares among all labelled rows, which are counted over the whole table.  Adam, a fixed seed.
+Fitting: of each class the SAMPLE labelled rows with the smallest hashes of their ids, in that order as long as their texts
+have FIT_BYTES bytes together; the texts of these rows, whole, are all that reaches the driver.  The classes' weights restore
+their shares among all labelled rows, which are counted over the whole table.  Adam, a fixed seed.
 
 Scoring goes through every chunk of every text, a bounded number at a time, so a text's length doesn't matter.
 
 Defined results: a null text counts as empty; an empty text is one chunk of zeros; rows without a label, or with one that is
-neither 0 nor 1, are not learned from; with one class, or none, all scores are that class's share (0.5 without any); rows
-that repeat count each; other columns are ignored.
+neither 0 nor 1, are not learned from; with one class, or none, all scores are that class's share (0.5 without any); of rows
+that repeat a sampled id one text, the least by MD5, is learned from; rows that repeat get a score each; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import map_batches, texts_of
 
@@ -32,7 +33,7 @@ CHUNK, OVERLAP = 512, 64
 WIDTH, STEP = 16, 2
 DIM, FILTERS = 6, 24
 SAMPLE = 1200
-PIECES = 8
+FIT_BYTES = 3 << 20
 EPOCHS = 25
 BATCH = 48
 RATE = 0.01
@@ -159,34 +160,26 @@ def fitted(docs: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed
     return net
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, sample: int, pieces: int) -> list:
-    """(label, chunks) of the sampled rows."""
+def _sampled(docs: DataFrame, labels: DataFrame, sample: int, fit_bytes: int) -> list:
+    """(label, text) of the sampled rows."""
     ids = None
     for label in (0, 1):
-        own = labels.where(F.col("quality") == label).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        own = labels.where(F.col("quality") == label).select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         ids = own if ids is None else ids.union(own)
     ids = F.broadcast(ids.select(F.col("doc_id").alias("__rs_id"), F.col("quality").cast("int").alias("quality")))  # 2 * sample rows at most
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in texts_of(batch, "text"):
-                own = chunks_of((text or "").encode("utf-8", "surrogatepass"))
-                at = np.unique(np.linspace(0, len(own) - 1, pieces).round().astype(int)) if len(own) > pieces else slice(None)
-                out.append(np.ascontiguousarray(own[at]).tobytes())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "quality", "chunks"])
-
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__rs_id")).select("doc_id", "quality", "text")
-    found = map_batches(rows, work, T.StructType([rows.schema["doc_id"], T.StructField("quality", T.IntegerType()), T.StructField("chunks", T.BinaryType())])).collect()
-    return sorted(((r["doc_id"], r["quality"], bytes(r["chunks"])) for r in found), key=lambda x: (x[0], x[1], x[2]))[: 2 * sample]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, F.col("doc_id") == F.col("__rs_id"))
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"))
+    order = W.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")  # sample rows a class at most
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(order)).where(F.col("bytes") <= fit_bytes)
+    return sorted(((r["quality"], r["doc_id"], r["text"]) for r in rows.select("quality", "doc_id", "text").collect()), key=lambda x: (x[1], x[0]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pieces: int = PIECES) -> Network:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_bytes: int = FIT_BYTES) -> Network:
     """A network from the labelled rows; labels: doc_id, quality."""
     labels = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     shares = {int(r[0]): r[1] for r in labels.groupBy("quality").count().collect()}  # two rows at most
-    rows = _sampled(docs, labels, sample, pieces) if len(shares) == 2 else []
-    found = np.array([r[1] for r in rows])
+    rows = _sampled(docs, labels, sample, fit_bytes) if len(shares) == 2 else []
+    found = np.array([r[0] for r in rows])
     if len(set(found.tolist())) < 2:
         net = Network()
         share = shares.get(1, 0) / sum(shares.values()) if shares else 0.5
@@ -194,7 +187,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pieces: int
         net.p["base"][0] = np.log(np.clip(share, 1e-6, 1 - 1e-6) / np.clip(1 - share, 1e-6, 1))
         return net
     weight = {k: shares[k] / sum(shares.values()) / np.mean(found == k) for k in (0, 1)}
-    chunks = [np.frombuffer(r[2], np.uint8).reshape(-1, CHUNK) for r in rows]
+    chunks = [chunks_of(r[2].encode("utf-8", "surrogatepass")) for r in rows]
     return fitted(chunks, found.astype(np.float32), np.array([weight[int(k)] for k in found], np.float32))
 
 

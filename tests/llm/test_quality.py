@@ -72,6 +72,46 @@ def test_gradients():
             assert abs((up - down) / (2 * eps) - g.reshape(-1)[i]) < 1e-3, k
 
 
+def _naive(net, text):
+    """The forward pass by loops over bytes."""
+    data = (text or "").encode()
+    starts, at = [], 0
+    while at < len(data) - quality.CHUNK:
+        starts.append(at)
+        at += quality.CHUNK - quality.OVERLAP
+    starts.append(max(0, len(data) - quality.CHUNK))
+    best, total = [0.0] * quality.FILTERS, [0.0] * quality.FILTERS
+    for start in starts:
+        own = data[start : start + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+        for f in range(quality.FILTERS):
+            top = -1e9
+            for place in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STEP):
+                top = max(top, sum(float(net.p["bytes"][own[place + i]][d]) * float(net.p["filters"][i * quality.DIM + d][f]) for i in range(quality.WIDTH) for d in range(quality.DIM)))
+            act = max(0.0, top + float(net.p["bias"][f]))
+            best[f], total[f] = max(best[f], act), total[f] + act
+    pooled = best + [t / len(starts) for t in total]
+    return 1 / (1 + np.exp(-(sum(a * float(b) for a, b in zip(pooled, net.p["out"], strict=True)) + float(net.p["base"][0]))))
+
+
+def test_scores_are_those_of_loops_over_bytes(docs, monkeypatch):
+    for name, value in (("CHUNK", 64), ("OVERLAP", 8), ("WIDTH", 4), ("FILTERS", 5)):
+        monkeypatch.setattr(quality, name, value)
+    net, rnd = quality.Network(3), random.Random(4)
+    net.p["bias"] = np.linspace(-0.2, 0.2, 5).astype(np.float32)
+    texts = ["".join(rnd.choice("abcé🙂 \n!Z") for _ in range(n)) for n in (0, 1, 10, 63, 64, 65, 120, 121, 400)] + [None]
+    assert np.allclose(net.scores(texts), [_naive(net, t) for t in texts], atol=1e-5)
+
+
+def test_the_sample_is_bounded_and_whole(spark, docs):
+    rows = [(i, f"t{i} " * (i + 1)) for i in range(40)] + [(3, "again"), (3, "again")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(3, 1, 0)], LABELS)
+    got = quality._sampled(docs(rows), labels.select("doc_id", "quality"), 15, 10**6)
+    texts = {i: {t for j, t in rows if j == i} for i in range(40)}
+    assert len(got) == 30 and all(text in texts[i] for _, i, text in got)
+    few = quality._sampled(docs(rows), labels.select("doc_id", "quality"), 15, 300)
+    assert 0 < len(few) < 30 and set(few) <= set(got) and all(sum(len(t) for q, _, t in few if q == k) <= 300 for k in (0, 1))
+
+
 def test_long_texts_score_as_in_one_go():
     net = quality.Network()
     text = "".join(random.Random(2).choice("abc !") for _ in range(3_000_000))
