@@ -1,9 +1,10 @@
 """A pipeline over the documents: language, near duplicates, benchmark passages, personal data, tokens.
 
 Each stage gets what its predecessor kept, written as Parquet and read again.  All but the last return the columns of their
-input.  What the stages decide: documents without a telling letter go; of a group of near duplicates (five-word shingles,
-0.8) the smallest id stays; documents with a benchmark passage go; personal data in the texts is replaced by its kind in
-brackets, and n_chars follows; the last stage returns each document's token ids and the digests of ids and decoded text.
+input.  What the stages decide: documents that no learned language's prototype is like go; of a group of near duplicates
+(five-word shingles, 0.8) the smallest id stays; documents with a benchmark passage go; personal data and secrets in the texts
+are replaced by their kind in brackets, and n_chars follows; the last stage returns each document's token ids and the digests
+of ids and decoded text.  A stage's table is removed once the next one is written, the last when the driver ends.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulesieve.llm import bpe, decontam, langid, neardup, pii
-from rulesieve.llm.common import shared_dir, stored, table
+from rulesieve.llm.common import dropped, shared_dir, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,4 +47,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES[:-1]):
         docs = stored(stage(spark, docs, sf_dir), folder, f"{k}_{name}")
+        if k:
+            dropped(spark, f"{folder}/{k - 1}_{STAGES[k - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 import corpus_pipeline
 from rulesieve.llm import bpe, langid
 
@@ -34,3 +36,32 @@ def test_stages_one_by_one_and_run(spark, tmp_path, words):
         assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["decoded_sha256"] == hashlib.sha256(own.decode(ids).encode()).hexdigest()
     assert len(last) == 31 and sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(str, last))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "personal_data", "tokens"] and langid.UNDETERMINED == "und"
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_each_stage_with_empty_tables_repeated_rows_and_long_texts(spark, tmp_path, words, name):
+    spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    full = "doc_id bigint, text string, lang string, source string, n_chars int, spans string, node bigint, ids string"
+    assert stage(spark, spark.createDataFrame([], full), str(tmp_path)).collect() == []
+    long = " ".join(words(200_000, 1)) + " a@b.cc and Alpha, beta gamma "
+    plain = " ".join(words(50, 2))
+    rows = [(1, long), (2, plain), (2, plain), (3, None), (3, None), (4, "see Alpha-beta\ngamma " + " ".join(words(30, 4))), (5, "x" * 300_000), (None, " ".join(words(40, 3)))]
+    docs = spark.createDataFrame([(i, t, "zz" if i == 5 else "en", None, None if t is None else len(t), "s", 1, "i") for i, t in rows], full)
+    out = stage(spark, docs, str(tmp_path))
+    got = sorted(str(r["doc_id"]) for r in out.collect())
+    everything = sorted(str(i) for i, _ in rows)
+    if name == "language_id":
+        assert got == [x for x in everything if x != "3"]
+    elif name == "near_duplicates":
+        assert got == ["1", "2", "3", "3", "4", "5", "None"]
+    elif name == "decontamination":
+        assert got == [x for x in everything if x not in ("1", "4")]
+    else:
+        assert got == everything
+    if name == "personal_data":
+        texts = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
+        want = long.replace("a@b.cc", "[email]")
+        assert texts[1] == (want, len(want)) and texts[3] == (None, None) and texts[5][0] == "x" * 300_000
+    if name != "tokens":
+        assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType

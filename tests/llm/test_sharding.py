@@ -47,7 +47,9 @@ def test_query(docs):
 
 
 def test_few_rows(docs):
-    assert sorted((r["shard"], r["slot"]) for r in sharding.query(docs([(1, "a"), (2, "b")])).collect()) != []
+    assert sorted((r["shard"], r["slot"]) for r in sharding.query(docs([(1, "a"), (2, "b")])).collect()) == sorted(sharding.place(row, 2) for row in (0, 1))
+    (one,) = sharding.query(docs([(1, "é" * 2_000_000)])).collect()
+    assert (one["size"], one["text_crc32"], one["shard"], one["slot"]) == (4_000_008, zlib.crc32("é".encode() * 2_000_000), 0, 0)
 
 
 def test_sql_gives_the_same(spark, docs, tmp_path):
