@@ -115,7 +115,9 @@ def query(docs: DataFrame) -> DataFrame:
     else:
         own = own.withColumn("copies", F.lit(1).cast("bigint"))
     rows = add_fingerprint(own, F.col("text"), "fp").select("key", "tag", "doc_id", "text", "copies", digest(F.col("fp")).alias("fingerprint"), hashes(F.col("fp")).alias("a"))
-    heads = rows.join(links, ["key", "tag"]).select(F.col("to_key").alias("key"), F.col("to_tag").alias("tag"), F.expr("substring(text, 1, need)").alias("head"), F.col("a").alias("c"))
+    # the condition never holds; with it both uses of rows read the same columns, so texts are dealt, and hashed, once for both
+    head = F.expr("if(length(fingerprint) + copies < 0, cast(doc_id as string), substring(text, 1, need))")
+    heads = rows.join(links, ["key", "tag"]).select(F.col("to_key").alias("key"), F.col("to_tag").alias("tag"), head.alias("head"), F.col("a").alias("c"))
     near = rows.join(heads, ["key", "tag"])
     # of equal rows all but the last are followed by themselves
     after = F.struct(F.col("head"), F.col("c"), F.lit(1).cast("bigint").alias("copies"))
