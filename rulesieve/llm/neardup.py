@@ -8,11 +8,10 @@ SIDE^2 times.  The right side's minhashes also give an estimate, which drops pai
 
 Groups.  Texts with equal sets are one class, by a 128-bit digest, with the smallest doc_id as its node; classes are made
 by pre-aggregated counts.  In each left bucket every member is tried against the smallest one; confirmed links are joined to
-components.  Then only buckets that still hold several components are gone through.  Those of more than BLOCK members are
-cut by the right keys first, so that only members that share a table meet, and each of these is tried against its table's
-smallest.  What still holds several components is gone through in blocks of BLOCK members, so that no bucket lands in one
-task: members of different components that share a table are compared by their sets there and then, and only links come out,
-so that pairs are never rows.  No bucket is capped and no pair is dropped but by the size ratio (exact), the tables and the
+components.  In buckets that still hold several components, the nodes outside the largest one are tried against a node of
+that.  What still holds several is gone through in blocks of about BLOCK nodes, so that no bucket lands in one task: the nodes
+outside the bucket's largest component are compared with all others that share a table with them by their sets there and
+then, and only links come out, so that pairs are never rows.  No bucket is capped and no pair is dropped but by the size ratio (exact), the tables and the
 estimate.  What many rows of one key must be told (of their bucket, component or representative) goes once to each of the
 tasks that the key's rows are spread over.
 
@@ -218,12 +217,11 @@ class _Sets:
 
 def _pairs(part: dict[str, np.ndarray], a: slice, percent: int, agree: int) -> Iterator[np.ndarray]:
     """Of the rows of one bucket and pair of blocks, the pairs (larger node, smaller node) that link; see _rest."""
-    node, comp, n, v, block = (part[c][a] for c in ("node", "comp", "n", "v", "block"))
-    p, q = part["p"][a.start], part["q"][a.start]
-    y = np.flatnonzero(block == q)
+    node, comp, n, v, guest, minor = (part[c][a] for c in ("node", "comp", "n", "v", "guest", "minor"))
+    y = np.flatnonzero(~guest)
     sets: _Sets | None = None
-    for i in np.flatnonzero(block == p):
-        k = y[(comp[y] != comp[i]) & ((node[y] > node[i]) | (p != q)) & sized(n[y], n[i], percent)]
+    for i in np.flatnonzero(guest):
+        k = y[(comp[y] != comp[i]) & (~minor[y] | (node[y] < node[i])) & sized(n[y], n[i], percent)]
         k = k[alike(v[k], v[i], agree)] if len(k) else k
         if len(k):
             if sets is None:
@@ -236,18 +234,24 @@ def _pairs(part: dict[str, np.ndarray], a: slice, percent: int, agree: int) -> I
 
 
 def _rest(members: DataFrame, percent: int, agree: int) -> DataFrame:
-    """All links of one bucket between different components.  members: key, node, comp, n, v, size, s.
+    """All links of one bucket between different components.  members: key, size, most, major, node, comp, n, v, s.
 
-    s has the set's hashes cut to 31 bits, so what is counted as common is never too little; what is found is confirmed on
-    the full sets later.  Only links leave this function, however many pairs a block compares.
+    A bucket's nodes outside its largest component (guests) are compared with all of its nodes (hosts): those that two of the
+    largest component would make aren't looked for.  Hosts and guests are dealt to blocks of about BLOCK, and each pair of
+    blocks meets once.  s has the set's hashes cut to 31 bits, so what is counted as common is never too little; what is found
+    is confirmed on the full sets later.  Only links leave this function, however many pairs a block compares.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "comp", "n", "v", "s")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = members.withColumn("minor", F.col("comp") != F.col("major")).withColumn("hosts", blocks(F.col("size"))).withColumn("guests", blocks(F.col("size") - F.col("most")))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    spot = lambda p, q, guest: F.struct(p.alias("p"), q.alias("q"), F.lit(guest).alias("guest"))
+    as_host = F.transform(F.sequence(F.lit(0), F.col("guests") - 1), lambda q: spot(own("hosts"), q, False))
+    as_guest = F.transform(F.sequence(F.lit(0), F.col("hosts") - 1), lambda p: spot(p, own("guests"), True))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("minor"), F.concat(as_host, as_guest)).otherwise(as_host)))
+    rows = rows.select("key", "at.p", "at.q", "at.guest", "minor", "node", "comp", "n", "v", "s")
 
     def done(table: pa.Table) -> pa.RecordBatch:
-        part = {c: table.column(c).to_numpy() for c in ("key", "p", "q", "block", "node", "comp", "n")}
+        part = {c: table.column(c).to_numpy() for c in ("key", "p", "q", "guest", "minor", "node", "comp", "n")}
         part["v"] = np.frombuffer(b"".join(table.column("v").to_pylist()), np.uint8).reshape(-1, _HALF)
         lists = table.column("s").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -322,21 +326,16 @@ def _buckets(keyed: DataFrame) -> DataFrame:
     return spread.join(found.withColumn(SALT, unfolded("salts")).drop("salts"), ["key", SALT]).drop(SALT)
 
 
-def _with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    return rows.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+def _unjoined(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """The members (key, node) of buckets that hold several components, with their component and what is known of the bucket:
 
-
-def _unjoined(members: DataFrame) -> DataFrame:
-    """The members (key, node, comp, ...) of buckets that hold several components."""
-    spread = salted(members, "node")
-    found = spread.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), salts_met().alias("salts")).where("x <> y")
-    return spread.join(found.select("key", unfolded("salts").alias(SALT)), ["key", SALT]).drop(SALT)
-
-
-def _split(large: DataFrame, known: DataFrame) -> DataFrame:
-    """Left buckets cut by the right keys: key, node, comp, once for each table that the node is in."""
-    table = F.expr(f"transform(sequence(0, {SIDE - 1}), j -> xxhash64(key, j, substring(v, {HASHES} * j + 1, {HASHES})))")
-    return large.join(known.select("node", "v"), "node").select(F.explode(table).alias("key"), "node", "comp")
+    size, major (its largest component), most (that one's nodes here) and pivot (a node of it).
+    """
+    placed = members.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("first"))
+    top = F.max(F.struct("c", (-F.col("comp")).alias("o"), "comp", F.col("first.node").alias("pivot"))).alias("t")
+    found = parts.groupBy("key").agg(F.sum("c").alias("size"), F.count("*").alias("comps"), top).where("comps > 1")
+    return looked_up(placed, found.select("key", "size", F.col("t.comp").alias("major"), F.col("t.c").alias("most"), F.col("t.pivot").alias("pivot")), ["key"], "node")
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, agree: int = AGREE) -> DataFrame:
@@ -369,24 +368,18 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, agre
     comps = components(links, folder, "first")
     more = lambda found: comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found)
 
-    left = stored(_unjoined(_with_comp(members.where("size > 2").select("key", "size", "node"), comps)), folder, "left")
-    small, large = left.where(F.col("size") <= BLOCK), left.where(F.col("size") > BLOCK)
-    parts = [small]
-    if not large.isEmpty():
-        # nodes of a large bucket meet only in tables: those that share a right key too; each is tried against a table's smallest first
-        split = _buckets(_split(large, known).drop("comp"))
-        split = stored(_unjoined(_with_comp(split, comps)), folder, "split")
-        links = linked(split.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")), "links_1")
-        comps = components(more(links), folder, "second")
-        parts = [_unjoined(_with_comp(x, comps)).select("key", "node", "comp", "size") for x in (small, split.select("key", "size", "node"))]
-    cut = sets.select("node", F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("s"))
-    rest = [x.select("key", "node", "comp", "size").join(known, "node").join(cut, "node") for x in parts]
-    found = stored(_rest(rest[0] if len(rest) == 1 else rest[0].union(rest[1]), percent, agree).distinct(), folder, "found")
+    # what is outside its bucket's largest component is tried against a node of that one, so that little is left to compare
+    left = stored(_unjoined(members.where("size > 2"), comps), folder, "left_0")
+    links = linked(left.where("comp <> major").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")), "links_1")
+    comps = components(more(links), folder, "second")
+    left = stored(_unjoined(left, comps), folder, "left_1")
+    cut = sets.join(left.select("node").distinct(), "node", "left_semi").select("node", F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("s"))
+    found = stored(_rest(left.join(known, "node").join(cut, "node"), percent, agree).distinct(), folder, "found")
     comps = components(more(stored(_confirmed(found, sets, percent), folder, "links_2")), folder, "all")
-    for name in ("sets", "nodes", "members", "links_0", "links_1", "left", "split", "found", "links_2"):
+    for name in ("sets", "nodes", "members", "links_0", "links_1", "left_0", "left_1", "found", "links_2"):
         dropped(spark, f"{folder}/{name}")
 
-    moved = _with_comp(classes, comps).where("copies > 1 OR comp <> node").select("d1", "d2", F.col("comp").alias("component_id"))
+    moved = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).where("copies > 1 OR comp <> node").select("d1", "d2", F.col("comp").alias("component_id"))
     found = looked_up(rows.where("n > 0").select("doc_id", "n", "d1", "d2"), moved, ["d1", "d2"], "doc_id", "left")
     found = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return found.union(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
