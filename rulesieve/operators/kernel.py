@@ -1,13 +1,14 @@
 """The graph over batches of events, in numpy: which rows each rule is true for.
 
 As in a search of one event, only true nodes are touched: values that occur in a batch find the leaves that they make true,
-and inner nodes are looked at when their access child (AND) or any child (OR) has rows.  A node's rows are a sorted array.
+thresholds stand in order, so that a batch's values cut off those that hold, and inner nodes are looked at when their access child (AND) or any child (OR) has rows.  A node's rows are a sorted array.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,9 +29,11 @@ class Compiled:
     types: dict[str, AttrType]
     equal: dict[str, dict[object, list[int]]]
     other: dict[str, list[tuple[int, Leaf]]]
+    #: By attribute and sign: ordered thresholds and their leaves.
+    ranges: dict[str, dict[str, tuple[np.ndarray, list[int]]]]
     inner: list[tuple[int, bool, tuple[int, ...], int | None]]
     wakes: dict[int, list[int]]
-    subs: list[tuple[int, np.ndarray]]
+    subs: dict[int, np.ndarray]
     always: np.ndarray
     #: For the counters: leaves that an index finds, and by attribute how many others are tried where it is known, and everywhere.
     indexed: frozenset[int]
@@ -41,11 +44,14 @@ def compiled(schema: Schema, dag: Dag, dense: dict[int, int], always: list[int])
     """dense: the small number of each subscription id."""
     equal: dict[str, dict[object, list[int]]] = defaultdict(lambda: defaultdict(list))
     other: dict[str, list[tuple[int, Leaf]]] = defaultdict(list)
+    bounds: dict[str, dict[str, list[tuple[float, int]]]] = defaultdict(lambda: defaultdict(list))
     for own, n in dag.leaves.items():
         if own.kind in ("eq", "in", "one_of", "var", "not_var"):
             values = {"var": (True,), "not_var": (False,)}.get(own.kind) or (own.operand if isinstance(own.operand, tuple) else (own.operand,))
             for v in values:
                 equal[own.attr][v].append(n)
+        elif own.kind in ("lt", "le", "gt", "ge"):
+            bounds[own.attr][own.kind].append((own.operand, n))
         else:
             other[own.attr].append((n, own))
     indexed = frozenset(n for x, n in dag.leaves.items() if dag.indexed and x.kind in INDEXED)
@@ -63,8 +69,10 @@ def compiled(schema: Schema, dag: Dag, dense: dict[int, int], always: list[int])
     for k, (_, conj, children, access) in enumerate(inner):
         for c in children[:1] if conj and access is not None else children:
             wakes[c].append(k)
-    subs = [(n, np.array(sorted(dense[s] for s in node.subs), np.int32)) for n, node in dag.nodes.items() if node.subs]
-    return Compiled(dict(schema), {a: dict(v) for a, v in equal.items()}, dict(other), inner, dict(wakes), subs, np.array(sorted(dense[s] for s in always), np.int32), indexed, tried)
+    subs = {n: np.array(sorted(dense[s] for s in node.subs), np.int32) for n, node in dag.nodes.items() if node.subs}
+    types = dict(schema)
+    ranges = {a: {k: (np.array([x for x, _ in sorted(v)], np.float64 if types[a] is AttrType.FLOAT else np.int64), [n for _, n in sorted(v)]) for k, v in own.items()} for a, own in bounds.items()}
+    return Compiled(types, {a: dict(v) for a, v in equal.items()}, dict(other), ranges, inner, dict(wakes), subs, np.array(sorted(dense[s] for s in always), np.int32), indexed, tried)
 
 
 def _merged(parts: list[np.ndarray], size: int) -> np.ndarray:
@@ -111,24 +119,30 @@ class _Column:
         else:
             self.words = None
             self.values = np.asarray(flat)
-        self.order = np.argsort(self.values, kind="stable")
-        self.sorted = self.values[self.order]
-
-    def code(self, value: object) -> object:
-        return self.words.get(value, -1) if self.words is not None else value
+        order = np.argsort(self.values, kind="stable")
+        self.sorted, self.placed = self.values[order], self.of[order]
+        new = np.flatnonzero(np.concatenate([[True], self.sorted[1:] != self.sorted[:-1]])) if len(order) else np.zeros(0, np.int64)
+        found = self.sorted[new].tolist()
+        if self.words is not None:
+            names = {i: w for w, i in self.words.items()}
+            found = [names[i] for i in found]
+        #: The rows with each value, or with it in their list, in order.
+        self.at: dict[object, np.ndarray] = dict(zip(found, np.split(self.placed, new[1:]), strict=True)) if found else {}
 
     def holding(self, value: object) -> np.ndarray:
-        """The rows with the value, or with it in their list."""
-        code = self.code(value)
-        a, b = np.searchsorted(self.sorted, code, "left"), np.searchsorted(self.sorted, code, "right")
-        return np.sort(self.of[self.order[a:b]]) if b > a else _NONE
-
-    def distinct(self) -> list:
-        own = np.unique(self.sorted).tolist()
-        if self.words is None:
-            return own
-        names = {i: w for w, i in self.words.items()}
-        return [names[i] for i in own]
+        return self.at.get(value, _NONE)
+
+    def within(self, sign: str, bounds: np.ndarray, leaves: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """The leaves `value sign bound` that are true somewhere, with their rows; bounds in order.  Equal sets of rows are one array."""
+        cuts = np.searchsorted(self.sorted, bounds, "left" if sign in ("lt", "ge") else "right")
+        low = sign in ("lt", "le")
+        known: dict[int, np.ndarray] = {}
+        some = np.flatnonzero(cuts > 0 if low else cuts < len(self.sorted))
+        for i, cut in zip(some.tolist(), cuts[some].tolist(), strict=True):
+            rows = known.get(cut)
+            if rows is None:
+                rows = known[cut] = np.sort(self.placed[:cut] if low else self.placed[cut:])
+            yield leaves[i], rows
 
     def _not(self, rows: np.ndarray) -> np.ndarray:
         left = self.known.copy()
@@ -137,9 +151,6 @@ class _Column:
 
     def true_rows(self, own: Leaf) -> np.ndarray:
         k = own.kind
-        if k in ("lt", "le", "gt", "ge"):
-            below = np.searchsorted(self.sorted, own.operand, "left" if k in ("lt", "ge") else "right")
-            return np.sort(self.rows[self.order[:below] if k in ("lt", "le") else self.order[below:]])
         if k == "is_null":
             return np.flatnonzero(~self.known).astype(np.int32)
         if k == "is_not_null":
@@ -167,17 +178,17 @@ def matched(own: Compiled, batch: pa.RecordBatch, counters: dict[str, np.ndarray
     true: dict[int, np.ndarray] = {}
     woken: set[int] = set()
     for name, kind in own.types.items():
-        equal, other = own.equal.get(name, {}), own.other.get(name, ())
-        if not equal and not other:
+        equal, other, ranges = own.equal.get(name, {}), own.other.get(name, ()), own.ranges.get(name, {})
+        if not equal and not other and not ranges:
             continue
         column = _Column(kind, batch.column(batch.schema.get_field_index(name)))
         parts: dict[int, list[np.ndarray]] = defaultdict(list)
-        if equal:
-            for value in column.distinct() if len(equal) > 64 else equal:
-                for n in equal.get(value, ()):
-                    rows = column.holding(value)
-                    if len(rows):
-                        parts[n].append(rows)
+        for value, rows in column.at.items() if equal else ():
+            for n in equal.get(value, ()):
+                parts[n].append(rows)
+        for sign, (bounds, leaves) in ranges.items():
+            for n, rows in column.within(sign, bounds, leaves):
+                parts[n].append(rows)
         for n, leaf in other:
             rows = column.true_rows(leaf)
             if len(rows):
@@ -220,10 +231,11 @@ def matched(own: Compiled, batch: pa.RecordBatch, counters: dict[str, np.ndarray
                     seen.add(k)
                     heapq.heappush(todo, k)
     rows_out, subs_out = [_NONE], [_NONE]
-    for n, subs in own.subs:
-        if n in true:
-            rows_out.append(np.repeat(true[n], len(subs)))
-            subs_out.append(np.tile(subs, len(true[n])))
+    for n, rows in true.items():
+        subs = own.subs.get(n)
+        if subs is not None:
+            rows_out.append(np.repeat(rows, len(subs)))
+            subs_out.append(np.tile(subs, len(rows)))
     if len(own.always):
         everything = np.arange(batch.num_rows, dtype=np.int32)
         rows_out.append(np.repeat(everything, len(own.always)))

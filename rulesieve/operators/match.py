@@ -4,7 +4,8 @@ Three ways, with equal results:
 
 compiled    Every rule as a Catalyst column, CHUNK rules a projection.  Right for few rules: all of it is code inside one scan.
 indexed     The shared graph as a numpy kernel over Arrow batches; work follows the values that occur.  The graph is broadcast
-            in blocks of BLOCK rules, so a worker holds one block's size however many rules there are.  No shuffle.
+            in blocks of BLOCK rules.  match() goes through the events once a block, and a worker holds one block; lists and
+            stats need all blocks at once, so there a worker holds the whole graph (about 1 KB a rule).  No shuffle.
 relational  The graph as tables: leaves found by equi-joins of the events' values or by compiled predicates, AND nodes by
             counting true children, level by level, in one unrolled plan.  For rule sets too large to broadcast.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from decimal import Decimal
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from . import kernel, relational
 
 CHUNK = 100
 BLOCK = 100_000
+#: Events that the kernel takes at once: the more, the less its work on each node weighs.
+ROWS = 16_384
 #: Up to this number of rules, auto compiles them.
 FEW = 32
 
@@ -88,8 +92,13 @@ def _graphs(sc, registry: Registry) -> list[tuple]:
 
 
 def _indexed(events: DataFrame, registry: Registry, lists: bool) -> DataFrame:
-    kind = _id_type(registry)
     blocks = _graphs(events.sparkSession.sparkContext, registry)
+    parts = [blocks] if lists else [[b] for b in blocks]
+    return reduce(DataFrame.unionAll, [_through(events, _id_type(registry), own, lists) for own in parts])
+
+
+def _through(events: DataFrame, kind: T.DataType, blocks: list[tuple], lists: bool) -> DataFrame:
+    """The matches of some blocks in one pass over the events."""
     arrow_id = pa.decimal128(20, 0) if isinstance(kind, T.DecimalType) else pa.int64()
 
     def ids_of(dense: np.ndarray, ids: list[int]) -> pa.Array:
@@ -99,8 +108,8 @@ def _indexed(events: DataFrame, registry: Registry, lists: bool) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 rows, subs = [], []
                 for own, ids in blocks:
                     r, d = kernel.matched(own.value, batch, ordered=lists)
@@ -168,8 +177,8 @@ def match_stats(events: DataFrame, registry: Registry, event_id: str = "event_id
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 counters = {c: np.zeros(batch.num_rows, np.int64) for c in kernel.COUNTERS}
                 rows, _ = kernel.matched(graph.value, batch, counters, ordered=False)
                 yield pa.record_batch([batch.column(0), pa.array(np.bincount(rows, minlength=batch.num_rows).astype(np.int64)), *map(pa.array, counters.values())], names)
