@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Subscribers of every match that one delivery can have; they are broadcast.
 LISTENERS = 100_000
+#: Tasks that may share the matches of one rule; as many as a bigint has bits.
+SALTS = 64
 
 
 def subscribed(subscribers: DataFrame) -> DataFrame:
@@ -30,7 +32,11 @@ def deliver(matches: DataFrame, events: DataFrame, subscribers: DataFrame) -> Da
     """subscriber_id, kind, event_id, sub_id, message.  matches: event_id, sub_id; events: event_id, payload."""
     own = subscribed(subscribers)
     told = matches.select("event_id", F.col("sub_id").cast("decimal(20,0)").alias("sub_id")).join(events.select("event_id", "payload"), "event_id")
-    one = told.join(own.where("sub_id IS NOT NULL"), "sub_id").select("subscriber_id", "kind", "event_id", "sub_id", F.col("payload").alias("message"))
+    # one rule may match any share of the events: its matches are spread, and its subscribers sent to the salts that occur
+    salted = told.withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int"))
+    asked = salted.groupBy("sub_id").agg(F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")).join(own.where("sub_id IS NOT NULL"), "sub_id")
+    asked = asked.withColumn("salt", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts", i) == 1))).drop("salts")
+    one = salted.join(asked, ["sub_id", "salt"]).select("subscriber_id", "kind", "event_id", "sub_id", F.col("payload").alias("message"))
     # every match goes to every such subscriber: as many rows as messages are asked for
     every = F.collect_list(F.struct("subscriber_id", "kind"))
     listeners = own.where("sub_id IS NULL").agg(F.sort_array(every).alias("who")).withColumn("k", F.lit(1))

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..console import Console
 from ..functions.columns import named
 from ..generate import Workload
-from ..plans.expr import Expr
+from ..plans.dag import INDEXED
+from ..plans.expr import And, Const, Expr, Leaf, Not, Or, Xnor, Xor
 from ..plans.parser import parse
 from ..registry import Config, Registry
-from ..schema import Schema
+from ..schema import AttrType, Schema
 from ..sources.events import accepted, decoded, rejected
 from ..streaming.tables import stream_to_table
 from .deliver import deliver
@@ -127,6 +128,34 @@ def many_sql(ids: tuple[int, ...] | None = None) -> str:
     return f"WITH e AS ({EVENTS_SQL}) " + union_sql({s: p for s, (_, p) in MANY.items() if ids is None or s in ids})
 
 
+def duck(expr: Expr) -> str:
+    """A rule in DuckDB's SQL."""
+
+    def value(x: object) -> str:
+        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+
+    if isinstance(expr, Const):
+        return "true" if expr.value else "false"
+    if not isinstance(expr, Leaf):
+        own = [f"({duck(c)})" for c in expr.children]
+        return f"NOT {own[0]}" if isinstance(expr, Not) else {And: " AND ", Or: " OR ", Xor: " <> ", Xnor: " = "}[type(expr)].join(own)
+    c, many = f'"{expr.attr}"', isinstance(expr.operand, tuple)
+    listed = ", ".join(map(value, expr.operand)) if many else ""
+    signs = {"lt": "<", "le": "<=", "gt": ">", "ge": ">=", "eq": "=", "ne": "<>"}
+    if expr.kind in signs:
+        return f"{c} {signs[expr.kind]} {value(expr.operand)}"
+    return {
+        "var": c, "not_var": f"NOT {c}", "in": f"{c} IN ({listed})", "not_in": f"{c} NOT IN ({listed})", "one_of": f"list_has_any({c}, [{listed}])", "none_of": f"NOT list_has_any({c}, [{listed}])",
+        "all_of": f"list_has_all({c}, [{listed}])", "not_all_of": f"NOT list_has_all({c}, [{listed}])", "is_null": f"{c} IS NULL", "is_not_null": f"{c} IS NOT NULL", "is_empty": f"len({c}) = 0", "is_not_empty": f"len({c}) > 0",
+    }[expr.kind]
+
+
+def values_sql(rows: list[tuple], *columns: str) -> str:
+    """A fixed table: text and whole numbers."""
+    told = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"CAST({x} AS BIGINT)"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(told, r)) + ')' for r in rows)}) AS t({', '.join(columns)})"
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
     def keep(f: Run) -> Run:
         QUERIES[name] = f
@@ -157,6 +186,20 @@ for _how in ("compiled", "indexed", "relational"):
     _way(_how)
 
 
+#: All single predicates as the rules of one registry.
+ALL = {100 + i: x for i, x in enumerate(PREDICATES.values())}
+
+
+def _predicates(how: str) -> None:
+    @query(f"predicates_{how}", f"WITH e AS ({EVENTS_SQL}) " + union_sql({s: p for s, (_, p) in ALL.items()}))
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return match(events(spark, sf_dir), registry(ALL), how)
+
+
+for _how in ("compiled", "indexed", "relational"):
+    _predicates(_how)
+
+
 @query("match_many_indexed_off", many_sql())
 def match_many_indexed_off(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match(events(spark, sf_dir), registry(config=Config(reorganize=False, self_adjust=False, on_demand=False, indexed=False)), "indexed")
@@ -344,53 +387,171 @@ def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_to_table(source, lambda batch: match(derived(batch), registry()))
 
 
-@query("report_stats")
+def _stats_sql() -> str:
+    """The counters of a search, node by node: a level is a subquery that adds its nodes' truth."""
+    own = registry()
+    d, told = own.dag, {n: f"coalesce({duck(x)}, false) AS n{n}" for x, n in own.dag.leaves.items()}
+    steps = [f"WITH e AS ({EVENTS_SQL}), s1 AS (SELECT *, {', '.join(told.values())} FROM e)"]
+    last = 1
+    for level, nodes in d.levels():
+        if level > 1:
+            joined = ", ".join(f"({(' AND ' if d.nodes[n].kind == 'and' else ' OR ').join(f'n{c}' for c in sorted(d.nodes[n].children))}) AS n{n}" for n in nodes)
+            steps.append(f"s{level} AS (SELECT *, {joined} FROM s{last})")
+            last = level
+    count = lambda parts: " + ".join(f"CAST({p} AS BIGINT)" for p in parts) or "CAST(0 AS BIGINT)"
+    tried = [f"n{n}" if x.kind in INDEXED else "true" if x.kind == "is_not_null" else f'("{x.attr}" IS NOT NULL)' for x, n in d.leaves.items()]
+    ands, ors = ([n for n, x in d.nodes.items() if x.kind == k] for k in ("and", "or"))
+    woken = [f"n{d.nodes[n].access}" for n in ands]
+    seen = [f"({' OR '.join(f'n{c}' for c in sorted(d.nodes[n].children))})" for n in ors]
+    always = ["true"] * len(own.always)
+    columns = {"matches": [f"n{n}" for n in own.at.values()] + always, "predicates_evaluated": tried, "predicates_true": [f"n{n}" for n in d.leaves.values()], "nodes_visited": woken + seen, "and_woken": woken, "and_true": [f"n{n}" for n in ands], "or_visited": seen}
+    return f"{', '.join(steps)} SELECT event_id, {', '.join(f'{count(v)} AS {k}' for k, v in columns.items())} FROM s{last}"
+
+
+@query("report_stats", _stats_sql())
 def report_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_stats(events(spark, sf_dir), registry())
 
 
-@query("dag_stats")
+#: What the graph of MANY has.
+_DAG_STATS = [("edges", 23), ("indexed_leaves", 14), ("leaves", 18), ("max_level", 3), ("nodes", 29), ("reorganized", 0), ("scanned_leaves", 4), ("self_adjusted", 0), ("strings", 3), ("subscriptions", 11)]
+
+
+@query("dag_stats", values_sql(_DAG_STATS, "name", "value"))
 def dag_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sorted(registry().stats().items()), "name string, value bigint")
 
 
-@query("dag_validate", "SELECT CAST(0 AS BIGINT) AS broken")
+def _large() -> Registry:
+    """MANY, all predicates and generated rules, after some were deleted."""
+    w = Workload(dims=30, seed=5)
+    out = Registry(Schema([*EVENTS, *w.schema]))
+    for sub, (rule, _) in {**MANY, **ALL}.items():
+        out.insert(sub, rule)
+    for sub in range(300):
+        out.insert(1000 + sub, w.rule(2))
+    for sub in (3, 5, 104, 120, *range(1000, 1300, 7)):
+        out.delete(sub)
+    return out
+
+
+#: Laws of the graph's tables, and rows that break each.
+_LAWS = ("unused", "few_children", "leaf_shape", "level", "access", "lost_node", "identity", "edges", "always", "unrouted")
+
+
+@query("dag_validate", values_sql([(x, 0) for x in _LAWS], "law", "broken"))
 def dag_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the graph's tables that break one of its laws."""
-    t = registry().tables(spark)
-    nodes, edges, subs = t["nodes"], t["edges"], t["subs"]
+    """Rows of the graph's tables that break each of its laws."""
+    own = _large()
+    t = own.tables(spark)
+    nodes, edges, subs, leaves, rules = (t[x] for x in ("nodes", "edges", "subs", "leaves", "rules"))
     used = edges.select(F.col("child").alias("node")).union(subs.select("node")).distinct()
-    unused = nodes.join(used, "node", "left_anti")
-    few = nodes.where("kind <> 'leaf' AND n_children < 2")
-    low = edges.join(nodes.select(F.col("node").alias("child"), F.col("level").alias("below")), "child").groupBy("parent").agg(F.max("below").alias("below"))
-    level = nodes.join(low, nodes["node"] == low["parent"]).where("level <> below + 1")
-    access = edges.groupBy("parent").agg(F.sum(F.col("is_access").cast("int")).alias("n")).join(nodes, F.col("parent") == F.col("node")).where("(kind = 'and') <> (n = 1)")
-    lost = subs.join(nodes, "node", "left_anti")
-    found = unused.select("node").union(few.select("node")).union(level.select("node")).union(access.select("node")).union(lost.select("node"))
-    return found.agg(F.count("*").alias("broken"))
+    above = edges.groupBy(F.col("parent").alias("node")).agg(F.countDistinct("child").alias("n"), F.sum(F.col("is_access").cast("int")).alias("accesses"))
+    low = edges.join(nodes.select(F.col("node").alias("child"), F.col("level").alias("below")), "child").groupBy(F.col("parent").alias("node")).agg(F.max("below").alias("below"))
+    inner, leaf = nodes.where("kind <> 'leaf'"), nodes.where("kind = 'leaf'")
+    broken = {
+        "unused": nodes.join(used, "node", "left_anti"),
+        "few_children": inner.join(above, "node", "left").where("coalesce(n, 0) < 2 OR n <> n_children"),
+        "leaf_shape": leaf.join(above, "node", "left").where("level <> 1 OR n IS NOT NULL OR n_children <> 0"),
+        "level": inner.join(low, "node", "left").where("below IS NULL OR level <> below + 1"),
+        "access": inner.join(above, "node", "left").where("(kind = 'and') <> (coalesce(accesses, 0) = 1)"),
+        "lost_node": subs.join(nodes, "node", "left_anti").select("node").union(edges.select(F.col("child").alias("node")).join(nodes, "node", "left_anti")),
+        "identity": nodes.groupBy("identity").count().where("count > 1"),
+        "edges": nodes.agg(F.sum("n_children").alias("n")).join(edges.agg(F.count("*").alias("m")), F.col("n") != F.col("m")),
+        "always": rules.join(subs, "sub_id", "left").where("constant = (node IS NOT NULL)").select("sub_id").union(rules.where("always AND NOT constant").select("sub_id")),
+        "unrouted": leaf.join(leaves.where(F.col("route") == F.when(F.col("kind").isin(*INDEXED), "indexed").otherwise("scanned")), "node", "left_anti"),
+    }
+    own.validate()
+    out = None
+    for law in _LAWS:
+        row = broken[law].agg(F.count("*").alias("broken")).select(F.lit(law).alias("law"), "broken")
+        out = row if out is None else out.unionAll(row)
+    return out
 
 
-@query("dot")
+#: The drawing of rules 1, 3, 9 and 10.
+_DOT = [
+    'digraph rulesieve {',
+    '  // level 1',
+    '  n0 [shape=note label="user_id = 3"]',
+    '  n1 [shape=note label="value > 100.0"]',
+    '  n3 [shape=note label="not hot"]',
+    '  n4 [shape=note label="tags one of [\\"click\\", \\"u2\\"]"]',
+    '  // level 2',
+    '  n2 [shape=oval label="and [1]"]',
+    '  n2 -> n0 [style=bold]',
+    '  n2 -> n1',
+    '  n5 [shape=oval label="and [3, 9]"]',
+    '  n5 -> n3',
+    '  n5 -> n4 [style=bold]',
+    '  true [shape=note label="true [10]"]',
+    '}',
+]
+
+
+@query("dot", values_sql(list(enumerate(_DOT)), "line", "text"))
 def dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(i, x) for i, x in enumerate(registry().dot().splitlines())], "line int, text string")
-
-
-@query("console")
+    return spark.createDataFrame(list(enumerate(registry({s: MANY[s] for s in (1, 3, 9, 10)}).dot().splitlines())), "line bigint, text string")
+
+
+#: Commands and their answers.
+_SESSION = [
+    ("DEFINE price int", "OK price int"),
+    ("DEFINE country string", "OK country string"),
+    ("SUBSCRIBE 1 price > 10 and country in ['US', 'CA']", "OK subscribed 1"),
+    ("SUBSCRIBE 1 price > 11", "ERR duplicate subscription id: subscription id already present"),
+    ("LISTEN 1", "OK 1"),
+    ("EVENT price=12;country=US", "MATCH 1: 1\nSTATS predicates_evaluated=2 predicates_true=2 nodes_visited=1 and_woken=1 and_true=1 or_visited=0\nOK"),
+    ('EVENT {"price": 3}', "MATCH 0:\nSTATS predicates_evaluated=0 predicates_true=0 nodes_visited=0 and_woken=0 and_true=0 or_visited=0\nOK"),
+    ("PARSE not (price > 10)", "not price > 10\nOK"),
+    ("COUNT", "OK 1"),
+    ("VALIDATE", "OK valid"),
+    ("UNSUBSCRIBE 1", "OK unsubscribed 1"),
+    ("COUNT", "OK 0"),
+    ("PING", "PONG"),
+]
+
+
+@query("console", values_sql([(i, *x) for i, x in enumerate(_SESSION)], "line", "command", "answer"))
 def console(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Console()
-    lines = ["DEFINE price int", "DEFINE country string", "SUBSCRIBE 1 price > 10 and country in ['US', 'CA']", "EVENT price=12;country=US", "EVENT " + json.dumps({"price": 3}), "COUNT", "VALIDATE"]
-    out = [(i, line, "\n".join(c.run(line))) for i, line in enumerate(lines)]
-    return spark.createDataFrame(out, "line int, command string, answer string")
+    out = [(i, line, "\n".join(c.run(line))) for i, (line, _) in enumerate(_SESSION)]
+    return spark.createDataFrame(out, "line bigint, command string, answer string")
 
 
-@query("synthetic_workload")
-def synthetic_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches of generated events against generated rules, indexed."""
+_SYNTHETIC = 2000
+
+
+def _synthetic() -> Registry:
     w = Workload(dims=60, seed=3)
     own = Registry(w.schema)
     for sub in range(400):
         own.insert(sub, w.rule(2) if sub % 4 == 0 else w.selective_rule())
-    return match(w.events(spark, 2000), own, "indexed")
+    return own
+
+
+def _drawn(schema: Schema, listed: Callable[[list[str]], str]) -> list[str]:
+    """Attributes of event_id as SQL that both engines read: a third of each is undefined, small values come oftener."""
+    out = ["event_id"]
+    for d, (name, kind) in enumerate(schema):
+        v = lambda k, d=d: f"((event_id * {7 * d + 11} + {d * d + 31 * k}) % 10007 * ((event_id + {13 * k + d}) % 97) % 100)"
+        own = {AttrType.STRING: f"concat('v', CAST({v(0)} AS VARCHAR(9)))", AttrType.BOOL: f"({v(0)} % 2 = 0)", AttrType.INT_LIST: listed([v(0), v(1), v(2)])}.get(kind, f"CAST({v(0)} AS BIGINT)")
+        out.append(f"CASE WHEN (event_id + {d}) % 3 <> 0 THEN {own} END AS {name}")
+    return out
+
+
+def _synthetic_sql() -> str:
+    own = _synthetic()
+    drawn = _drawn(own.schema, lambda x: f"[{', '.join(f'CAST({v} AS BIGINT)' for v in x)}]")
+    return f"WITH e AS (SELECT {', '.join(drawn)} FROM (SELECT range AS event_id FROM range({_SYNTHETIC}))) " + union_sql({s: duck(r) for s, r in own.given.items()})
+
+
+@query("synthetic_workload", _synthetic_sql())
+def synthetic_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of generated events against generated rules, indexed."""
+    own = _synthetic()
+    rows = spark.range(_SYNTHETIC).withColumnRenamed("id", "event_id")
+    return match(rows.selectExpr(*_drawn(own.schema, lambda x: f"array({', '.join(f'CAST({v} AS BIGINT)' for v in x)})")), own, "indexed")
 
 
 def rules_of(n: int) -> dict[int, Expr]:

@@ -250,22 +250,22 @@ class Dag:
         need(len(self.leaves) + len(self.inner) == len(self.nodes), "an identity is missing")
 
     def dot(self, always: Iterable[int] = ()) -> str:
-        """The graph in Graphviz's language; at most SHOWN ids a label."""
+        """The graph in Graphviz's language, by levels: the rules' ids in brackets, at most SHOWN of them; bold edges lead to access children."""
 
         def ids(own: Iterable[int]) -> str:
             own = sorted(own)
             return ", ".join(map(str, own[:SHOWN])) + (", ..." if len(own) > SHOWN else "")
 
-        out = ["digraph rules {", "  rankdir = BT;", '  node [shape = box, fontname = "Helvetica"];']
-        for _, own in self.levels():
+        quoted = lambda text: '"' + text.replace("\\", "\\\\").replace('"', '\\"') + '"'
+        out = ["digraph rulesieve {"]
+        for level, own in self.levels():
+            out.append(f"  // level {level}")
             for n in own:
                 node = self.nodes[n]
-                label = leaf_text(node.leaf).replace("\\", "\\\\").replace('"', '\\"') if node.leaf else f"{node.kind.upper()}\\nlevel {node.level}"
-                subs = f', xlabel = "subscriptions: {ids(node.subs)}", penwidth = 2' if node.subs else ""
-                out.append(f'  n{n} [label = "{label}"{", style = rounded" if node.leaf else ""}{subs}];')
-            out.append("  { rank = same; " + " ".join(f"n{n};" for n in own) + " }")
-        for n, node in self.nodes.items():
-            out += [f"  n{n} -> n{c}" + (' [penwidth = 2, label = "access"]' if c == node.access else "") + ";" for c in sorted(node.children)]
+                told = f" [{ids(node.subs)}]" if node.subs else ""
+                shape = "note" if node.leaf else "oval"
+                out.append(f"  n{n} [shape={shape} label={quoted((leaf_text(node.leaf) if node.leaf else node.kind) + told)}]")
+                out += [f"  n{n} -> n{c}" + (" [style=bold]" if c == node.access else "") for c in sorted(node.children)]
         if always := ids(always):
-            out.append(f'  always [shape = plaintext, label = "always: {always}"];')
+            out.append(f"  true [shape=note label={quoted(f'true [{always}]')}]")
         return "\n".join([*out, "}"]) + "\n"

@@ -9,7 +9,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import RuleError, Status
-from .plans.dag import Dag, Found
+from .plans.dag import INDEXED, Dag, Found
 from .plans.expr import Const, Expr, Leaf
 from .plans.normalize import MAX_NODES, normalize
 from .plans.parser import parse
@@ -49,7 +49,7 @@ class Registry:
         self.at: dict[int, int] = {}  # of those in the graph
         self.strings: set[str] = set()
         #: Counts changes; what matching made of the rules is kept with the count at which it was made.
-        self.version, self.made = 0, None
+        self.version, self.made, self.last_subset = 0, None, None
 
     def parse(self, text: str) -> Expr:
         return parse(self.schema, text, self.config.max_depth)
@@ -62,11 +62,25 @@ class Registry:
             raise RuleError(Status.INVALID_ARG, "an id is an integer from 0 to 2^64 - 1")
         if sub in self.rules:
             raise RuleError(Status.DUPLICATE_ID, "subscription id already present")
+        if not isinstance(normal, Const):
+            try:
+                self.at[sub] = self.dag.add(normal, sub)
+            except BaseException:
+                self._made_again()
+                raise
         self.rules[sub], self.given[sub] = normal, given
         self.version += 1
         self.strings.update(_strings(normal))
-        if not isinstance(normal, Const):
-            self.at[sub] = self.dag.add(normal, sub)
+
+    def _made_again(self) -> None:
+        """Undoes a change that failed half-way: the graph of the rules that are registered, made anew."""
+        c = self.config
+        dag, at = Dag(c.reorganize, c.self_adjust, c.on_demand, c.indexed), {}
+        for own, rule in self.rules.items():
+            if not isinstance(rule, Const):
+                at[own] = dag.add(rule, own)
+        self.dag, self.at = dag, at
+        self.version += 1
 
     def insert_many(self, rows: Iterable[tuple[int, str]]) -> list[tuple[int, str, RuleError]]:
         """Inserts what can be; the rows that can't, with their errors."""
@@ -103,10 +117,14 @@ class Registry:
         return sorted(s for s, r in self.rules.items() if isinstance(r, Const) and r.value)
 
     def subset(self, ids: Iterable[int]) -> Registry:
-        """A registry of those of the ids that are present: matching it is matching with an allow list."""
+        """A registry of those of the ids that are present, not to be changed: matching it is matching with an allow list.  The latest is kept."""
+        wanted = frozenset(ids) & self.rules.keys()
+        if self.last_subset is not None and self.last_subset[:2] == (self.version, wanted):
+            return self.last_subset[2]
         out = Registry(self.schema, self.config)
-        for sub in sorted(set(ids) & self.rules.keys()):
+        for sub in sorted(wanted):
             out.insert(sub, self.given[sub])
+        self.last_subset = (self.version, wanted, out)
         return out
 
     def search(self, event: dict[str, object]) -> Found:
@@ -128,13 +146,15 @@ class Registry:
         return self.dag.dot(self.always)
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
-        """The graph as tables: subs, nodes, edges, leaves."""
+        """The graph as tables: subs, nodes, edges, leaves (with how a search finds them), rules (with those that match always)."""
         d = self.dag
         subs = [(Decimal(s), n) for s, n in sorted(self.at.items())]
-        nodes = [(n, x.kind, x.level, len(x.children)) for n, x in d.nodes.items()]
+        nodes = [(n, x.kind, x.level, len(x.children), repr(x.leaf) if x.leaf else f"{x.kind} {sorted(x.members)}") for n, x in d.nodes.items()]
         edges = [(n, c, c == x.access) for n, x in d.nodes.items() for c in x.children]
-        leaves = [(n, x.attr, x.kind) for x, n in d.leaves.items()]
+        leaves = [(n, x.attr, x.kind, "indexed" if d.indexed and x.kind in INDEXED else "scanned") for x, n in d.leaves.items()]
+        rules = [(Decimal(s), isinstance(r, Const) and r.value, isinstance(r, Const)) for s, r in sorted(self.rules.items())]
         return {
-            "subs": spark.createDataFrame(subs, "sub_id decimal(20,0), node bigint"), "nodes": spark.createDataFrame(nodes, "node bigint, kind string, level int, n_children int"),
-            "edges": spark.createDataFrame(edges, "parent bigint, child bigint, is_access boolean"), "leaves": spark.createDataFrame(leaves, "node bigint, attr string, kind string"),
+            "subs": spark.createDataFrame(subs, "sub_id decimal(20,0), node bigint"), "nodes": spark.createDataFrame(nodes, "node bigint, kind string, level int, n_children int, identity string"),
+            "edges": spark.createDataFrame(edges, "parent bigint, child bigint, is_access boolean"), "leaves": spark.createDataFrame(leaves, "node bigint, attr string, kind string, route string"),
+            "rules": spark.createDataFrame(rules, "sub_id decimal(20,0), always boolean, constant boolean"),
         }

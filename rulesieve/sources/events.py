@@ -192,13 +192,18 @@ def rejected(df: DataFrame) -> DataFrame:
     return df.where("error IS NOT NULL").select("event_id", "payload", "error")
 
 
-def from_rows(spark, schema: Schema, rows: list[dict[str, Any]]) -> DataFrame:
-    """Events from Python values, checked one by one; event_id counts from 0."""
-    out = []
-    for i, row in enumerate(rows):
+def from_rows(spark, schema: Schema, rows: list[dict[str | int, Any]]) -> DataFrame:
+    """Events from Python values by attribute name or number (its place in the schema), checked one by one; event_id counts from 0."""
+    out, names = [], list(schema.types)
+    for i, given in enumerate(rows):
         own: list[Any] = [i]
-        for name in row:
+        row = {}
+        for key, value in given.items():
+            if isinstance(key, int) and not 0 <= key < len(names):
+                raise RuleError(Status.UNKNOWN_ATTR, f"unknown attribute {key}")
+            name = names[key] if isinstance(key, int) else key
             schema.type_of(name)
+            row[name] = value
         for name, kind in schema:
             value = row.get(name)
             if isinstance(value, float) and math.isnan(value) and kind is AttrType.FLOAT:

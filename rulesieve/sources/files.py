@@ -55,6 +55,7 @@ def read_events(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
 
 
 def stream_events(spark: SparkSession, path: str, schema: Schema) -> DataFrame:
-    """New files' lines as a stream; event_id is random, and fixed for as long as a micro-batch is held."""
-    lines = spark.readStream.format("text").load(path).where(F.trim("value") != "")
-    return decoded(lines.select(F.expr("xxhash64(uuid())").alias("event_id"), F.col("value").alias("payload")), schema)
+    """New files' lines as a stream.  event_id is a hash of the file's name and the line's number, so a micro-batch that is run
+    again has the same ids; for that a file is read as one text and should have some MB at most."""
+    files = spark.readStream.format("text").option("wholetext", True).load(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "payload"))
+    return decoded(files.where(F.trim("payload") != "").select(F.xxhash64("file", "line").alias("event_id"), "payload"), schema)

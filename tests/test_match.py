@@ -113,3 +113,54 @@ def test_plans(case, spark, tmp_path):
     plan = match(df, one, "compiled")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "il0" not in plan
     assert "Exchange" not in match(df, own, "indexed")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_failed_insert_leaves_nothing(monkeypatch):
+    own = Registry(Schema([("a", "int"), ("b", "bool"), ("c", "bool")]))
+    own.insert(1, "a > 1 and b")
+    before = own.dag.search({"a": 2, "b": True}).ids
+
+    calls, whole = [], type(own.dag)._adjust
+
+    def broken(self, node):
+        calls.append(node)
+        if len(calls) == 1:
+            raise RuntimeError("half-way")
+        whole(self, node)
+
+    monkeypatch.setattr(type(own.dag), "_adjust", broken)
+    with pytest.raises(RuntimeError):
+        own.insert(2, "(a > 1 or c) and (b or c)")
+    monkeypatch.undo()
+    own.validate()
+    assert 2 not in own and len(own) == 1 and own.dag.search({"a": 2, "b": True}).ids == before
+    own.insert(2, "(a > 1 or c) and (b or c)")
+    own.validate()
+    assert own.search({"a": 2, "b": True}).ids == [1, 2]
+
+
+def test_events_by_attribute_number(spark):
+    schema = Schema([("a", "int"), ("b", "string_list")])
+    rows = from_rows(spark, schema, [{0: 5, "b": ["x"]}, {1: ["y", "y"]}, {"a": None}]).collect()
+    assert [(r["a"], r["b"]) for r in rows] == [(5, ["x"]), (None, ["y"]), (None, None)]
+    for bad in ({2: 1}, {-1: 1}, {"z": 1}):
+        with pytest.raises(RuleError):
+            from_rows(spark, schema, [bad])
+
+
+def test_several_blocks_and_a_kept_subset(spark, monkeypatch):
+    from rulesieve.operators import match as m
+
+    own = Registry(Schema([("a", "int")]))
+    for i in range(25):
+        own.insert(i, f"a > {i}")
+    events = spark.createDataFrame([(i, i) for i in range(30)], "event_id bigint, a bigint")
+    want = sorted((e, s) for e in range(30) for s in range(25) if e > s)
+    monkeypatch.setattr(m, "BLOCK", 10)
+    got = m.match(events, own, "indexed")
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 3
+    assert sorted(map(tuple, got.collect())) == want
+    assert {r["event_id"]: r["sub_ids"] for r in m.match_lists(events, own, "indexed").collect()} == {e: [s for x, s in want if x == e] for e in range(30)}
+    assert own.subset([1, 2]) is own.subset([2, 1, 99])
+    own.delete(3)
+    assert sorted(own.subset([1, 3]).rules) == [1]
