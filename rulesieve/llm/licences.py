@@ -188,8 +188,19 @@ def anchors(least: float = LEAST) -> list[str]:
     return sorted(chosen)
 
 
+def _choice(terms: list[str]) -> str:
+    """A pattern for any of the terms, begun alike ones only once, so that a place is tried a letter at a time."""
+    if terms == [""]:
+        return ""
+    parts = [re.escape(first) + _choice(sorted(t[1:] for t in terms if t[:1] == first)) for first in sorted({t[0] for t in terms if t})]
+    own = parts[0] if len(parts) == 1 and "" not in terms else "(?:" + "|".join(parts) + ")"
+    return own + ("?" if "" in terms else "")
+
+
 def _anchored(terms: list[str]) -> str:
-    return r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t).replace(re.escape(_TAGGED), _TAG) for t in terms) + ")(?![a-z0-9])"
+    """A pattern that text with one of the terms has; an SPDX line counts whatever it names."""
+    tag = _TAGGED[:-1]
+    return rf"(?i)(?<![a-z0-9])(?:{tag}:|{_choice(sorted(t for t in terms if not t.startswith(tag)))}(?![a-z0-9]))"
 
 
 def passages(text: Column) -> Column:
@@ -218,17 +229,25 @@ def pieces(text: Column, anchored: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(passages(text), F.array(text), comments, _once(held, runs)), lambda p: F.rlike(p, anchored)))
 
 
-def _cosines(counts: DataFrame, templates: dict[str, list[str]]) -> DataFrame:
-    """doc_id, text_key, licence and c of the pieces that reach LEAST; counts: doc_id, text_key, passage, term, tf."""
-    spark = counts.sparkSession
-    weight, idf, unknown = weights(templates)
-    idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))  # a fixed table
-    table = F.broadcast(spark.createDataFrame(weight, "licence string, statement int, term string, weight double"))  # a fixed table
-    weighted = counts.join(idfs, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unknown)))
+def _cosines(terms: DataFrame) -> DataFrame:
+    """doc_id, text_key, licence and c of the pieces that reach LEAST; terms: doc_id, text_key, passage, negated, term.
+
+    The two sets of templates are gone through at once, each with its own idf; a denial has no statement.
+    """
+    spark, sets = terms.sparkSession, (weights(TEMPLATES), weights(long_templates()))
+    idf = sorted({t for _, idf, _ in sets for t in idf})
+    idfs = F.broadcast(spark.createDataFrame([(t, *(idf.get(t, unknown) for _, idf, unknown in sets)) for t in idf], "term string, i0 double, i1 double"))  # a fixed table
+    table = F.broadcast(spark.createDataFrame([(k, *row) for k, (rows, _, _) in enumerate(sets) for row in rows], "set int, licence string, statement int, term string, weight double"))  # a fixed table
     key = ["doc_id", "text_key", "passage"]
-    length = weighted.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.collect_list(F.struct("term", "w")).alias("terms"))
-    near = length.select(*key, "length", F.explode("terms").alias("t")).select(*key, "length", F.col("t.term").alias("term"), F.col("t.w").alias("w")).join(table, "term")
-    cosine = near.groupBy(*key, "licence", "statement").agg((F.sum(F.col("w") * F.col("weight")) / F.first("length")).alias("c"))
+    counts = terms.groupBy(*key, "term").agg(F.count("*").alias("tf"), F.max("negated").alias("negated"))
+    weighted = counts.join(idfs, "term", "left")
+    for k, (_, _, unknown) in enumerate(sets):
+        weighted = weighted.withColumn(f"w{k}", F.col("tf") * F.coalesce(f"i{k}", F.lit(unknown)))
+    lengths = [F.sqrt(F.sum(F.col(f"w{k}") * F.col(f"w{k}"))).alias(f"l{k}") for k in (0, 1)]
+    length = weighted.groupBy(*key).agg(*lengths, F.max("negated").alias("negated"), F.collect_list(F.struct("term", "w0", "w1")).alias("terms"))
+    near = length.select(*key, "l0", "l1", "negated", F.explode("terms").alias("t")).select(*key, "l0", "l1", "negated", "t.term", "t.w0", "t.w1").join(table, "term")
+    of = lambda c: F.when(F.col("set") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1"))
+    cosine = near.where("set = 1 OR NOT negated").groupBy(*key, "set", "licence", "statement").agg((F.sum(of("w") * F.col("weight")) / F.first(of("l"))).alias("c"))
     return cosine.where(F.col("c") >= LEAST).select("doc_id", "text_key", "licence", "c")
 
 
@@ -239,8 +258,7 @@ def own_licences(rows: DataFrame) -> DataFrame:
     found = found.withColumn("negated", F.rlike("p", F.lit(NEGATED)))
     # a term that a hyphen or dot joins to an anchor makes another term, so what the pattern lets through is a superset
     terms = found.select("doc_id", "text_key", "passage", "negated", F.explode(F.regexp_extract_all(F.regexp_replace(F.translate("p", _UPPER, _LOWER), _TAG, _TAGGED), F.lit(_TERM), F.lit(0))).alias("term")).where(~F.col("term").isin(*STOP))
-    counts = terms.groupBy("doc_id", "text_key", "passage", "negated", "term").agg(F.count("*").alias("tf"))
-    cosine = _cosines(counts.where(~F.col("negated")), TEMPLATES).unionAll(_cosines(counts, long_templates()))
+    cosine = _cosines(terms)
     best = cosine.groupBy("doc_id", "text_key").agg(F.max(F.round("c", 6)).alias("own_score"), F.min(F.struct((-F.round("c", 6)).alias("c"), "licence")).alias("b"))
     return best.select("doc_id", "text_key", F.col("b.licence").alias("own_licence"), "own_score")
 
