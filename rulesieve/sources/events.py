@@ -5,17 +5,15 @@ from __future__ import annotations
 import json
 import math
 import re
-from collections.abc import Iterator
 from typing import Any
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import RuleError, Status
-from ..functions.columns import named
+from ..functions.columns import balanced, named
 from ..plans.expr import INT_MAX, INT_MIN
 from ..schema import AttrType, Schema
 from ..workers import importable
@@ -23,6 +21,14 @@ from ..workers import importable
 _WIDENED = {AttrType.INT: (T.ByteType, T.ShortType, T.IntegerType, T.LongType), AttrType.FLOAT: (T.FloatType, T.DoubleType), AttrType.STRING: (T.StringType,), AttrType.BOOL: (T.BooleanType,)}
 _ELEMENT = {AttrType.INT_LIST: AttrType.INT, AttrType.STRING_LIST: AttrType.STRING}
 _INT = re.compile(r"[+-]?[0-9]+")
+#: Elements that a list in JSON may have.
+LIST_MAX = 256
+_VARIANT = {AttrType.BOOL: "boolean", AttrType.INT: "bigint", AttrType.FLOAT: "double", AttrType.STRING: "string", AttrType.INT_LIST: "array<bigint>", AttrType.STRING_LIST: "array<string>"}
+_OWN = "__rs"
+#: What Catalyst decodes: one object without inner braces, and items of a line, without white space but blanks.
+_FLAT = r"^[ \t\r\n]*+\{[^{}]*+\}[ \t\r\n]*+$"
+_CHAR = r"[^;'\x22\[\]\x00-\x1f\x7f-\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ITEM = rf" *+[A-Za-z_][A-Za-z0-9_-]*+ *+= *+(?:\x22[^\x22]*+\x22 *+|'[^']*+' *+|\[(?:{_CHAR}|\x22[^\x22\[\],;]*+\x22|'[^'\[\],;]*+')*+\] *+|{_CHAR}++)"
 _FLOAT = re.compile(r"[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|inf|infinity|nan)", re.I)
 
 
@@ -62,10 +68,10 @@ def _listed(values: list) -> list:
     return sorted(set(values), key=lambda v: v.encode("utf-8", "surrogatepass") if isinstance(v, str) else v)
 
 
-def _from_json(name: str, kind: AttrType, value: Any) -> Any:
+def _from_json(name: str, kind: AttrType, value: Any, most: float = math.inf) -> Any:
     if kind in _ELEMENT:
         element = int if kind is AttrType.INT_LIST else str
-        if not isinstance(value, list) or not all(type(v) is element for v in value) or element is int and not all(INT_MIN <= v <= INT_MAX for v in value):
+        if not isinstance(value, list) or len(value) > most or not all(type(v) is element for v in value) or element is int and not all(INT_MIN <= v <= INT_MAX for v in value):
             raise _bad(name)
         return _listed(value)
     if kind is AttrType.FLOAT and type(value) in (int, float):
@@ -81,7 +87,7 @@ def _no_constant(name: str) -> Any:
 
 
 def decode_json(schema: Schema, text: str) -> dict[str, Any]:
-    """One flat object: scalars and arrays of one kind; null is undefined, of a repeated name the last value counts."""
+    """One flat object: scalars and arrays of one kind and LIST_MAX elements at most; null is undefined, of a repeated name the last value counts."""
     try:
         own = json.loads(text, parse_constant=_no_constant)
     except ValueError as e:
@@ -92,7 +98,7 @@ def decode_json(schema: Schema, text: str) -> dict[str, Any]:
     for name, value in own.items():
         if name not in schema.types:
             raise _bad(name)
-        out[name] = None if value is None else _from_json(name, schema.types[name], value)
+        out[name] = None if value is None else _from_json(name, schema.types[name], value, LIST_MAX)
     return out
 
 
@@ -159,29 +165,91 @@ def event_from_pairs(schema: Schema, *args: str) -> dict[str, Any]:
     return {n: _from_text(n, schema.type_of(n), v) for n, v in zip(args[::2], args[1::2], strict=True)}
 
 
+def _json_columns(schema: Schema) -> tuple[str, dict[str, str]]:
+    """SQL of whether the variant in V is a good event, and of each attribute's value."""
+    good, values = ["V IS NOT NULL", f"size(array_except(KEYS, array({', '.join(map(repr, schema.types))}))) = 0"], {}
+    for name, kind in schema:
+        path = f"'$[\"{name}\"]'"
+        told = f"coalesce(schema_of_variant(try_variant_get(V, {path}, 'variant')), 'VOID')"
+        value = f"try_variant_get(V, {path}, '{_VARIANT[kind]}')"
+        if kind.is_list:
+            element = "BIGINT" if kind is AttrType.INT_LIST else "STRING"
+            good.append(f"CASE {told} WHEN 'VOID' THEN true WHEN 'ARRAY<{element}>' THEN NOT exists({value}, x -> x IS NULL) AND size({value}) <= {LIST_MAX} WHEN 'ARRAY<VOID>' THEN size({value}) = 0 ELSE false END")
+            value = f"array_sort(array_distinct({value}))"
+        elif kind is AttrType.FLOAT:
+            good.append(f"rlike({told}, '^(?:VOID|BIGINT|DOUBLE|DECIMAL.*)$')")
+        else:
+            good.append(f"{told} IN ('VOID', '{_VARIANT[kind].upper()}')")
+        values[name] = value
+    return balanced([f"({g})" for g in good], "AND"), values
+
+
+def _line_columns(schema: Schema) -> tuple[str, dict[str, str]]:
+    """The same of a line's items, whose names are in NAMES and texts in TEXTS."""
+    good, values = ["NAMES IS NOT NULL", "size(array_distinct(NAMES)) = size(NAMES)", f"size(array_except(NAMES, array({', '.join(map(repr, schema.types))}))) = 0"], {}
+    number, whole = r"^[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?$", "^[+-]?[0-9]+$"
+    plain = lambda x: f"if(rlike({x}, '^[\\\\x22\\\\x27]'), substring({x}, 2, length({x}) - 2), {x})"
+    for name, kind in schema:
+        x = f"get(TEXTS, cast(array_position(NAMES, '{name}') - 1 AS int))"
+        inner = f"trim(substring({x}, 2, length({x}) - 2))"
+        items = f"transform(if({inner} = '', cast(array() AS array<string>), split({inner}, ',')), y -> trim(y))"
+        if kind is AttrType.BOOL:
+            test, value = f"{x} IN ('true', 'false')", f"{x} = 'true'"
+        elif kind is AttrType.INT:
+            test, value = f"rlike({x}, '{whole}') AND try_cast({x} AS bigint) IS NOT NULL", f"try_cast({x} AS bigint)"
+        elif kind is AttrType.FLOAT:
+            test, value = f"rlike({x}, '{number}')", f"try_cast({x} AS double)"
+        elif kind is AttrType.STRING:
+            test, value = f"{x} <> ''", plain(x)
+        elif kind is AttrType.INT_LIST:
+            test, value = f"startswith({x}, '[') AND forall({items}, y -> rlike(y, '{whole}') AND try_cast(y AS bigint) IS NOT NULL)", f"array_sort(array_distinct(transform({items}, y -> try_cast(y AS bigint))))"
+        else:
+            test = f"startswith({x}, '[') AND forall({items}, y -> rlike(y, '^(?:\\\\x22[^\\\\x22]*\\\\x22|\\\\x27[^\\\\x27]*\\\\x27|[^\\\\x22\\\\x27].*)$'))"
+            value = f"array_sort(array_distinct(transform({items}, y -> {plain('y')})))"
+        good.append(f"{x} IS NULL OR ({test})")
+        values[name] = value
+    return balanced([f"({g})" for g in good], "AND"), values
+
+
 def decoded(df: DataFrame, schema: Schema, payload: str = "payload", event_id: str = "event_id") -> DataFrame:
-    """event_id, payload, error (null if it decodes) and the attributes, from a column of texts; works on streams too."""
-    rows = df.select(named(event_id).alias("event_id"), named(payload).cast("string").alias("payload"))
-    out = T.StructType([rows.schema["event_id"], T.StructField("payload", T.StringType()), T.StructField("error", T.StringType()), *schema.struct().fields])
-    arrow = to_arrow_schema(out)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            errors: list[str | None] = []
-            values: dict[str, list] = {n: [] for n, _ in schema}
-            for text in batch.column(1).to_pylist():
+    """event_id, payload, error (null if it decodes) and the attributes, from a column of texts; works on streams too.
+
+    Usual payloads are decoded by Catalyst: flat JSON objects without braces in their strings, and lines of items with plain
+    or quoted values.  What is in another form, or wrong, goes through decode(), which also says what is wrong.
+    """
+    out = T.StructType([T.StructField("error", T.StringType()), *schema.struct().fields])
+
+    def slowly(texts: pd.Series) -> pd.DataFrame:
+        errors: list[str | None] = []
+        values: dict[str, list] = {n: [] for n, _ in schema}
+        for text in texts:
+            own, error = {}, None
+            if text is not None:
                 try:
-                    own, error = decode(schema, text or ""), None
+                    own = decode(schema, text)
                 except RuleError as e:
-                    own, error = {}, e.describe()
-                errors.append(error)
-                for n in values:
-                    values[n].append(own.get(n))
-            columns = [batch.column(0), batch.column(1), pa.array(errors, pa.string()), *[pa.array(v, arrow.field(n).type) for n, v in values.items()]]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                    error = e.describe()
+            errors.append(error)
+            for n, held in values.items():
+                held.append(own.get(n))
+        return pd.DataFrame({"error": pd.Series(errors, dtype=object)} | {n: pd.Series(v, dtype=object) for n, v in values.items()})
 
     importable(df.sparkSession)
-    return rows.mapInArrow(work, out)
+    own = f"{_OWN}_"
+    if not len(schema):
+        return df.select(named(event_id).alias("event_id"), named(payload).cast("string").alias("payload"), F.pandas_udf(slowly, out)(F.coalesce(named(payload).cast("string"), F.lit("")))["error"].alias("error"))
+    rows = df.select(named(event_id).alias("event_id"), named(payload).cast("string").alias("payload"))
+    rows = rows.withColumn(f"{own}json", F.rlike("payload", F.lit(_FLAT))).withColumn(f"{own}line", F.rlike("payload", F.lit(f"^{_ITEM}(?:;{_ITEM})*+;?+$")))
+    rows = rows.withColumns({f"{own}v": F.expr(f"if({own}json, try_parse_json(payload), null)"), f"{own}keys": F.expr(f"if({own}json, json_object_keys(payload), null)"), f"{own}items": F.when(F.col(f"{own}line"), F.regexp_extract_all("payload", F.lit(_ITEM), F.lit(0)))})
+    rows = rows.withColumns({f"{own}names": F.transform(f"{own}items", lambda x: F.regexp_extract(x, "^ *+([^= ]+)", 1)), f"{own}texts": F.transform(f"{own}items", lambda x: F.trim(F.regexp_replace(x, "^[^=]*=", "")))})
+    placed = lambda sql: re.sub(r"\b(V|KEYS|NAMES|TEXTS)\b(?!')", lambda m: own + m[0].lower(), sql)
+    (json_good, json_values), (line_good, line_values) = _json_columns(schema), _line_columns(schema)
+    rows = rows.withColumns({f"{own}json": F.expr(f"coalesce({placed(json_good)}, false)"), f"{own}line": F.expr(f"coalesce({placed(line_good)}, false)")})
+    # said to be nondeterministic, so that a filter on the error isn't pushed below all this, which would be done twice then
+    slow = F.pandas_udf(slowly, out).asNondeterministic()(F.when(~F.col(f"{own}json") & ~F.col(f"{own}line"), F.coalesce("payload", F.lit(""))))
+    rows = rows.withColumn(f"{own}slow", slow)
+    told = [F.expr(f"CASE WHEN {own}json THEN {placed(json_values[n])} WHEN {own}line THEN {placed(line_values[n])} ELSE {own}slow.`{n}` END").cast(k.spark).alias(n) for n, k in schema]
+    return rows.select("event_id", "payload", F.col(f"{own}slow.error").alias("error"), *told)
 
 
 def accepted(df: DataFrame) -> DataFrame:

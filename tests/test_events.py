@@ -1,6 +1,7 @@
 """Decoders, checked columns, files, delivery and streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -62,6 +63,43 @@ def test_decoded_table(spark):
     assert all(r["error"] for r in rejected(out).collect())
 
 
+def test_both_decoders_agree(spark):
+    """Catalyst's and the plain one on random payloads, right and wrong, in usual and unusual forms."""
+    rnd = random.Random(12)
+    values = ["1", "-3", "+4", "1.5", "1e3", "-0.0", "true", "false", "null", '"x"', '"1"', '"a{b"', '"\\u00e9"', "[]", "[1, 2, 1]", "[1,null]", "[null]", '["b","a"]', '["a",1]', "[1.0]", "{}", "9223372036854775807", "9223372036854775808", "1e400", "01", "'q'", "x y", "['a', \"b\"]", "[a,b]", "[ ]", "nan", "inf", "", '"a;b"', '"a"b', '[a"b"]', '["a"b]', "é", "\u00a0x", ".5", "5.", "tRue", '["a,b"]', "[" + ",".join(["7"] * 256) + "]", "[" + ",".join(["7"] * 257) + "]"]
+    names = [n for n, _ in S] * 4 + ["nope", "Age", "a b", ""]
+    payloads = []
+    for _ in range(2500):
+        pairs = [(rnd.choice(names), rnd.choice(values)) for _ in range(rnd.choice([0, 1, 1, 1, 2, 3]))]
+        body = rnd.choice([", ", ","]).join(f'"{n}"{rnd.choice([":", " : "])}{v}' for n, v in pairs)
+        payloads.append(rnd.choice(["", "", " \n"]) + "{" + body + "}" + rnd.choice(["", "", "", " ", " x", "{}", ","]))
+        payloads.append(rnd.choice(["", "", " "]) + rnd.choice([";", "; ", " ;"]).join(f"{n}{rnd.choice(['=', ' = '])}{v}" for n, v in pairs) + rnd.choice(["", "", ";", ";;", "\t"]))
+    got = {r["event_id"]: r for r in decoded(spark.createDataFrame(list(enumerate(payloads)), "event_id bigint, payload string"), S).collect()}
+    right = 0
+    for i, text in enumerate(payloads):
+        try:
+            own, error = decode(S, text), None
+        except RuleError as e:
+            own, error = {}, e.describe()
+        right += error is None
+        assert got[i]["error"] == error and {n: got[i][n] for n, _ in S} == dict.fromkeys(n for n, _ in S) | own, text
+    assert 500 < right < 4500
+
+
+def test_usual_payloads_need_no_python(spark, monkeypatch):
+    from rulesieve.sources import events as module
+
+    def never(*_):
+        raise AssertionError("decoded in Python")
+
+    rows = [(1, '{"age": 3, "price": 1.5, "deals": ["b", "a"], "segments": [], "flag": true, "country": "x"}'), (2, "age=3; price=1.5;deals=['b', a];segments=[2,1];flag=true;country='x;y'")]
+    monkeypatch.setattr(module, "decode", never)  # what a worker would get by pickle
+    out = decoded(spark.createDataFrame(rows, "event_id bigint, payload string"), S).drop("event_id", "payload", "error").collect()
+    assert tuple(out[0]) == (True, 3, 1.5, "x", [], ["a", "b"]) and tuple(out[1]) == (True, 3, 1.5, "x;y", [1, 2], ["a", "b"])
+    monkeypatch.undo()
+    assert decoded(spark.createDataFrame([(1, "{}"), (2, "a=1")], "event_id bigint, payload string"), Schema([])).where("error IS NULL").count() == 1
+
+
 def test_normal_columns(spark):
     df = spark.createDataFrame([(1, float("nan"), ["b", "a", "b"], 3), (2, None, None, None)], "event_id bigint, price double, deals array<string>, age int")
     first, second = normalized(df, S).orderBy("event_id").collect()
