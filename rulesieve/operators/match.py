@@ -6,8 +6,9 @@ compiled    Every rule as a Catalyst column, CHUNK rules a projection.  Right fo
 indexed     The shared graph as a numpy kernel over Arrow batches; work follows the values that occur.  The graph is broadcast
             in blocks of BLOCK rules.  match() goes through the events once a block, and a worker holds one block; lists and
             stats need all blocks at once, so there a worker holds the whole graph (about 1 KB a rule).  No shuffle.
-relational  The graph as tables: leaves found by equi-joins of the events' values or by compiled predicates, AND nodes by
-            counting true children, level by level, in one unrolled plan.  For rule sets too large to broadcast.
+relational  The graph as tables: leaves found by equi-joins of the events' values, thresholds by joins with bins of them, the
+            others by compiled predicates; AND nodes by counting true children, level by level, in one unrolled plan.  All in
+            the JVM; tables are broadcast up to a stated size, beyond it joins shuffle.
 """
 
 from __future__ import annotations

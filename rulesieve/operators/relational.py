@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import leaf_sql, named, true_ones
@@ -14,13 +14,19 @@ from ..registry import Registry
 from ..schema import AttrType
 
 CHUNK = 200
-#: Rows of a graph's table up to which it may be broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes of a graph's table up to which it may be broadcast; beyond, joins shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Thresholds in a bin of the range join.
+BIN = 256
 _EQUAL = ("var", "not_var", "eq", "in", "one_of")
+_RANGE = ("lt", "le", "gt", "ge")
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of the graph, to be broadcast if it is small enough."""
+    size = sum(8 + (4 * len(x) if isinstance(x, str) else 8) for r in rows for x in r)
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def _text(kind: AttrType, c: Column) -> Column:
@@ -44,12 +50,38 @@ def _pairs(attr: str, kind: AttrType) -> Column:
     return pair(named(attr))
 
 
+def _true_ranges(events: DataFrame, attrs: dict[str, list[tuple[object, str, int]]], kind: str) -> DataFrame:
+    """event_id, node of the true comparisons of numbers of one type; attrs: bounds, signs and nodes by attribute.
+
+    The bounds of an attribute's two directions are cut into bins in their order.  A value meets the bins that hold a true
+    comparison, which are whole but for one, and then their bounds: two equi-joins, whose rows are those that come out and a bin's.
+    """
+    bins, bounds = [], []
+    for attr, own in sorted(attrs.items()):
+        for below in (True, False):
+            ordered = sorted(x for x in own if (x[1] in ("lt", "le")) == below)
+            for i in range(0, len(ordered), BIN):
+                part = ordered[i : i + BIN]
+                bounds += [(len(bins), *x) for x in part]
+                bins.append((attr, len(bins), below, part[0][0], part[-1][0]))
+    value = lambda a: F.struct(F.lit(a).alias("attr"), named(a).alias("v"))
+    probe = events.select("event_id", F.explode(F.array(*[value(a) for a in sorted(attrs)])).alias("p")).select("event_id", "p.attr", "p.v").where("v IS NOT NULL")
+    met = probe.join(_table(events.sparkSession, bins, f"attr string, bin int, below boolean, low {kind}, high {kind}"), "attr").where("if(below, v <= high, v >= low)")
+    found = met.join(_table(events.sparkSession, bounds, f"bin int, bound {kind}, sign string, node bigint"), "bin")
+    return found.where("CASE sign WHEN 'lt' THEN v < bound WHEN 'le' THEN v <= bound WHEN 'gt' THEN v > bound ELSE v >= bound END").select("event_id", "node")
+
+
 def true_leaves(events: DataFrame, registry: Registry) -> DataFrame:
     """event_id, node of every leaf that is true."""
     spark = events.sparkSession
     by_value: dict[str, list[tuple[int, str | None, float | None]]] = defaultdict(list)
+    ranges: dict[AttrType, dict[str, list]] = defaultdict(lambda: defaultdict(list))
     scanned: list[tuple[int, Leaf]] = []
     for own, n in sorted(registry.dag.leaves.items(), key=lambda x: x[1]):
+        if own.kind in _RANGE:
+            of = registry.schema.types[own.attr]
+            ranges[of][own.attr].append((float(own.operand) if of is AttrType.FLOAT else own.operand, own.kind, n))
+            continue
         if own.kind not in _EQUAL:
             scanned.append((n, own))
             continue
@@ -61,13 +93,13 @@ def true_leaves(events: DataFrame, registry: Registry) -> DataFrame:
         if not attrs:
             continue
         rows = [(a, *row) for a in attrs for row in by_value[a]]
-        table = spark.createDataFrame(rows, "attr string, node bigint, t string, d double")
-        table = _sized(table.select("attr", "node", F.coalesce("t", _text(AttrType.FLOAT, F.col("d"))).alias("v")), len(rows))
+        table = _table(spark, rows, "attr string, node bigint, t string, d double").select("attr", "node", F.coalesce("t", _text(AttrType.FLOAT, F.col("d"))).alias("v"))
         # one scan: an event's values as rows (attribute, value)
         pairs = [_pairs(a, registry.schema.types[a]) for a in attrs]
         probe = events.select("event_id", F.explode(F.concat(*pairs) if lists else F.array(*pairs)).alias("p")).select("event_id", "p.attr", "p.v").where("v IS NOT NULL")
         found = probe.join(table, ["attr", "v"]).select("event_id", "node")
         parts.append(found.distinct() if lists else found)  # a list may hold several values of one leaf
+    parts += [_true_ranges(events, dict(own), "double" if of is AttrType.FLOAT else "bigint") for of, own in ranges.items()]
     for i in range(0, len(scanned), CHUNK):
         hits = true_ones([(leaf_sql(registry.schema, own), f"CAST('{n}' AS BIGINT)") for n, own in scanned[i : i + CHUNK]])
         parts.append(events.select("event_id", F.explode_outer(hits).alias("node")).where("node IS NOT NULL"))
@@ -85,19 +117,20 @@ def match(events: DataFrame, registry: Registry) -> DataFrame:
     """
     spark, dag = events.sparkSession, registry.dag
     nodes = true_leaves(events, registry)
-    for level, _ in dag.levels():
-        if level == 1:
-            continue
-        steps = []
-        for n, node in dag.nodes.items():
-            if node.level < level:
-                steps += [(n, p, len(dag.nodes[p].children) if dag.nodes[p].kind == "and" else 1) for p in node.parents if dag.nodes[p].level == level]
-                steps += [(n, n, 1)] if node.subs or any(dag.nodes[p].level > level for p in node.parents) else []
-        table = _sized(spark.createDataFrame(steps, "node bigint, target bigint, need int"), len(steps))
-        met = nodes.join(table, "node").groupBy("event_id", "target").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+    steps: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    top = max((x.level for x in dag.nodes.values()), default=1)
+    for n, node in dag.nodes.items():
+        above = {p: dag.nodes[p] for p in node.parents}
+        for p, parent in above.items():
+            steps[parent.level].append((n, p, len(parent.children) if parent.kind == "and" else 1))
+        last = top if node.subs else max(p.level for p in above.values()) - 1
+        for level in range(node.level + 1, last + 1):
+            steps[level].append((n, n, 1))
+    for level in sorted(steps):
+        met = nodes.join(_table(spark, steps[level], "node bigint, target bigint, need int"), "node").groupBy("event_id", "target").agg(F.count("*").alias("n"), F.first("need").alias("need"))
         nodes = met.where("n >= need").select("event_id", F.col("target").alias("node"))
     subs = [(n, Decimal(s)) for s, n in registry.at.items()]
-    found = nodes.join(_sized(spark.createDataFrame(subs, "node bigint, sub_id decimal(20,0)"), len(subs)), "node").select("event_id", "sub_id")
+    found = nodes.join(_table(spark, subs, "node bigint, sub_id decimal(20,0)"), "node").select("event_id", "sub_id")
     if always := [Decimal(s) for s in registry.always]:
         ids = F.array(*[F.lit(s).cast("decimal(20,0)") for s in always])
         found = found.unionByName(events.select("event_id", F.explode(ids).alias("sub_id")))

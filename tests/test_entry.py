@@ -22,6 +22,11 @@ def test_the_rest_stands_alone(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(x.startswith('op') for x in q); print(len(e.oracle_sql()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+    shutil.copytree(ROOT / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    found = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only"], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert found.returncode == 0, found.stdout
+    done = subprocess.run([sys.executable, "-m", "pytest", "tests/test_parser.py", "tests/test_dag.py", "tests/test_console.py", "-q"], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stdout
 
 
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the test tables")

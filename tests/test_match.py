@@ -164,3 +164,18 @@ def test_several_blocks_and_a_kept_subset(spark, monkeypatch):
     assert own.subset([1, 2]) is own.subset([2, 1, 99])
     own.delete(3)
     assert sorted(own.subset([1, 3]).rules) == [1]
+
+
+def test_many_thresholds_are_joined_not_scanned(spark):
+    own, rnd = Registry(Schema([("a", "int"), ("f", "float")])), random.Random(3)
+    signs = ["<", "<=", ">", ">="]
+    for i in range(700):
+        own.insert(i, f"{rnd.choice('af')} {rnd.choice(signs)} {rnd.randrange(-50, 50)}")
+    big = 2**53
+    own.insert(9000, f"a > {big}")
+    own.insert(9001, f"a >= {big + 1} and f < 0.5")
+    rows = [(i, rnd.choice([None, rnd.randrange(-60, 60)]), rnd.choice([None, float("nan"), rnd.uniform(-60, 60), float("inf"), float(rnd.randrange(-50, 50))])) for i in range(60)] + [(100, big + 1, 0.0), (101, big, 0.0)]
+    events = spark.createDataFrame(rows, "event_id bigint, a bigint, f double")
+    got = match(events, own, "relational")
+    assert got._jdf.queryExecution().analyzed().toString().count("Generate explode") <= 3  # one pass a type, not one for each few hundred
+    assert sorted((r[0], int(r[1])) for r in got.collect()) == sorted(map(tuple, match(events, own, "indexed").collect())) == sorted(map(tuple, match(events, own, "compiled").collect()))
