@@ -25,6 +25,10 @@ MIRROR = {"lt": "gt", "le": "ge", "gt": "lt", "ge": "le", "eq": "eq", "ne": "ne"
 class Expr:
     """Any node; depth counts connectives, 0 for leaves and constants."""
 
+    def __getstate__(self) -> dict:
+        """Without what normalising remembers."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("_key", "_normal", "_negated")}
+
     @property
     def depth(self) -> int:
         return 0

@@ -48,6 +48,7 @@ class Registry:
         self.given: dict[int, Expr] = {}  # as they came; shorter where xor is used
         self.at: dict[int, int] = {}  # of those in the graph
         self.strings: set[str] = set()
+        self.unread: list[Expr] = []  # rules whose strings aren't counted yet
         #: Counts changes; what matching made of the rules is kept with the count at which it was made.
         self.version, self.made, self.last_subset = 0, None, None
 
@@ -70,7 +71,7 @@ class Registry:
                 raise
         self.rules[sub], self.given[sub] = normal, given
         self.version += 1
-        self.strings.update(_strings(normal))
+        self.unread.append(normal)
 
     def _made_again(self) -> None:
         """Undoes a change that failed half-way: the graph of the rules that are registered, made anew."""
@@ -140,6 +141,9 @@ class Registry:
             raise RuleError(Status.CORRUPT, "subscriptions and nodes don't agree")
 
     def stats(self) -> dict[str, int]:
+        for rule in self.unread:
+            self.strings.update(_strings(rule))
+        self.unread.clear()
         return {"subscriptions": len(self.rules)} | self.dag.stats() | {"strings": len(self.strings)}
 
     def dot(self) -> str:
