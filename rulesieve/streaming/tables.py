@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame
 
 
 def shared_folder(spark) -> str:
-    """A fresh folder name below the session's checkpoint folder; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir(), "rulesieve-streams").as_uri()
+    """A fresh folder name below the session's checkpoint folder; where none is set, a temporary one if all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = Path(tempfile.gettempdir(), "rulesieve-streams").as_uri()
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.errors import PySparkException
 
+from rulesieve import filebench
 from rulesieve.errors import RuleError, Status
 from rulesieve.operators.deliver import deliver
 from rulesieve.operators.match import match
@@ -126,6 +127,24 @@ def test_files(spark, tmp_path):
     assert sorted(int(r["sub_id"]) for r in match(accepted(out), own).collect()) == [1, 2, (1 << 64) - 1] and rejected(out).count() == 1
 
 
+def test_file_benchmark(spark, tmp_path):
+    (tmp_path / "defs").write_text("price\tfloat\ncountry\tstring\n")
+    (tmp_path / "rules").write_text("1\tprice > 10\n2\tcountry = 'US' or price < 1\n3\tprice >\n")
+    (tmp_path / "events").write_text("price=12;country=US\nprice=0.5\nprice=x\n")
+    got = filebench.run(spark, *(str(tmp_path / x) for x in ("defs", "rules", "events")), runs=2)
+    assert {k: got[k] for k in ("attributes", "rules", "rules_rejected", "events", "events_rejected", "matches", "leaves")} == {"attributes": 2, "rules": 2, "rules_rejected": 1, "events": 2, "events_rejected": 1, "matches": 3, "leaves": 3}
+
+
+def test_a_stream_of_files_has_the_same_ids_again(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text("age=1\nage=2\r\n\nage=1\n")
+    seen = []
+    for k in range(2):
+        stream = files.stream_events(spark, str(tmp_path / "in"), S).writeStream.foreachBatch(lambda b, _: seen.append(sorted((r["event_id"], r["age"]) for r in b.collect())))
+        stream.option("checkpointLocation", str(tmp_path / f"c{k}")).trigger(availableNow=True).start().awaitTermination()
+    assert seen[0] == seen[1] and sorted(a for _, a in seen[0]) == [1, 1, 2] and len({i for i, _ in seen[0]}) == 3
+
+
 def test_saved_rules(spark, tmp_path):
     own = Registry(S)
     for sub, rule in ((1, "age > 3 xor not (price between 1 and 2)"), ((1 << 64) - 1, "deals all of ['a\\n', \"'\"]"), (5, "true")):
