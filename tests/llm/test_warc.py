@@ -3,6 +3,8 @@ import hashlib
 import random
 import zlib
 
+import pytest
+
 from rulesieve.llm import warc
 from rulesieve.llm.common import opened
 from rulesieve.llm.common import shared_dir
@@ -67,7 +69,7 @@ def _expected(rows):
 
 def test_query(spark):
     big, other = "é<p>" * 400, "b" * 1000
-    rows = [(1, "http://x/\r\n y", big), (2, None, big), (9, "u", big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (None, "u", big), (7, "u", other), (7, "u", other), (8, "u", "b" * 999), (10, "u", "b" * 999), (11, "u", "x\r\n\r\nWARC/1.1\r\n" * 100)]
+    rows = [(1, "http://x/\r\n y", big), (2, None, big), (9, "u", big), (3, "u", "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (None, "u", big), (7, "u", other), (7, "u", other), (8, "u", "b" * 999), (10, "u", "b" * 999), (11, "u", "x\r\n\r\nWARC/1.1\r\n" * 100), (12, "u", "é long " * 700_000), (13, "v", "é long " * 700_000)]
     rows = [(*r, "d", 1, 2) for r in rows]
     got = warc.query(spark.createDataFrame(rows, PAGES)).collect()
     assert sorted(map(tuple, got), key=str) == _expected(rows)
@@ -87,7 +89,7 @@ def test_gaps_are_logged(spark, tmp_path):
         f.write(bytes(data))
     got = warc.read(manifest.where(f"path = '{path}'"), folder)
     kept, gaps = got.where("gap IS NULL").count(), got.where("gap IS NOT NULL").collect()
-    assert gaps and gaps[0]["length"] > 0 and 0 < kept < manifest.where(f"path = '{path}'").first()["n_records"]
+    assert gaps and gaps[0]["length"] > 0 and gaps[-1]["gap"].endswith("of 20") and 0 < kept < manifest.where(f"path = '{path}'").first()["n_records"]
 
 
 def _numbers(data):
@@ -122,3 +124,21 @@ def test_a_broken_stream_keeps_what_came_before():
     stored = zlib.compressobj(0, zlib.DEFLATED, 31)
     ids, _ = _numbers((stored.compress(b"".join(plain[:5])) + stored.flush())[:-5])
     assert ids == list(range(5))
+
+
+def test_a_query_fails_where_a_record_is_lost(spark, monkeypatch):
+    whole = warc.write
+
+    def damaged(pages, folder, *rest):
+        manifest = whole(pages, folder, *rest)
+        files, base = opened(f"{folder}/archives")
+        path = manifest.first()["path"]
+        with files.open_input_file(f"{base}/{path}") as f:
+            data = f.read()
+        with files.open_output_stream(f"{base}/{path}", compression=None) as f:  # the last member is gone, what is left is sound
+            f.write(data[: data.rfind(b"\x1f\x8b\x08")])
+        return manifest
+
+    monkeypatch.setattr(warc, "write", damaged)
+    with pytest.raises(Exception, match="gap in .* records of"):
+        warc.query(spark.createDataFrame([(i, "u", f"{i}" * 50, "d", 1, 2) for i in range(20)], PAGES)).collect()
