@@ -88,7 +88,7 @@ def _graphs(sc, registry: Registry) -> list[tuple]:
         for part, ids in _blocks(registry):
             dense = {s: i for i, s in enumerate(ids)}
             out.append((sc.broadcast(kernel.compiled(part.schema, part.dag, dense, part.always)), sc.broadcast(ids)))
-        registry.made = (key, out)
+        registry.made, registry.last_subset = (key, out), None
     return registry.made[1]
 
 
