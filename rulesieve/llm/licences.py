@@ -2,7 +2,8 @@
 
 Every text is cut into passages at line ends and after full stops.  A passage's terms, weighted by count times idf, are
 compared with each template's by cosine; idf is taken over the templates, a term that none has counts as rarest.  Terms are
-rows (passage, term, weight), so a passage is only compared with templates that share a term.
+rows (passage, term, weight), so a passage is only compared with templates that share a term.  What is gathered in one row are
+a passage's different terms, never more than the row of its text holds.  A passage that denies a licence has no statement.
 
 Besides passages the longer pieces of a text are compared: the whole text, runs of comment lines, paragraphs (parted by lines
 without a letter or digit), runs of up to RUN paragraphs that begin and end with an anchored one, and the sentences of
