@@ -43,7 +43,7 @@ SIDE = 20
 HASHES = 3
 #: Of the right side's 60 minhashes so many must agree; at 0.8 fewer do with a chance of 1 in 4 million.
 AGREE = 31
-BLOCK = 512
+BLOCK = 256
 KEPT_WORDS = 100_000
 SEED = 20240610
 _HALF = SIDE * HASHES
