@@ -16,7 +16,8 @@ estimate.  What many rows of one key must be told (of their bucket, component or
 tasks that the key's rows are spread over.
 
 Confirmation compares the full shingle sets (64-bit hashes of all shingles).  Components come from alternating star
-contractions over stored tables.  All that is cut off from its lineage lies in the shared checkpoint folder; links and
+contractions over stored tables, which are written in few files, as each may cost a task three processes where Hadoop sets
+modes with chmod.  All that is cut off from its lineage lies in the shared checkpoint folder; links and
 components never reach the driver, only their counts and checksums.
 
 Defined results: a text without words, or null, has no shingle and is its own component; one of fewer words than a shingle is
@@ -45,6 +46,8 @@ HASHES = 3
 AGREE = 31
 BLOCK = 256
 KEPT_WORDS = 100_000
+#: Links in a file of a components' table, where the cluster's cores don't ask for more files.
+FILE_LINKS = 100_000
 SEED = 20240610
 _HALF = SIDE * HASHES
 _U64 = np.uint64
@@ -289,6 +292,7 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     """node and comp, the smallest node that it reaches, of all nodes that have a link; links: a, b.
 
     Alternating large-star and small-star steps until the edges stay the same; the edges are then stars around the smallest.
+    No step makes more edges than it gets, so the files of a table go by the edges of the one before.
     """
     spark = links.sparkSession
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folder, f"{name}_0")
@@ -311,7 +315,8 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     state, k = told(edges), 0
     while state[0]:
         k += 1
-        new = stored(star(star(edges, True), False), folder, f"{name}_{k}")
+        files = max(spark.sparkContext.defaultParallelism, -(-state[0] // FILE_LINKS))
+        new = stored(star(star(edges, True), False).coalesce(files), folder, f"{name}_{k}")
         dropped(spark, f"{folder}/{name}_{k - 1}")
         edges, before, state = new, state, told(new)
         if state == before:
@@ -358,25 +363,25 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, agre
     sets = stored(_sets(docs, involved.select("node", "d1", "d2"), shingle), folder, "sets")
     known = involved.select("node", "n", "v")
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """The links among pairs a, b."""
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The links among pairs a, b; components() reads them once, so they aren't stored."""
         side = lambda c: known.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("v").alias(f"v{c}"))
         tried = looked_up(pairs.distinct().join(side("a"), "a"), side("b"), ["b"], "a")
-        return stored(_confirmed(_filtered(tried, percent, agree), sets, percent), folder, name)
+        return _confirmed(_filtered(tried, percent, agree), sets, percent)
 
-    links = linked(members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")), "links_0")
+    links = linked(members.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
     comps = components(links, folder, "first")
     more = lambda found: comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found)
 
     # what is outside its bucket's largest component is tried against a node of that one, so that little is left to compare
     left = stored(_unjoined(members.where("size > 2"), comps), folder, "left_0")
-    links = linked(left.where("comp <> major").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")), "links_1")
+    links = linked(left.where("comp <> major").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")))
     comps = components(more(links), folder, "second")
     left = stored(_unjoined(left, comps), folder, "left_1")
     cut = sets.join(left.select("node").distinct(), "node", "left_semi").select("node", F.transform("shingles", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("s"))
     found = stored(_rest(left.join(known, "node").join(cut, "node"), percent, agree).distinct(), folder, "found")
-    comps = components(more(stored(_confirmed(found, sets, percent), folder, "links_2")), folder, "all")
-    for name in ("sets", "nodes", "members", "links_0", "links_1", "left_0", "left_1", "found", "links_2"):
+    comps = components(more(_confirmed(found, sets, percent)), folder, "all")
+    for name in ("sets", "nodes", "members", "left_0", "left_1", "found"):
         dropped(spark, f"{folder}/{name}")
 
     moved = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).where("copies > 1 OR comp <> node").select("d1", "d2", F.col("comp").alias("component_id"))

@@ -116,6 +116,30 @@ def test_components_of_chains(spark, tmp_path):
     assert neardup.components(spark.createDataFrame([], "a bigint, b bigint"), tmp_path.as_uri(), "d").collect() == []
 
 
+def test_links_are_written_in_few_files(spark, docs, words, monkeypatch):
+    """Also where partitions aren't coalesced: each file costs a task up to three processes."""
+    rows, files, plain = _rows(words), {}, neardup.stored
+
+    def stored(df, folder, name):
+        out = plain(df, folder, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(neardup, "stored", stored)
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.groups(docs(rows), 2).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == _brute(rows, 2)
+    steps = {n: f for n, f in files.items() if n.rsplit("_", 1)[0] in ("first", "second", "all") and not n.endswith("_0")}
+    assert steps and max(steps.values()) <= spark.sparkContext.defaultParallelism and not any(n.startswith("links") for n in files)
+
+
 def test_tables_meet_and_estimate():
     rng, multipliers, met = np.random.default_rng(1), neardup._multipliers(), 0
     for _ in range(60):
