@@ -8,7 +8,8 @@ indexed     The shared graph as a numpy kernel over Arrow batches; work follows
             stats need all blocks at once, so there a worker holds the whole graph (about 1 KB a rule).  No shuffle.
 relational  The graph as tables: leaves found by equi-joins of the events' values, thresholds by joins with bins of them, the
             others by compiled predicates; AND nodes by counting true children, level by level, in one unrolled plan.  All in
-            the JVM; tables are broadcast up to a stated size, beyond it joins shuffle.
+            the JVM; tables are broadcast up to a stated size, beyond it joins shuffle.  The events are counted first, and dealt
+            by id over tasks of a bounded number of them.
 """
 
 from __future__ import annotations
@@ -154,9 +155,7 @@ def match_lists(events: DataFrame, registry: Registry, how: str = "auto", event_
     if way == "indexed":
         return _indexed(own, registry, lists=True)
     if way == "relational":
-        found = relational.match(own, registry).withColumn("sub_id", F.col("sub_id").cast(_id_type(registry))).groupBy("event_id").agg(F.sort_array(F.collect_list("sub_id")).alias("sub_ids"))
-        none = F.array().cast(T.ArrayType(_id_type(registry)))
-        return own.select("event_id").join(found, "event_id", "left").select("event_id", F.coalesce("sub_ids", none).alias("sub_ids"))
+        return relational.match_lists(own, registry, _id_type(registry))
     return _compiled(own, registry)
 
 

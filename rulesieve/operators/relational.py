@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType
 
 from ..functions.columns import leaf_sql, named, true_ones
 from ..plans.expr import Leaf
@@ -18,6 +20,8 @@ CHUNK = 200
 BROADCAST_BYTES = 32 << 20
 #: Thresholds in a bin of the range join.
 BIN = 256
+#: Nodes that may be true in one task, so that its counts take a stated share of memory, and the least of its events.
+TASK_NODES, TASK_EVENTS = 1 << 20, 1000
 _EQUAL = ("var", "not_var", "eq", "in", "one_of")
 _RANGE = ("lt", "le", "gt", "ge")
 
@@ -29,6 +33,20 @@ def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+def _spread(events: DataFrame, registry: Registry) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The events by id, in as many partitions as bound a task's counts, and what brings rows there; counts the events in a job of its own.
+
+    The number is given, so that Spark neither merges partitions by their bytes nor keeps it while the input grows.  What is
+    found of an event stays where the event is, hence nothing shuffles again but after joins with tables that aren't broadcast:
+    Spark leaves out a repartition of rows that lie so already.
+    """
+    if events.isStreaming or not registry.dag.nodes:
+        return events, lambda df: df
+    own = max(TASK_EVENTS, TASK_NODES // len(registry.dag.nodes))
+    tasks = max(1, -(-events.count() // own))
+    return events.repartition(tasks, "event_id"), lambda df: df.repartition(tasks, "event_id")
+
+
 def _text(kind: AttrType, c: Column) -> Column:
     """A value as a join key; equal values, and only those, have equal texts."""
     if kind is AttrType.FLOAT:
@@ -71,8 +89,8 @@ def _true_ranges(events: DataFrame, attrs: dict[str, list[tuple[object, str, int
     return found.where("CASE sign WHEN 'lt' THEN v < bound WHEN 'le' THEN v <= bound WHEN 'gt' THEN v > bound ELSE v >= bound END").select("event_id", "node")
 
 
-def true_leaves(events: DataFrame, registry: Registry) -> DataFrame:
-    """event_id, node of every leaf that is true."""
+def true_leaves(events: DataFrame, registry: Registry, together: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """event_id, node of every leaf that is true; together: see _spread."""
     spark = events.sparkSession
     by_value: dict[str, list[tuple[int, str | None, float | None]]] = defaultdict(list)
     ranges: dict[AttrType, dict[str, list]] = defaultdict(lambda: defaultdict(list))
@@ -98,7 +116,7 @@ def true_leaves(events: DataFrame, registry: Registry) -> DataFrame:
         pairs = [_pairs(a, registry.schema.types[a]) for a in attrs]
         probe = events.select("event_id", F.explode(F.concat(*pairs) if lists else F.array(*pairs)).alias("p")).select("event_id", "p.attr", "p.v").where("v IS NOT NULL")
         found = probe.join(table, ["attr", "v"]).select("event_id", "node")
-        parts.append(found.distinct() if lists else found)  # a list may hold several values of one leaf
+        parts.append(together(found).distinct() if lists else found)  # a list may hold several values of one leaf
     parts += [_true_ranges(events, dict(own), "double" if of is AttrType.FLOAT else "bigint") for of, own in ranges.items()]
     for i in range(0, len(scanned), CHUNK):
         hits = true_ones([(leaf_sql(registry.schema, own), f"CAST('{n}' AS BIGINT)") for n, own in scanned[i : i + CHUNK]])
@@ -109,14 +127,14 @@ def true_leaves(events: DataFrame, registry: Registry) -> DataFrame:
     return out
 
 
-def match(events: DataFrame, registry: Registry) -> DataFrame:
-    """event_id, sub_id.  A level is one join and one count; the number of levels is known.
+def _found(events: DataFrame, registry: Registry, together: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """event_id, sub_id of events that are spread.  A level is one join and one count; the number of levels is known.
 
     A true node counts for its parents of the level and, if it is needed further up or has subscriptions, for itself, so
     that each level's plan holds the one before it once.
     """
     spark, dag = events.sparkSession, registry.dag
-    nodes = true_leaves(events, registry)
+    nodes = true_leaves(events, registry, together)
     steps: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
     top = max((x.level for x in dag.nodes.values()), default=1)
     for n, node in dag.nodes.items():
@@ -127,7 +145,7 @@ def match(events: DataFrame, registry: Registry) -> DataFrame:
         for level in range(node.level + 1, last + 1):
             steps[level].append((n, n, 1))
     for level in sorted(steps):
-        met = nodes.join(_table(spark, steps[level], "node bigint, target bigint, need int"), "node").groupBy("event_id", "target").agg(F.count("*").alias("n"), F.first("need").alias("need"))
+        met = together(nodes.join(_table(spark, steps[level], "node bigint, target bigint, need int"), "node").drop("node")).groupBy("event_id", "target").agg(F.count("*").alias("n"), F.first("need").alias("need"))
         nodes = met.where("n >= need").select("event_id", F.col("target").alias("node"))
     subs = [(n, Decimal(s)) for s, n in registry.at.items()]
     found = nodes.join(_table(spark, subs, "node bigint, sub_id decimal(20,0)"), "node").select("event_id", "sub_id")
@@ -135,3 +153,16 @@ def match(events: DataFrame, registry: Registry) -> DataFrame:
         ids = F.array(*[F.lit(s).cast("decimal(20,0)") for s in always])
         found = found.unionByName(events.select("event_id", F.explode(ids).alias("sub_id")))
     return found
+
+
+def match(events: DataFrame, registry: Registry) -> DataFrame:
+    """event_id, sub_id."""
+    own, together = _spread(events, registry)
+    return _found(own, registry, together)
+
+
+def match_lists(events: DataFrame, registry: Registry, kind: DataType) -> DataFrame:
+    """A row for each event: event_id and sub_ids of the given type, ascending."""
+    own, together = _spread(events, registry)
+    found = together(_found(own, registry, together)).groupBy("event_id").agg(F.sort_array(F.collect_list(F.col("sub_id").cast(kind))).alias("sub_ids"))
+    return own.select("event_id").join(found, "event_id", "left").select("event_id", F.coalesce("sub_ids", F.array().cast(ArrayType(kind))).alias("sub_ids"))

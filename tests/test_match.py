@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rulesieve.errors import RuleError, Status
 from rulesieve.functions.evaluate import evaluate as meaning
@@ -179,3 +180,31 @@ def test_many_thresholds_are_joined_not_scanned(spark):
     got = match(events, own, "relational")
     assert got._jdf.queryExecution().analyzed().toString().count("Generate explode") <= 3  # one pass a type, not one for each few hundred
     assert sorted((r[0], int(r[1])) for r in got.collect()) == sorted(map(tuple, match(events, own, "indexed").collect())) == sorted(map(tuple, match(events, own, "compiled").collect()))
+
+
+def test_relational_tasks_stay_small_as_events_grow(case, spark, monkeypatch):
+    """A task counts the nodes of a bounded number of events, however many there are, with tables broadcast or not."""
+    import re
+
+    from rulesieve.operators import relational
+
+    own, events, df, want = case
+    monkeypatch.setattr(relational, "TASK_NODES", 1, raising=False)
+    monkeypatch.setattr(relational, "TASK_EVENTS", 10, raising=False)
+    shuffled = lambda x: re.findall(r"Exchange (\w+\(.*\)), [A-Z_]+, ", re.sub(r"#\d+L?", "", x._jdf.queryExecution().executedPlan().toString()))
+    for times in (1, 4):
+        more = df.crossJoin(spark.range(times).withColumnRenamed("id", "r")).withColumn("event_id", F.col("event_id") + F.col("r") * 1000).drop("r")
+        expected = sorted((i + 1000 * r, s) for r in range(times) for i, s in want)
+        tasks = len(events) * times // 10
+        found = match(more, own, "relational")
+        assert set(shuffled(found)) == {f"hashpartitioning(event_id, {tasks})"}
+        assert sorted((r[0], int(r[1])) for r in found.collect()) == expected
+        lists = match_lists(more, own, "relational")
+        assert set(shuffled(lists)) == {f"hashpartitioning(event_id, {tasks})"}
+        rows = lists.collect()
+        assert len(rows) == len(events) * times and sorted((r[0], int(x)) for r in rows for x in r[1]) == expected
+    monkeypatch.setattr(relational, "BROADCAST_BYTES", 0)
+    found = match(df, own, "relational")
+    by_event = {x for x in shuffled(found) if "event_id" in x}
+    assert by_event == {"hashpartitioning(event_id, 5)"} and any("node" in x for x in shuffled(found))
+    assert sorted((r[0], int(r[1])) for r in found.collect()) == want
